@@ -1,10 +1,12 @@
 """Quality by compression: which of two dictionaries packs a text better.
 
 zstandard dictionaries are built from good and from bad labelled texts. Every
-chunk of a text is compressed with both; the difference of the compressed
-sizes, divided by their sum over the text, is calibrated to a probability by a
-logistic curve that is fitted on labelled documents the dictionaries have not
-seen.
+chunk of a text is compressed with both. The difference of the compressed
+sizes, divided by their sum over the text, and the mean compressed share of the
+text are calibrated to a probability by a logistic curve that is fitted on
+labelled documents the dictionaries have not seen. (The share tells texts that
+repeat themselves, which both dictionaries pack alike.) Chunks are short, so
+that the dictionary decides and not what the chunk has said before.
 
 Null and empty texts have difference 0 and get the curve's value there;
 repeated rows score alike; without labels of both kinds every score is 0.5;
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .base import labelled_sample
 
 #: Documents of each label in the sample, bytes of a dictionary, bytes of a chunk, compression level.
-PER_CLASS, DICTIONARY, CHUNK, LEVEL = 2500, 112 << 10, 2048, 3
+PER_CLASS, DICTIONARY, CHUNK, LEVEL = 2500, 112 << 10, 128, 3
 
 
 def chunks(text: bytes) -> list[bytes]:
@@ -53,28 +55,40 @@ class Packer:
             own.precompute_compress(level=LEVEL)
             self.pack.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False).compress)
 
-    def difference(self, text: bytes | None) -> float:
-        """Positive where the good dictionary packs better; between -1 and 1."""
+    def measure(self, text: bytes | None) -> tuple[float, float]:
+        """Difference (positive where the good dictionary packs better; between -1 and 1), and mean compressed share; 0 and 1 without text."""
         own = chunks(text or b"")
         if not own:
-            return 0.0
+            return 0.0, 1.0
         good, bad = (sum(len(pack(c)) for c in own) for pack in self.pack)
-        return (bad - good) / (bad + good)
+        return (bad - good) / (bad + good), (good + bad) / (2 * len(text))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, by Newton steps with a slight pull of the slope to 0."""
-    scale = float(np.std(x)) or 1.0
-    a, b = np.zeros(2), np.stack([x / scale, np.ones(len(x))])
+def curve(x: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
+    """The logistic curve over rows of (difference, share)."""
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(model[:2]) + model[2], -30, 30)))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """The curve's two slopes and its offset: Newton steps, halved until the loss falls, with a slight pull of the slopes to 0."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    b, pull = np.c_[x / scale, np.ones(len(x))], np.array([0.1, 0.1, 1e-6])
+
+    def loss(a: np.ndarray) -> float:
+        z = b @ a
+        return float(weight @ (np.logaddexp(0, z) - y * z) + pull @ (a * a) / 2)
+
+    a = np.zeros(3)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = b @ (weight * (p - y)) + np.array([1e-3, 0]) * a
-        h = (b * (weight * p * (1 - p))) @ b.T + np.diag([1e-3, 1e-6])
-        a = a - np.clip(np.linalg.solve(h, g), -2, 2)
-    return float(a[0] / scale), float(a[1])
+        p = 1 / (1 + np.exp(-np.clip(b @ a, -30, 30)))
+        step = np.linalg.solve((b.T * (weight * p * (1 - p))) @ b + np.diag(pull), b.T @ (weight * (p - y)) + pull * a)
+        while loss(a - step) > loss(a) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        a = a - step
+    return float(a[0] / scale[0]), float(a[1] / scale[1]), float(a[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[bytes, bytes, float, float] | None:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[bytes, bytes, tuple[float, float, float]] | None:
     """Dictionaries, slope and offset from at most per_class labelled documents a class, fitted in one task."""
     sample, counts = labelled_sample(docs, labels, label, modulus=modulus, remainder=remainder, per_class=per_class, id_col=id_col, text_col=text_col)
 
@@ -91,26 +105,25 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
             n = np.searchsorted(np.cumsum([len(t) for t in own]), room, side="right")
             built.append(dictionary(own[: max(1, int(n))]))
         packer = Packer(*built)
-        x, y = np.array([packer.difference(t) for _, t in rest]), np.array([y for y, _ in rest], float)
+        x, y = np.array([packer.measure(t) for _, t in rest]), np.array([y for y, _ in rest], float)
         total = sum(counts.values())
         weight = np.where(y > 0, counts[1] / total / y.mean(), counts[0] / total / (1 - y.mean()))
-        a, c = calibrate(x, y, weight)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*built, a, c), (pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], names=["good", "bad", "slope", "offset"])
+        yield pa.RecordBatch.from_arrays([pa.array([built[0]], pa.binary()), pa.array([built[1]], pa.binary()), pa.array([list(calibrate(x, y, weight))], pa.list_(pa.float64()))], names=["good", "bad", "curve"])
 
-    rows = sample.coalesce(1).mapInArrow(run, "good binary, bad binary, slope double, offset double").collect()
-    return (bytes(rows[0].good), bytes(rows[0].bad), rows[0].slope, rows[0].offset) if rows else None
+    rows = sample.coalesce(1).mapInArrow(run, "good binary, bad binary, curve array<double>").collect()
+    return (bytes(rows[0].good), bytes(rows[0].bad), tuple(rows[0].curve)) if rows else None
 
 
-def score(docs: DataFrame, model: tuple[bytes, bytes, float, float] | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, difference, score."""
+def score(docs: DataFrame, model: tuple[bytes, bytes, tuple[float, float, float]] | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, difference, share, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         packer = held and Packer(*held[:2])
         for b in batches:
-            x = np.array([packer.difference(t) if packer else 0.0 for t in b.column(1).to_pylist()], float)
-            s = 1 / (1 + np.exp(-np.clip(held[2] * x + held[3], -30, 30))) if held else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.float64()), pa.array(s, pa.float64())], names=["id", "difference", "score"])
+            x = np.array([packer.measure(t) if packer else (0.0, 1.0) for t in b.column(1).to_pylist()], float).reshape(-1, 2)
+            s = curve(x, held[2]) if held else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in (x[:, 0], x[:, 1], s))], names=["id", "difference", "share", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id bigint, difference double, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id bigint, difference double, share double, score double")

@@ -60,7 +60,7 @@ def op5_secret_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.score(docs, quality.train(docs, labels)).withColumnRenamed("id", "doc_id")
-    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference", "share")
 
 
 def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
