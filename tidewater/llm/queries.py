@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, lsh_forest, mixing, quality, secret_scan, toxicity, url_rules
+from . import decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, quality, secret_scan, toxicity, url_rules
 from .base import held_out
 
 
@@ -63,6 +63,17 @@ def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference", "share")
 
 
+def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < 4)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return out.select(F.col("id").alias("doc_id"), count(0).alias("n_email"), count(1).alias("n_ip"), count(2).alias("n_card"), count(3).alias("n_phone"), F.sha2(span_text(base, pii.KINDS), 256).alias("base_sha256"), span_text(F.col("spans"), pii.KINDS).alias("spans"))
+
+
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_search.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
@@ -74,7 +85,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op9_license_index, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op7_pii_bootstrap, op8_multi_index_hashing, op9_license_index, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
