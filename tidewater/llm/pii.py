@@ -30,26 +30,38 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A token between white space that holds a digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: Characters before and after a token that are looked at for its context.
+#: Characters before an instance that are looked at for its context.
 NEAR = 64
+#: What a scan gives for each text.
+FOUND = "array<struct<start:int,kind:int,end:int,value:string,patterns:array<string>>>"
 #: Rounds of scoring; seeds that must stand in a pattern; confidence of a trusted pattern; score of a found instance; digits of an instance.
 ROUNDS, SUPPORT, TRUST, ENOUGH, DIGITS = 3, 5, 0.6, 0.8, 4
 
 
 def places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit, before, after) of a pattern's matches: before and after are the texts up to the next matches."""
+    """Array of (start, end, hit, before) of a pattern's matches; before is the end of the text between the last match and this."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>")
-    rows = F.zip_with(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))), F.slice(pieces, 2, F.size(hits)), lambda x, q: F.struct(x["p"].alias("p"), x["h"].alias("h"), q.alias("q")))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    rows = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
 
     def step(acc: Column, x: Column) -> Column:
         at = F.when(F.size(acc) > 0, F.element_at(acc, -1)["end"]).otherwise(F.lit(0)) + F.length(x["p"])
-        row = F.struct(at.alias("start"), (at + F.length(x["h"])).alias("end"), x["h"].alias("hit"), F.right(x["p"], F.lit(NEAR)).alias("before"), F.left(x["q"], F.lit(NEAR)).alias("after"))
+        row = F.struct(at.alias("start"), (at + F.length(x["h"])).alias("end"), x["h"].alias("hit"), F.right(x["p"], F.lit(NEAR)).alias("before"))
         return F.concat(acc, F.array(row))
 
     return F.when(F.size(hits) > 0, F.aggregate(rows, none, step)).otherwise(none)
 
 
+def patterns(before: Column, value: Column) -> Column:
+    """Lexical patterns of an instance: its last two words before it, and the last of them with the instance's shape."""
+    low = F.lower(before)
+    one = F.regexp_extract(low, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+    two = F.regexp_extract(low, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+    shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    own = F.array(F.when(two != "", F.concat(F.lit("two:"), two)), F.when(one != "", F.concat(F.lit("shape:"), one, F.lit(" "), shape)))
+    return F.filter(own, lambda p: p.isNotNull())
+
+
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -67,36 +79,30 @@ def small(part: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (start, kind number, end) of the fixed formats, in order."""
+    """Array of (start, kind number, end, value, patterns) of the fixed formats, in order."""
     checks = {
         0: (EMAIL, F.contains(text, F.lit("@")), lambda h: F.lit(True)),
         1: (IP, text.rlike(r"[0-9]\.[0-9]"), lambda h: F.forall(F.split(h, r"\."), small)),
         2: (CARD, text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), lambda h: F.when(F.length(digits(h)).between(12, 19), luhn(digits(h))).otherwise(F.lit(False))),
         3: (PHONE, F.contains(text, F.lit("+")), lambda h: F.length(digits(h)).between(9, 15)),
     }
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(FOUND)
 
     def kept(kind: int, pattern: str, may: Column, good) -> Column:
         found = F.filter(places(text, pattern), lambda x: good(x["hit"]))
-        return F.when(may, F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))).otherwise(none)
+        return F.when(may, F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["hit"].alias("value"), patterns(x["before"], x["hit"]).alias("patterns")))).otherwise(none)
 
     return F.array_sort(F.concat(*[kept(k, *c) for k, c in checks.items()]))
 
 
 def instances(text: Column) -> Column:
-    """Array of (start, end, value, patterns) of the tokens with digits, without the punctuation around them."""
+    """The same array, of kind 4, of the tokens with digits, without the punctuation around them."""
     lead = r"^[^A-Za-z0-9+@_\x{80}-\x{10FFFF}]*"
-    last = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
 
     def row(x: Column) -> Column:
-        front = F.length(F.regexp_extract(x["hit"], lead, 0))
+        start = x["start"] + F.length(F.regexp_extract(x["hit"], lead, 0))
         value = F.regexp_replace(F.regexp_replace(x["hit"], lead, ""), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+$", "")
-        before = F.lower(x["before"])
-        one = F.regexp_extract(before, last, 1)
-        two = F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-        shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
-        patterns = F.filter(F.array(F.when(two != "", F.concat(F.lit("two:"), two)), F.when(one != "", F.concat(F.lit("shape:"), one, F.lit(" "), shape))), lambda p: p.isNotNull())
-        return F.struct((x["start"] + front).alias("start"), (x["start"] + front + F.length(value)).alias("end"), value.alias("value"), patterns.alias("patterns"))
+        return F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), patterns(x["before"], value).alias("patterns"))
 
     return F.filter(F.transform(places(text, TOKEN), row), lambda x: F.length(digits(x["value"])) >= DIGITS)
 
@@ -117,19 +123,16 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # texts without a digit or an at sign hold neither formats nor instances
     may = F.col("text").rlike("[0-9@]")
-    scan = own.select(
-        "id",
-        F.monotonically_increasing_id().alias("row"),
-        F.when(may, base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("base"),
-        F.when(may, instances(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,patterns:array<string>>>")).alias("tokens"),
-    )
-    scan = written(scan, "scan")
-    every = scan.filter(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("x"))
-    seed = F.exists("base", lambda s: (s["start"] < F.col("x.end")) & (s["end"] > F.col("x.start")))
-    every = every.select("row", "x.*", seed.alias("seed"))
+    none = F.array().cast(FOUND)
+    scan = own.select("id", F.monotonically_increasing_id().alias("row"), F.when(may, base_spans(F.col("text"))).otherwise(none).alias("base"), F.when(may, instances(F.col("text"))).otherwise(none).alias("tokens"))
+    # a token inside what a fixed format found is no instance of its own
+    free = F.filter("tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    scan = written(scan.select("id", "row", "base", free.alias("tokens")), "scan")
+    every = scan.filter(F.size("base") + F.size("tokens") > 0).select("row", F.explode(F.concat("base", "tokens")).alias("x")).select("row", "x.*").withColumn("seed", F.col("kind") < 4)
     edges = every.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     found = written(scored(written(edges, "edges")), "found")
-    new = every.filter("not seed").join(found.hint("merge"), "value", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new"))
+    new = every.filter("not seed").join(found.hint("merge"), "value", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     new = written(new, "new")
-    spans = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    spans = F.array_sort(F.concat(plain, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return scan.join(new, "row", "left").select("id", spans.alias("spans"))
