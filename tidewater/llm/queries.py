@@ -88,5 +88,47 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op7_pii_bootstrap, op8_multi_index_hashing, op9_license_index, op10_decontaminate)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Near-duplicates by an exact join on shingles, and components by reachability.
+OP3 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(x) = 1 THEN x[1] ELSE x[i] || ' ' || x[i + 1] END AS s FROM w, LATERAL unnest(range(1, greatest(2, len(x)))) t(i) WHERE len(x) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.b, d.doc_id) AS kept
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id) LEFT JOIN m ON d.doc_id = m.a"""
+
+
+def _rule_case(field: str) -> str:
+    """The value of the longest rule that fits, as a CASE."""
+    rules = sorted(PATH_RULES, key=lambda r: -len(r.name))
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'" for r in rules)
+
+
+def _op4() -> str:
+    patterns = " ".join(f"WHEN regexp_matches(low, '{p.pattern}') THEN '{p.name}'" for p in url_rules.PATTERNS)
+    return rf"""WITH u AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+v AS (SELECT page_id, host, path, {_rule_case("name")} END AS rule, {_rule_case("verdict")} END AS given, CASE {patterns} END AS pattern FROM h)
+SELECT page_id, host, path, rule, CASE WHEN given IS NOT NULL THEN given WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM v"""
+
+
+#: Contamination by a join of all windows of the items' lengths.
+OP10 = rf"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS x FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS y FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(13, len(y)) AS k, array_to_string(y[s:s + least(13, len(y)) - 1], ' ') AS win FROM b, LATERAL unnest(range(1, greatest(2, len(y) - 11))) t(s) WHERE len(y) > 0),
+c AS (SELECT doc_id, s, k, array_to_string(x[s:s + k - 1], ' ') AS win FROM d, (SELECT DISTINCT k FROM i) q, LATERAL unnest(range(1, greatest(1, len(x) - k + 2))) t(s)),
+h AS (SELECT doc_id, s, c.k, item_id FROM c JOIN i ON c.k = i.k AND c.win = i.win),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, LATERAL unnest(range(s, s + k)) t(p) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+SELECT doc_id, len(x) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(x) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others train on samples, draw by hash, or search approximately; tests hold them against plain Python."""
+    return {"op3_lsh_forest": OP3, "op4_url_rules": _op4(), "op10_decontaminate": OP10}
