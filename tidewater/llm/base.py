@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of a value of bounded size whose classes travel with it; tasks take it out by `received`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def words_table() -> bytes:
     """Byte map of the word rule: A-Z lower-cased, other ASCII that is no letter or digit to a space.
 
@@ -83,8 +94,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus:
     """
     own = labels.filter(F.col(label).isNotNull() & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label")).filter("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-    order = F.xxhash64(F.lit(5), "_id")
-    chosen = own.filter("label = 0").orderBy(order, "_id").limit(per_class).unionByName(own.filter("label = 1").orderBy(order, "_id").limit(per_class))
+    order = F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30))
+
+    def first(label: int) -> DataFrame:
+        # the share lets about twice per_class pass, so that many partitions do not each send per_class rows
+        share = min(1 << 30, (1 << 31) * per_class // max(counts.get(label, 0), 1))
+        return own.filter((F.col("label") == label) & (order < F.lit(share))).orderBy(order, "_id").limit(per_class)
+
+    chosen = first(0).unionByName(first(1))
     chosen = written(chosen.withColumn("part", F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(2)).cast("int")), "sample")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "_id")
     return rows.select("label", "part", "text"), counts

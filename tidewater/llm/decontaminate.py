@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORDS, words, written
+from .base import WORDS, received, sent, words, written
 
 #: Words of an item that make a window.
 WINDOW = 13
@@ -168,10 +168,10 @@ SCHEMA = "id bigint, print bigint, n_words bigint, spans array<struct<start:int,
 
 
 def _scan(docs: DataFrame, automaton: Automaton, cut: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = sent(docs.sparkSession, automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held = received(shared)
         fields = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("text", pa.string())])
         for batch in batches:
             rows = []

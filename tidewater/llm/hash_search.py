@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import received, sent, written
 
 #: Bits of a code and of a substring.
 BITS, PART = 256, 16
@@ -124,7 +124,7 @@ def _searcher(shared, k: int, radius: int):
     fields = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, qid, qx = shared.value
+        codes, qid, qx = received(shared)
         dim, qnorm = qx.shape[1], np.linalg.norm(qx, axis=1)
         asked = codes.of(qx / qnorm[:, None])
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, float))
@@ -153,8 +153,11 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, id_col: str = "ve
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable("v") & F.col("id").isNotNull())
     spark = vectors.sparkSession
     schema = "query_id bigint, vec_id bigint, score double"
-    # a bounded sample, by hash
-    rows = own.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(SAMPLE).collect()
+    total = own.select("id").count()
+    # a bounded sample, by hash: the share lets about two samples pass, so that many partitions do not each send a whole one
+    order = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30))
+    passing = own.filter(order < F.lit(min(1 << 30, (1 << 31) * SAMPLE // max(total, 1))))
+    rows = passing.orderBy(order, "id").limit(SAMPLE).collect()
     if not rows:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     lengths = [len(r.v) for r in rows]
@@ -170,7 +173,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, id_col: str = "ve
     for n in range(blocks):
         left, radius = asked.filter(F.col("block") == n).select("id", "v").collect(), codes.radius
         while left:
-            shared = spark.sparkContext.broadcast((codes, np.array([r.id for r in left]), np.array([r.v for r in left], float)))
+            shared = sent(spark, (codes, np.array([r.id for r in left]), np.array([r.v for r in left], float)))
             hits = written(own.mapInArrow(_searcher(shared, k, radius), schema), "hits")
             few = set()
             if radius < BITS:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import words
+from .base import received, sent, words
 
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -122,11 +122,11 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row a document: id, word count, places of the fixed phrases, labels, score (1 where a fixed phrase stands, else the best template's share)."""
     known = _templates(templates)
     n_docs, counts = word_counts(docs, text_col, frozenset(w for _, t, _ in known for w in t))
-    shared = docs.sparkSession.sparkContext.broadcast(Index(known, n_docs, counts))
+    shared = sent(docs.sparkSession, Index(known, n_docs, counts))
     phrases = [(words(p.encode()), label) for p, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = received(shared)
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import received, sent
+
 #: Limit on the rules that are broadcast to every task, in number.
 MAX_RULES = 200_000
 
@@ -88,10 +90,10 @@ def judge_urls(urls: DataFrame, paths: list[PathRule], patterns: tuple[PatternRu
     index: dict[str, list[int]] = {}
     for i, need in enumerate(needs):
         index.setdefault(min(need, key=lambda t: (counts[t], t)), []).append(i)
-    shared = urls.sparkSession.sparkContext.broadcast((index, list(paths), list(patterns)))
+    shared = sent(urls.sparkSession, (index, list(paths), list(patterns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, paths, patterns = shared.value
+        index, paths, patterns = received(shared)
         tests = [re.compile(p.pattern) for p in patterns]
         # most distinct rules first: the longest name wins, and of equal ones the smallest
         order = {i: (-len(r.name), r.name) for i, r in enumerate(paths)}
