@@ -29,7 +29,8 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str =
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x between the two; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:
