@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import tokens, written
+from .base import written
 from .components import components
 
 #: Trees, min-hashes in a tree's signature, rows before a row that it is paired with in each tree.
@@ -46,33 +46,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """The distinct 64-bit hashes of the text's word shingles, sorted."""
-    import xxhash
+#: 1 for ASCII white space.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
 
-    own = tokens(text)
-    if not own:
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between white space: a polynomial of its bytes, mixed with its length."""
+    data = np.frombuffer(text, np.uint8)
+    inside = ~SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    length = edge[1::2] - edge[::2]
+    if not len(length):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-    k = min(width, len(own))
-    out = np.full(len(own) - k + 1, k if k < width else 0, np.uint64)
+    first = np.cumsum(length) - length
+    power = np.cumprod(np.full(int(length.max()), MIX, np.uint64))
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    sums = np.add.reduceat(data[inside].astype(np.uint64) * power[place], first)
+    return _mixed(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's word shingles (A-Z lower-cased), sorted."""
+    h = word_hashes((text or b"").lower())
+    if not len(h):
+        return h
+    k = min(width, len(h))
+    out = np.full(len(h) - k + 1, k if k < width else 0, np.uint64)
     for i in range(k):
         out = _mixed(out * np.uint64(MIX) + h[i : len(h) - k + 1 + i])
     return np.unique(out)
 
 
 def _functions(n: int) -> np.ndarray:
-    """n odd multipliers for min-hashing, always the same."""
-    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX)) | np.uint64(1)
+    """n odd 32-bit multipliers for min-hashing, always the same, as a column."""
+    return (_mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
-def signature(own: np.ndarray, multipliers: np.ndarray, step: int = 4096) -> np.ndarray:
-    """The smallest upper 32 bits of each multiple of the set's hashes."""
-    best = np.full(len(multipliers), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(own), step):
-        part = own[i : i + step]
-        for j, m in enumerate(multipliers):
-            best[j] = min(best[j], int((part * m).min() >> np.uint64(32)))
+def signature(own: np.ndarray, multipliers: np.ndarray, step: int = 512) -> np.ndarray:
+    """The smallest 32-bit multiples of the upper halves of the set's hashes, a step of the set at a time to stay in cache."""
+    upper = (own >> np.uint64(32)).astype(np.uint32)
+    best = (multipliers * upper[:step]).min(axis=1)
+    for i in range(step, len(upper), step):
+        best = np.minimum(best, (multipliers * upper[i : i + step]).min(axis=1))
     return best
 
 
