@@ -75,11 +75,6 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORDS).split()
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z lower-cased; bytes.split() knows exactly that white space."""
-    return (text or b"").lower().split()
-
-
 def held_out(id_col: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves the remainder: such rows' labels are never learned from. Null ids are held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(True))

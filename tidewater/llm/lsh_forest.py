@@ -178,15 +178,6 @@ def candidates(prints: DataFrame) -> DataFrame:
     return found.filter("b is not null").select("a", "b").unionByName(ends.mapInArrow(_borders, "a bigint, b bigint")).filter("a <> b").distinct()
 
 
-def _agreement(x, y):
-    """Min-hashes that two full signatures share, in either order of bytes of 4."""
-    same = [F.when(F.expr(f"substring({x}, {1 + 4 * i}, 4) = substring({y}, {1 + 4 * i}, 4)"), 1).otherwise(0) for i in range(TREES * LENGTH)]
-    out = same[0]
-    for s in same[1:]:
-        out = out + s
-    return out
-
-
 def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), ">u4").reshape(b.num_rows, -1) for k in ("sa", "sb"))
