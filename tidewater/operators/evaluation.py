@@ -192,6 +192,13 @@ def chi_square(df: DataFrame, variant: str, converted: str, control: str, treatm
     return s.select(ra.alias("rate_a"), rb.alias("rate_b"), ratio(rb - ra, ra).alias("lift"), chi.alias("chi_square"))
 
 
+def sprt(df: DataFrame, variant: str, hit: str, control: str, treatment: str, effect: float = 0.1, alpha: float = 0.05, beta: float = 0.05) -> DataFrame:
+    """llr, decision: the log likelihood ratio of the treatment's hits at the control's rate plus the effect against the control's rate, held against both bounds."""
+    a = df.agg(F.avg(F.when(F.col(variant) == control, F.col(hit).cast("double"))).alias("p"), F.count_if((F.col(variant) == treatment) & F.col(hit)).alias("x"), F.count_if(F.col(variant) == treatment).alias("n"))
+    llr = F.col("x") * F.ln((F.col("p") + effect) / F.col("p")) + (F.col("n") - F.col("x")) * F.ln((1 - F.col("p") - effect) / (1 - F.col("p")))
+    return a.select(llr.alias("llr")).withColumn("decision", F.when(F.col("llr") >= F.ln(F.lit((1 - beta) / alpha)), "accept").when(F.col("llr") <= F.ln(F.lit(beta / (1 - alpha))), "reject").otherwise("continue"))
+
+
 def business_kpis(events: DataFrame, shown: str = "view", clicked: str = "click", bought: str = "purchase") -> DataFrame:
     """Click-through rate, conversion, revenue a user."""
     k = F.col("event_type")
