@@ -172,9 +172,9 @@ def series(spark, sf_dir):
 
 
 @query(f"""WITH {SERIES}, w AS (SELECT *, avg(value) OVER b AS m, stddev_samp(value) OVER b AS d FROM s WINDOW b AS (PARTITION BY metric ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), z AS (SELECT *, CASE WHEN d <> 0 THEN (value - m) / d END AS z FROM w)
-SELECT metric, ts, round(value, 6) AS value, round(m, 6) AS mean, round(d, 6) AS deviation, round(z, 6) AS z, CASE WHEN z > 3 THEN 'high' WHEN z < -3 THEN 'low' END AS reason FROM z""")
+SELECT metric, ts, round(value + 1e-9, 6) AS value, round(m + 1e-9, 6) AS mean, round(d + 1e-9, 6) AS deviation, round(z + 1e-9, 6) AS z, CASE WHEN z > 3 THEN 'high' WHEN z < -3 THEN 'low' END AS reason FROM z""")
 def metric_anomaly(spark, sf_dir):
-    return rounded(E.metric_anomaly(series(spark, sf_dir)))
+    return rounded(E.metric_anomaly(series(spark, sf_dir)), 1e-9)
 
 
 @query(f"""WITH {SERIES}, i AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC) AS i FROM s), a AS (SELECT metric, regr_slope(value, -i) AS slope, arg_max(value, i) AS first, arg_min(value, i) AS current FROM i WHERE i <= 60 GROUP BY 1)

@@ -10,9 +10,9 @@ from ..sources.views import CONTENT, INTERACTIONS, PURCHASES, content, interacti
 from .registry import query
 
 
-def rounded(df, *exact):
-    """df with its doubles rounded, but for the exact ones."""
-    return df.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() == "double" and f.name not in exact else F.col(f.name) for f in df.schema])
+def rounded(df, nudge: float = 0.0):
+    """df with its doubles rounded; a nudge takes results that lie on half a digit off it, where two engines round apart."""
+    return df.select(*[r6(F.col(f.name) + nudge if nudge else f.name).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 
 
 @query(f"""WITH {INTERACTIONS}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS mean, coalesce(stddev_samp(rating), 0) AS deviation, date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 AS days FROM interactions GROUP BY 1)
@@ -117,10 +117,10 @@ def sessionize(spark, sf_dir):
     return sessions(spark, sf_dir).select("event_id", "session")
 
 
-@query(f"""{METRICS} SELECT user_id, session, start_ts, end_ts, round(minutes, 6)::DOUBLE AS minutes, n, items, types, round(mean, 6) AS mean,
-round((least(1.0, CASE WHEN minutes > 0 THEN n / minutes / 2 ELSE 1.0 END) + items / n + rated / n + CASE WHEN minutes < 20 THEN minutes / 20 WHEN minutes <= 60 THEN 1.0 ELSE 60 / minutes END) / 4, 6)::DOUBLE AS quality FROM z""")
+@query(f"""{METRICS} SELECT user_id, session, start_ts, end_ts, round(minutes + 1e-9, 6)::DOUBLE AS minutes, n, items, types, round(mean + 1e-9, 6) AS mean,
+round((least(1.0, CASE WHEN minutes > 0 THEN n / minutes / 2 ELSE 1.0 END) + items / n + rated / n + CASE WHEN minutes < 20 THEN minutes / 20 WHEN minutes <= 60 THEN 1.0 ELSE 60 / minutes END) / 4 + 1e-9, 6)::DOUBLE AS quality FROM z""")
 def session_metrics(spark, sf_dir):
-    return rounded(U.session_metrics(sessions(spark, sf_dir)))
+    return rounded(U.session_metrics(sessions(spark, sf_dir)), 1e-9)
 
 
 @query(f"""{METRICS}, a AS (SELECT user_id, count(*) AS sessions, date_diff('day', min(start_ts)::DATE, max(end_ts)::DATE) + 1 AS days, avg(minutes) AS mm FROM z GROUP BY 1)
