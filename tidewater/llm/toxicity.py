@@ -51,13 +51,15 @@ def sentences(text: bytes | None) -> list[tuple[int, int, set[bytes]]]:
     return out
 
 
-def clear(bags: list[tuple[int, list[set[bytes]]]]) -> list[bytes]:
-    """Features whose shares of toxic and other bags differ by more than CLEAR standard errors, clearest first."""
-    total = Counter(y for y, _ in bags)
-    seen = {y: Counter(w for label, bag in bags if label == y for w in set().union(*bag)) for y in (0, 1)}
+def clear(rows: list[tuple[int, bytes]]) -> list[bytes]:
+    """Features whose shares of toxic and other documents differ by more than CLEAR standard errors, clearest first."""
+    total = Counter(y for y, _ in rows)
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for y, text in rows:
+        seen[y].update(set().union(*(own for *_, own in sentences(text))))
     found = []
     for w in seen[0].keys() | seen[1].keys():
-        share = (seen[0][w] + seen[1][w]) / len(bags)
+        share = (seen[0][w] + seen[1][w]) / len(rows)
         error = (share * (1 - share) * (1 / total[0] + 1 / total[1])) ** 0.5
         z = abs(seen[1][w] / total[1] - seen[0][w] / total[0]) / max(error, 1e-12)
         if z > CLEAR:
@@ -65,27 +67,30 @@ def clear(bags: list[tuple[int, list[set[bytes]]]]) -> list[bytes]:
     return [w for _, w in sorted(found)[:MAX_FEATURES]]
 
 
-def fit(bags: list[tuple[int, list[set[bytes]]]], weight: dict[int, float], *, rounds: int = 300, rate: float = 0.1, pull: float = 1e-4) -> tuple[float, dict[bytes, float]]:
-    """Bias and feature weights that maximise the likelihood of the bags' labels under the noisy-or, by full-batch Adam with a pull of the weights to 0."""
-    kept = clear(bags)
+def fit(rows: list[tuple[int, bytes]], weight: dict[int, float], *, rounds: int = 300, rate: float = 0.1, pull: float = 1e-4) -> tuple[float, dict[bytes, float]]:
+    """Bias and feature weights that maximise the likelihood of the labels of rows (label, text) under the noisy-or, by full-batch Adam with a pull of the weights to 0.
+
+    Only the texts and the numbers of the kept features are held, not every sentence's features.
+    """
+    kept = clear(rows)
     number = {w: i for i, w in enumerate(kept)}
     of_bag, of_sentence, of_word, n = [], [], [], 0
-    for b, (_, bag) in enumerate(bags):
-        for s in bag:
+    for b, (_, text) in enumerate(rows):
+        for *_, own in sentences(text):
             of_bag.append(b)
-            own = [number[w] for w in s if w in number]
-            of_word += own
-            of_sentence += [n] * len(own)
+            known = [number[w] for w in own & number.keys()]
+            of_word += known
+            of_sentence += [n] * len(known)
             n += 1
     of_bag, of_sentence, of_word = (np.array(x, np.int32) for x in (of_bag, of_sentence, of_word))
-    y = np.array([label for label, _ in bags], float)
-    scale = np.array([weight[int(label)] for label in y]) / len(bags)
+    y = np.array([label for label, _ in rows], float)
+    scale = np.array([weight[int(label)] for label in y]) / len(rows)
     w, bias = np.zeros(len(kept)), -8.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, rounds + 1):
         z = np.clip(bias + np.bincount(of_sentence, w[of_word], n), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(of_bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
+        clean = np.bincount(of_bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(rows))
         toxic = np.maximum(-np.expm1(clean), 1e-12)
         # d loss / d z: p for clean bags, -p (1 - P) / P for toxic ones
         by_bag = np.where(y > 0, -np.exp(clean) / toxic, 1.0) * scale
@@ -103,14 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        bags = [(y, [s for *_, s in sentences(t)]) for y, t in sorted(rows, key=lambda x: (x[0], x[1] or b""))]
-        bags = [x for x in bags if x[1]]
-        have = Counter(y for y, _ in bags)
+        rows = sorted(x for x in rows if x[1] and x[1].translate(WORDS).split())
+        have = Counter(y for y, _ in rows)
         if len(have) < 2:
             return
         total = sum(counts.values())
-        weight = {y: (counts[y] / total) / (have[y] / len(bags)) for y in have}
-        bias, words = fit(bags, weight)
+        weight = {y: (counts[y] / total) / (have[y] / len(rows)) for y in have}
+        bias, words = fit(rows, weight)
         yield pa.RecordBatch.from_arrays([pa.array([b"", *words], pa.binary()), pa.array([bias, *words.values()], pa.float64())], names=["word", "weight"])
 
     rows = sample.coalesce(1).mapInArrow(run, "word binary, weight double").collect()
