@@ -33,21 +33,37 @@ def taxonomy(content: DataFrame, meta: dict[str, list[str]]) -> DataFrame:
     return each.groupBy("meta_genre").agg(F.countDistinct("genre").alias("genres"), F.countDistinct("content_id").alias("items"), F.array_join(F.array_sort(F.collect_set("content_type")), ",").alias("domains"))
 
 
-def title_similarity(content: DataFrame, least: float = 0.8) -> DataFrame:
-    """a, b, similarity: items whose titles' word sets have a Jaccard similarity of more than `least`.
+def title_classes(content: DataFrame) -> DataFrame:
+    """content_id, class_id, words: items whose titles have the same words form a class, named by its smallest id."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), " "), lambda w: w != "")))
+    own = content.select("content_id", words.alias("words"))
+    classes = own.groupBy("words").agg(F.min("content_id").alias("class_id"))
+    return own.join(classes, "words").select("content_id", "class_id", "words")
+
+
+def title_similarity(classes: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, b, similarity: classes whose titles' words have a Jaccard similarity of `least` or more, a < b.
 
     Words are put in order of their rarity; two titles as similar as that share
     one of their first words, so only these are joined on.
     """
-    words = content.select("content_id", F.array_distinct(F.filter(F.split(F.lower("title"), " "), lambda w: w != "")).alias("words"))
-    each = words.select("content_id", "words", F.explode("words").alias("w"))
+    own = classes.filter("content_id = class_id").select("class_id", "words")
+    each = own.select("class_id", F.explode("words").alias("w"))
     counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    ordered = each.join(counts, "w").groupBy("content_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"]).alias("words"))
+    ordered = each.join(counts, "w").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"]).alias("words"))
     first = F.slice("words", 1, (F.size("words") - F.ceil(F.size("words") * least) + 1).cast("int"))
-    keyed = ordered.select("content_id", "words", F.explode(first).alias("w"))
-    a, b = (keyed.select("w", F.col("content_id").alias(k), F.col("words").alias(f"w{k}")) for k in "ab")
-    near = a.join(b, "w").filter("a < b and size(wa) >= size(wb) * 0.5 and size(wb) >= size(wa) * 0.5")
-    return near.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") > least).distinct()
+    keyed = ordered.select("class_id", "words", F.explode(first).alias("w"))
+    a, b = (keyed.select("w", F.col("class_id").alias(k), F.col("words").alias(f"w{k}")) for k in "ab")
+    near = a.join(b, "w").filter((F.col("a") < F.col("b")) & (F.size("wa") >= F.size("wb") * least) & (F.size("wb") >= F.size("wa") * least))
+    return near.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least).distinct()
+
+
+def title_links(content: DataFrame, least: float = 0.8) -> DataFrame:
+    """content_id, class_id, links: each item with its class of equal titles and the number of other classes similar to it."""
+    classes = title_classes(content)
+    pairs = title_similarity(classes, least)
+    links = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return classes.join(links, "class_id", "left").select("content_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def cross_domain(pairs: DataFrame, content: DataFrame) -> DataFrame:

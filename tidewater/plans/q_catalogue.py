@@ -39,11 +39,12 @@ def genre_taxonomy(spark, sf_dir):
     return K.taxonomy(content(spark, sf_dir), {"hardware": ["bolt", "nut", "gear"], "device": ["widget", "gizmo"]})
 
 
-@query(f"""WITH {CONTENT}, w AS (SELECT content_id, list_distinct(string_split(lower(title), ' ')) AS w FROM content WHERE content_id % 10 = 0)
-SELECT a.content_id AS a, b.content_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.content_id < b.content_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.8""")
+@query(f"""WITH {CONTENT}, w AS (SELECT content_id, list_sort(list_distinct(string_split(lower(title), ' '))) AS w FROM content), c AS (SELECT w, min(content_id) AS class_id FROM w GROUP BY 1),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM c a JOIN c b ON a.class_id <> b.class_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5), l AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
+SELECT content_id, class_id, coalesce(links, 0) AS links FROM w JOIN c USING (w) LEFT JOIN l ON class_id = a""")
 def title_similarity_join(spark, sf_dir):
-    # titles have two or three words of a few, so that most equal others: every tenth item shows the join
-    return rounded(K.title_similarity(content(spark, sf_dir).filter("content_id % 10 = 0")))
+    # titles have few words: at a similarity of a half there are links between different ones
+    return K.title_links(content(spark, sf_dir), 0.5)
 
 
 @query(f"""WITH {CONTENT}, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.v, i.v), 9) AS similarity FROM v q JOIN v i ON q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id),

@@ -146,15 +146,15 @@ def asof_value(spark, sf_dir):
     return rounded(P.asof_join(left, right, ["user_id"], 3600).select("event_id", "value", "gap_seconds"))
 
 
-@query("""WITH cur AS (SELECT c_custkey AS user_id, 'f' || (c_custkey % 3) AS feature, CAST((c_custkey % 21 - 10) / 10 AS DOUBLE) AS value, 'implicit' AS source, c_custkey % 4 = 0 AS locked FROM customer WHERE c_custkey % 5 <> 0),
-up AS (SELECT c_custkey AS user_id, 'f' || (c_custkey % 3) AS feature, CAST((c_custkey % 31 - 15) / 10 AS DOUBLE) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'explicit' ELSE 'implicit' END AS source, CASE WHEN c_custkey % 3 = 0 THEN 'merge' ELSE 'replace' END AS action FROM customer WHERE c_custkey % 7 <> 0),
+@query("""WITH cur AS (SELECT c_custkey AS user_id, 'f' || (c_custkey % 3) AS feature, CAST((c_custkey % 21 - 10) / 10 AS DOUBLE) AS value, 'implicit' AS source, c_custkey % 4 = 0 AS locked FROM customer WHERE c_acctbal >= 0),
+up AS (SELECT c_custkey AS user_id, 'f' || (c_custkey % 3) AS feature, CAST((c_custkey % 31 - 15) / 10 AS DOUBLE) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'explicit' ELSE 'implicit' END AS source, CASE WHEN c_custkey % 3 = 0 THEN 'merge' ELSE 'replace' END AS action FROM customer WHERE c_mktsegment <> 'BUILDING'),
 b AS (SELECT user_id, feature, c.value AS v, c.source AS s, c.locked, CASE WHEN u.value IS NOT NULL THEN greatest(-1.0, least(1.0, u.value)) END AS n, u.source AS ns, u.action FROM cur c FULL JOIN up u USING (user_id, feature)), k AS (SELECT *, n IS NULL OR (coalesce(locked, false) AND ns <> 'explicit') AS keep FROM b)
 SELECT user_id, feature, round(CASE WHEN keep THEN v WHEN action = 'merge' AND v IS NOT NULL THEN (v + n) / 2 ELSE n END, 6)::DOUBLE AS value, CASE WHEN keep THEN s ELSE ns END AS source FROM k""")
 def explicit_preference_merge(spark, sf_dir):
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     feature = F.concat(F.lit("f"), (k % 3).cast("string"))
-    current = c.filter(k % 5 != 0).select(k.alias("user_id"), feature.alias("feature"), ((k % 21 - 10) / 10).alias("value"), F.lit("implicit").alias("source"), (k % 4 == 0).alias("locked"))
-    updates = c.filter(k % 7 != 0).select(k.alias("user_id"), feature.alias("feature"), ((k % 31 - 15) / 10).alias("value"), F.when(k % 2 == 0, "explicit").otherwise("implicit").alias("source"), F.when(k % 3 == 0, "merge").otherwise("replace").alias("action"))
+    current = c.filter("c_acctbal >= 0").select(k.alias("user_id"), feature.alias("feature"), ((k % 21 - 10) / 10).alias("value"), F.lit("implicit").alias("source"), (k % 4 == 0).alias("locked"))
+    updates = c.filter("c_mktsegment <> 'BUILDING'").select(k.alias("user_id"), feature.alias("feature"), ((k % 31 - 15) / 10).alias("value"), F.when(k % 2 == 0, "explicit").otherwise("implicit").alias("source"), F.when(k % 3 == 0, "merge").otherwise("replace").alias("action"))
     return rounded(P.merged_preferences(current, updates))
 
 

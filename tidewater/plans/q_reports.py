@@ -32,10 +32,10 @@ def impute_domain(spark, sf_dir):
     return rounded(P.impute_domain(own, {"price": 0.0}, {"o_orderpriority": "Unknown"}).select("o_orderkey", "price", "o_orderpriority"), 1e-9)
 
 
-@query("""WITH i AS (SELECT event_type AS field, CASE WHEN value > 80 THEN 'CRITICAL' WHEN value > 40 THEN 'ERROR' ELSE 'WARNING' END AS level, CASE WHEN value > 80 THEN 3 WHEN value > 40 THEN 2 ELSE 1 END AS w FROM events WHERE user_id < 5)
+@query("""WITH i AS (SELECT event_type AS field, CASE WHEN value > 80 THEN 'CRITICAL' WHEN value > 40 THEN 'ERROR' ELSE 'WARNING' END AS level, CASE WHEN value > 80 THEN 3 WHEN value > 40 THEN 2 ELSE 1 END AS w FROM events)
 SELECT field, count(*) AS issues, CASE max(w) WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'ERROR' ELSE 'WARNING' END AS worst, count(*) > 3 AS flagged FROM i GROUP BY 1""")
 def quality_rollup(spark, sf_dir):
-    own = table(spark, sf_dir, "events").filter("user_id < 5")
+    own = table(spark, sf_dir, "events")
     return P.issue_rollup(own.select(F.col("event_type").alias("field"), F.when(F.col("value") > 80, "CRITICAL").when(F.col("value") > 40, "ERROR").otherwise("WARNING").alias("level")))
 
 

@@ -107,11 +107,11 @@ def deadline_and_dlq(spark, sf_dir):
     return S.dead_letters(e, now()).select("event_id", "dlq_reason")
 
 
-@query("SELECT event_id, 0 AS retry_count FROM events WHERE event_id % 5 >= 3 AND event_id % 3 = 0")
+@query("SELECT event_id, 0 AS retry_count FROM events WHERE event_id % 5 >= 3 AND event_type = 'error'")
 def dlq_replay(spark, sf_dir):
     e = stream_events(spark, sf_dir).withColumns({"deadline": F.lit(None).cast("timestamp"), "retry_count": (F.col("event_id") % 5).cast("int"), "malformed": F.lit(None).cast("string")})
     letters = S.dead_letters(e, now()).filter("dlq_reason = 'exhausted'")
-    return S.replay(letters, e.filter("event_id % 3 = 0").select("event_id")).select("event_id", "retry_count")
+    return S.replay(letters, e.filter("event_type = 'error'").select("event_id")).select("event_id", "retry_count")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, ts, json_extract_string(props, '$.k') AS k FROM events")

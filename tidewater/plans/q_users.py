@@ -72,12 +72,12 @@ def cosine_similarity_matrix(spark, sf_dir):
     return rounded(U.pairwise_similarity(U.user_item_matrix(interactions(spark, sf_dir)), common=False))
 
 
-@query(f"""WITH {INTERACTIONS}, {CONTENT}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS mean FROM interactions GROUP BY 1), c AS (SELECT content_id, content_type FROM content WHERE content_id % 2 = 0)
+@query(f"""WITH {INTERACTIONS}, {CONTENT}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS mean FROM interactions GROUP BY 1), c AS (SELECT content_id, content_type FROM content)
 SELECT event_id, n, round(mean, 6) AS mean, coalesce(content_type, 'unknown') AS content_type FROM interactions JOIN a USING (user_id) LEFT JOIN c ON item_id = content_id""")
 def feature_sets_union(spark, sf_dir):
     own = interactions(spark, sf_dir)
     users = U.user_activity(own).select("user_id", "n", "mean")
-    items = content(spark, sf_dir).filter("content_id % 2 = 0").select(F.col("content_id").alias("item_id"), "content_type")
+    items = content(spark, sf_dir).select(F.col("content_id").alias("item_id"), "content_type")
     return rounded(U.feature_sets_union(own.select("event_id", "user_id", "item_id"), [("user_id", users), ("item_id", items)]).select("event_id", "n", "mean", "content_type"))
 
 
