@@ -93,7 +93,7 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
 
     a, b = unit(queries, "vec_id", "query_id"), unit(vectors, "vec_id", "item_id")
     blocks = 8
-    a = a.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     b = b.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     dot = F.aggregate(F.zip_with("v_query_id", "v_item_id", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     both = a.join(b, "block").filter("query_id <> item_id").select("query_id", "item_id", F.round(dot, 9).alias("similarity"))

@@ -10,7 +10,6 @@ from .q_recommend import GENRE_TOP, genre_lists
 from .q_users import rounded
 from .registry import query
 
-#: Held-out relevance: ratings of the users' items that no list was built from is not kept apart here; lists are judged by popularity among similar users instead.
 RELEVANCE = "rel AS (SELECT user_id, item_id, max(value) AS relevance FROM (SELECT user_id, (item_id * 7 + user_id) % 100 AS item_id, value FROM interactions) GROUP BY 1, 2)"
 
 
