@@ -106,6 +106,27 @@ def test_near_duplicates_of_many_copies(spark):
     assert got == want
 
 
+def test_near_duplicates_inside_a_template_family(spark):
+    """Pairs a little above 0.8 among 600 documents that are about 0.77 alike."""
+    rng = np.random.default_rng(3)
+    places = np.arange(1, 800, 2)
+
+    def edited(i, own, n):
+        for j in rng.choice([j for j in places if own[j].startswith("t")], n, replace=False):
+            own[j] = f"n{i}x{j}"
+        return own
+
+    ids = [int(x) for x in rng.permutation(600)]
+    rows = []
+    for a, b in zip(ids[::2], ids[1::2], strict=True):
+        common = edited(a, [f"t{x}" for x in range(800)], 6)
+        rows += [(a, " ".join(edited(a, list(common), 21))), (b, " ".join(edited(b, list(common), 21)))]
+    want = brute.near(rows, 2)
+    assert 250 < len({c for _, c in want.values()}) <= 330
+    got = {r.id: (r.n_shingles, r.component) for r in lsh_forest.near_duplicates(texts(spark, rows), width=2).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd(spark, odd, none):
     out = lsh_forest.near_duplicates(odd, width=2).collect()
     got = {r.id: (r.n_shingles, r.component, r.kept) for r in out}

@@ -14,6 +14,13 @@ sets. First each row's best candidate is confirmed; then those candidates that
 would join different components. Components of confirmed links and classes
 give the result, so that large groups of copies cost no pairs but a few each.
 
+A window loses pairs where more rows share a prefix than it holds. So each
+row's chance to be missed is computed from the prefixes that its windows did
+not cover, and rows above a limit are crowded. Crowded rows that share many
+min-hashes in one of many drawn groups are tied to regions, and inside a region
+all pairs of rows of different components are compared on their full sets, a
+pair of blocks of rows a task.
+
 Texts with fewer words than a shingle have one shingle, the whole sequence;
 null texts and texts without words have the empty set and are linked with
 nothing. Rows with a null id are kept apart: no component, kept. Repeated rows
@@ -36,6 +43,10 @@ from .components import components
 TREES, LENGTH, NEAR = 16, 8, 4
 #: Min-hashes that candidates must share from the start of a tree's signature.
 DEPTH = 2
+#: Chance of missing a link at the limit above which a row is crowded; groups of min-hashes, and their size, that tie crowded rows to regions.
+MISSED, GROUPS, DEEP = 1e-5, 128, 8
+#: Rows, and shingles, of a block of a region.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -118,9 +129,11 @@ def _common(a: bytes, b: bytes) -> int:
     return n // 4
 
 
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("part", pa.int32()), ("beyond", pa.int32())])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of near rows of a sorted partition, and its first and last rows with an empty b for the border."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("part", pa.int32())])
+    """Pairs (a, b) of near rows of a sorted partition, its first and last rows with an empty b for the border, and what the windows did not cover."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -130,22 +143,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for row in zip(*(batch.column(k).to_pylist() for k in ("tree", "key", "id")), strict=True):
             rows += _paired(row, near)
-            if seen < NEAR:
-                rows.append((row[2], None, *row[:2]))
-            near = [*near[-(NEAR - 1) :], row] if NEAR > 1 else [row]
+            if seen <= NEAR:
+                rows.append((row[2], None, *row[:2], None))
+            near = [*near[-NEAR:], row]
             seen += 1
-        yield _rows([(*r, part) for r in rows], fields)
-    if seen > NEAR:
-        yield _rows([(r[2], None, r[0], r[1], part) for r in near[-min(NEAR, seen - NEAR) :]], fields)
+        yield _rows([(*r[:4], part, r[4]) for r in rows], _FOUND)
+    if seen > NEAR + 1:
+        yield _rows([(r[2], None, r[0], r[1], part, None) for r in near[-min(NEAR + 1, seen - NEAR - 1) :]], _FOUND)
 
 
 def _paired(row: tuple[int, bytes, int], near: list[tuple[int, bytes, int]]) -> list[tuple]:
+    """Pairs with the window's rows; both ends of a prefix that reaches one row beyond the window, with its length."""
     tree, key, i = row
     out = []
-    for t, k, j in reversed(near):
-        if t != tree or _common(k, key) < DEPTH:
+    for n, (t, k, j) in enumerate(reversed(near)):
+        common = _common(k, key) if t == tree else 0
+        if common < DEPTH:
             break
-        out.append((max(i, j), min(i, j), None, None))
+        if n < NEAR:
+            out.append((max(i, j), min(i, j), None, None, None))
+        else:
+            out += [(i, None, tree, None, common), (j, None, tree, None, common)]
     return out
 
 
@@ -154,28 +172,119 @@ def _rows(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across the borders of partitions, from their sorted end rows."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The same across the borders of partitions, from their sorted end rows."""
     near: list[tuple[int, bytes, int]] = []
     for batch in batches:
         rows = []
         for row in zip(*(batch.column(k).to_pylist() for k in ("tree", "key", "a")), strict=True):
-            rows += [r[:2] for r in _paired(row, near)]
-            near = [*near, row][-NEAR:]
-        yield _rows(rows, fields)
+            rows += [(*r[:4], None, r[4]) for r in _paired(row, near)]
+            near = [*near, row][-NEAR - 1 :]
+        yield _rows(rows, _FOUND)
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """Distinct pairs (a > b) of rows of (id, sig) that are near each other in some tree."""
-    size = 4 * LENGTH
+def candidates(prints: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a > b) of rows of (id, sig) that are near each other in some tree, and the ids of crowded rows."""
+    size, schema = 4 * LENGTH, "a bigint, b bigint, tree int, key binary, part int, beyond int"
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(sig, {1 + t * size}, {size})").alias("key")) for t in range(TREES)]))
     rows = prints.filter("sig is not null").select("id", trees.alias("x")).select("x.tree", "x.key", "id")
     order = ["tree", "key", "id"]
-    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a bigint, b bigint, tree int, key binary, part int")
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, schema)
     found = written(found, "neighbours")
     # a few rows a partition
-    ends = found.filter("b is null").select("tree", "key", "a").distinct().coalesce(1).sortWithinPartitions("tree", "key", "a")
-    return found.filter("b is not null").select("a", "b").unionByName(ends.mapInArrow(_borders, "a bigint, b bigint")).filter("a <> b").distinct()
+    ends = found.filter("key is not null").select("tree", "key", "a").distinct().coalesce(1).sortWithinPartitions("tree", "key", "a")
+    every = found.filter("key is null").unionByName(written(ends.mapInArrow(_borders, schema), "borders"))
+    pairs = every.filter("b is not null and a <> b").select("a", "b").distinct()
+    # a tree finds a pair that shares one min-hash more than its window left out
+    beyond = every.filter("beyond is not null").groupBy(F.col("a").alias("id"), "tree").agg(F.max("beyond").alias("beyond"))
+    share = F.lit(percent / 100)
+    missed = F.when(F.col("beyond") < LENGTH, F.ln(1 - F.pow(share, F.col("beyond") + 1))).otherwise(0.0)
+    least = float(np.log1p(-((percent / 100) ** DEPTH))) if percent < 100 else -1e9
+    crowded = beyond.groupBy("id").agg((F.sum(missed) + (TREES - F.count(F.lit(1))) * F.lit(least)).alias("missed"))
+    return pairs, crowded.filter(F.col("missed") > float(np.log(MISSED))).select("id")
+
+
+def _deep_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of each row in each group of min-hashes."""
+    rng = np.random.default_rng(7)
+    groups = [rng.choice(TREES * LENGTH, DEEP, replace=False) for _ in range(GROUPS)]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column("id")
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u4").reshape(b.num_rows, -1).astype(np.uint64)
+        for g, own in enumerate(groups):
+            key = np.full(b.num_rows, g + 1, np.uint64)
+            for c in own:
+                key = _mixed(key * np.uint64(MIX) + sig[:, c])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["key", "id"])
+
+
+def _compared(percent: int):
+    """Links of one pair of blocks between rows of different components: what joins them, not all pairs."""
+
+    def run(t: pa.Table) -> pa.Table:
+        i, component, block = (t.column(k).to_numpy() for k in ("id", "component", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("own").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        row, several = np.repeat(np.arange(len(sets)), sizes), count[token] > 1
+        place = (np.cumsum(count > 1) - 1)[token[several]]
+        row = row[several]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        common, step = np.zeros((len(sets), len(sets)), np.float32), 2048
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+            lo, hi = np.searchsorted(place, (at, at + step))
+            x = np.zeros((len(sets), min(step, int(place[-1]) + 1 - at)), np.float32)
+            x[row[lo:hi], place[lo:hi] - at] = 1
+            common += x @ x.T
+        common = common.astype(np.int64)
+        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        # blocks of their own are compared where they stand alone
+        if len(np.unique(block)) > 1:
+            linked &= block[:, None] != block[None, :]
+        root, out = component.copy(), []
+        for k in range(len(sets)):
+            others = np.flatnonzero(linked[k] & (root != root[k]))
+            for r, j in {int(root[j]): int(j) for j in others}.items():
+                out.append((max(int(i[k]), int(i[j])), min(int(i[k]), int(i[j]))))
+                root[root == r] = root[k]
+        fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        return pa.Table.from_batches([_rows(out, fields)], schema=fields)
+
+    return run
+
+
+def _dense_links(own: DataFrame, firsts: DataFrame, crowded: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links among crowded rows that components do not join yet."""
+    from pyspark.sql import Window as W
+
+    crowded = written(crowded, "crowded")
+    if crowded.isEmpty():
+        return None
+    keys = firsts.join(crowded, "id", "left_semi").select("id", "sig").mapInArrow(_deep_keys, "key bigint, id bigint")
+    tied = keys.select("id", F.first("id").over(W.partitionBy("key").orderBy("id")).alias("b")).filter("id <> b").distinct()
+    regions = components(tied.withColumnRenamed("id", "a"))
+    members = regions.unionByName(regions.select(F.col("component").alias("id"), "component").distinct()).distinct().withColumnRenamed("component", "region")
+    rows = members.join(found.hint("merge"), "id", "left").select("id", "region", F.coalesce("component", "id").alias("component"))
+    rows = written(rows, "regions")
+    open_ = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+    rows = written(rows.join(open_.hint("merge"), "region", "left_semi"), "open")
+    if rows.isEmpty():
+        return None
+    sets = own.join(rows, "id").dropDuplicates(["id"]).select("text", "id", "region", "component")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "region", "component")), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "region", "component", "n", "own"])
+
+    sets = written(sets.mapInArrow(shingled, "id bigint, region bigint, component bigint, n bigint, own binary"), "region_sets")
+    blocks = sets.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = sets.join(blocks.hint("merge"), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "block", "own")
+    return written(rows.groupBy("region", "x", "y").applyInArrow(_compared(percent), "a bigint, b bigint"), "dense")
 
 
 def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +339,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "classes")
     firsts = written(prints.join(classes.select(F.col("first").alias("id"), "n", "d1", "d2").hint("merge"), ["id", "n", "d1", "d2"], "left_semi").select("id", "sig").dropDuplicates(["id"]), "firsts")
 
-    pairs = candidates(firsts)
+    pairs, crowded = candidates(firsts, percent)
     a, b = (firsts.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}")) for k in "ab")
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb")
     # an agreement six standard deviations below what the limit lets expect is no link
@@ -248,7 +357,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = pairs.select("a", "b").join(links.hint("merge"), ["a", "b"], "left_anti")
     ca, cb = (found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
     rest = rest.join(ca.hint("merge"), "a", "left").join(cb.hint("merge"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    found = components(links.unionByName(_confirmed(rest.select("a", "b"), sets, percent)))
+    links = links.unionByName(_confirmed(rest.select("a", "b"), sets, percent))
+    found = components(links)
+    dense = _dense_links(own, firsts, crowded, found, width, percent)
+    if dense is not None:
+        found = components(links.unionByName(dense))
 
     # classes get their first document's component, documents their class's
     of_class = classes.join(found.withColumnRenamed("id", "first").hint("merge"), "first", "left").select("n", "d1", "d2", F.coalesce("component", "first").alias("of_class"))
