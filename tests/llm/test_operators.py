@@ -256,6 +256,24 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found == {100, 101, 102}
 
 
+def test_found_identifiers_support_further_patterns(spark):
+    """Identifiers of context A lead to context B, and those that stand only in B lead nowhere without it."""
+    rows = [(i, f"Please call my number +1 (555) 123-{4000 + i} soon") for i in range(60)]
+    rows += [(100 + i, f"Please call my number 5551-{7000 + i}-A soon") for i in range(8)]
+    rows += [(200 + i, f"Customer badge code 5551-{7000 + i}-A expired") for i in range(8)]
+    rows += [(300 + i, f"Customer badge code K{8000 + i} expired") for i in range(2)] + [(400, "It was 2024-10-10 that day")]
+    out = collected(pii.find_personal_data(texts(spark, rows)))
+    found = {i for i, r in out.items() if any(s.kind == 4 for s in r.spans)}
+    assert found == {*range(100, 108), *range(200, 208), 300, 301}
+
+
+def test_few_digits_where_seeds_hold_few(spark):
+    rows = [(i, f"Kindly write to {'abcdefgh'[i % 8]}{'klmnop'[i % 6]}@mail.example.org today") for i in range(60)]
+    rows += [(100, "Kindly write to anna_7 today"), (200, "There were 12 of them")]
+    out = collected(pii.find_personal_data(texts(spark, rows)))
+    assert {i for i, r in out.items() if any(s.kind == 4 for s in r.spans)} == {100}
+
+
 # --- nearest neighbours
 
 def test_neighbours(spark):

@@ -2,10 +2,14 @@
 
 Seeds are what the fixed formats find. The words around a seed make lexical
 patterns: (its last two words before), and (last word before, shape of the
-instance). All tokens that hold digits are instances; a pattern's confidence
-is the share of its instances that are known, an instance's score is the
-noisy-or of its patterns, and the two are computed in turn over the whole
-corpus. Instances that trusted patterns reach are reported as `found`.
+instance). Tokens that hold digits are instances: of four digits or more in
+any pattern, of fewer where a pattern's seeds hold as few. A pattern's
+confidence is the share of its instances that are known, an instance's score is
+the noisy-or of its patterns, and the two are computed in turn over the whole
+corpus. Instances that reach a high score support further patterns like seeds,
+until a round adds no pattern and no instance and scores rise no more.
+Instances that trusted patterns reach are reported as `found`. Tokens without a
+digit are no instances.
 
 A match's place comes from the lengths of the pieces between matches, so
 positions are code points. Expressions start at the start of a run and are
@@ -34,8 +38,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 NEAR = 64
 #: What a scan gives for each text.
 FOUND = "array<struct<start:int,kind:int,end:int,value:string,patterns:array<string>>>"
-#: Rounds of scoring; seeds that must stand in a pattern; confidence of a trusted pattern; score of a found instance; digits of an instance.
-ROUNDS, SUPPORT, TRUST, ENOUGH, DIGITS = 3, 5, 0.6, 0.8, 4
+#: Seeds or found instances that must stand in a pattern; confidence of a trusted pattern; score of a found instance; digits of an instance in any pattern; rise of a score that asks for another round.
+SUPPORT, TRUST, ENOUGH, DIGITS, RISE = 5, 0.6, 0.8, 4, 1e-3
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -104,17 +108,27 @@ def instances(text: Column) -> Column:
         value = F.regexp_replace(F.regexp_replace(x["hit"], lead, ""), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+$", "")
         return F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), patterns(x["before"], value).alias("patterns"))
 
-    return F.filter(F.transform(places(text, TOKEN), row), lambda x: F.length(digits(x["value"])) >= DIGITS)
+    return F.filter(F.transform(places(text, TOKEN), row), lambda x: F.length(digits(x["value"])) > 0)
 
 
 def scored(edges: DataFrame) -> DataFrame:
     """(value) of the instances that trusted patterns reach, from (pattern, value, seed) edges with their count n."""
+    held = F.length(digits(F.col("value")))
+    fewest = edges.filter("seed").groupBy("pattern").agg(F.min(held).alias("fewest"))
+    edges = written(edges.join(fewest.hint("merge"), "pattern", "left").filter(F.col("seed") | (held >= F.least(F.lit(DIGITS), F.coalesce("fewest", F.lit(DIGITS))))).drop("fewest"), "edges")
     known = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
-    for _ in range(ROUNDS):
-        by_pattern = edges.select("pattern", "value", "n").join(known.hint("merge"), "value").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("confidence"), F.count_if("seed").alias("seeds"))
-        trusted = by_pattern.filter((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= TRUST))
+    state = None
+    # scores never fall, so trusted patterns and found instances only grow and the rounds end
+    while True:
+        by_pattern = edges.select("pattern", "value", "n").join(known.hint("merge"), "value").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("confidence"), F.count_if(F.col("score") >= ENOUGH).alias("support"))
+        trusted = written(by_pattern.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= TRUST)), "trusted")
         reached = edges.select("pattern", "value").join(trusted.hint("merge"), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - 0.99 * F.col("confidence"))))).alias("reach"))
-        known = written(known.join(reached.hint("merge"), "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score"), "seed"), "scores")
+        known = written(known.join(reached.hint("merge"), "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score"), "seed", F.col("score").alias("last")), "scores")
+        risen = known.agg(F.count_if(F.col("score") >= ENOUGH).alias("found"), F.max(F.col("score") - F.col("last")).alias("rise")).first()
+        new = (trusted.count(), risen.found)
+        if new == state and (risen.rise or 0.0) <= RISE:
+            break
+        state = new
     return known.filter((F.col("score") >= ENOUGH) & ~F.col("seed")).select("value")
 
 
@@ -130,7 +144,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scan = written(scan.select("id", "row", "base", free.alias("tokens")), "scan")
     every = scan.filter(F.size("base") + F.size("tokens") > 0).select("row", F.explode(F.concat("base", "tokens")).alias("x")).select("row", "x.*").withColumn("seed", F.col("kind") < 4)
     edges = every.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    found = written(scored(written(edges, "edges")), "found")
+    found = written(scored(written(edges, "all_edges")), "found")
     new = every.filter("not seed").join(found.hint("merge"), "value", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     new = written(new, "new")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
