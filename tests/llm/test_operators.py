@@ -226,6 +226,14 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_several_notices(spark):
+    notice = {label: text for label, text, _ in license_scan.TEMPLATES}
+    four = ["apache-2.0", "mit", "bsd", "isc"]
+    rows = [(1, " -- ".join(notice[x] for x in four)), (2, "\n".join(notice.values()))] + [(10 + i, "the of and to this " * 5) for i in range(50)]
+    out = collected(license_scan.scan_licenses(texts(spark, rows)))
+    assert out[1].labels == sorted(four) and set(notice) <= set(out[2].labels)
+
+
 # --- personal data
 
 PERSONAL = [

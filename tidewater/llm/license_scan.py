@@ -1,11 +1,11 @@
-"""License scans by a positional index of rare words.
+"""License scans by a positional index of words weighted by rarity.
 
 Licence templates are word lists with mandatory key phrases. A first pass
-counts in how many documents each template word stands. The second pass takes
-a document's licence words of highest inverse document frequency, looks up
-their postings (template, position), and counts how many agree on the same
-relative position of template and document. Where enough of a template is
-found at one offset and its key phrases stand there word for word, the
+counts in how many documents each template word stands. The second pass looks
+up the postings (template, position) of each of a document's licence words, and
+sums the inverse document frequencies of those that agree on the same relative
+position of template and document. Where enough of a template is found at one
+offset and its key phrases stand there word for word, the
 template's label is given. Fixed phrases are labelled without any threshold.
 
 Null and empty texts have no words and no labels; repeated rows get equal
@@ -41,8 +41,6 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
 )
-#: Rarest licence words of a document that are looked up; all their places in the document are.
-RAREST = 12
 
 
 def _templates(rows) -> list[tuple[str, list[bytes], list[list[bytes]]]]:
@@ -91,26 +89,22 @@ class Index:
 
     def match(self, text: list[bytes], share: float) -> tuple[list[str], float]:
         """Labels of the templates found, and the largest share of a template's weight at one offset."""
-        seen = self.weight.keys() & set(text)
-        if len(seen) < 2:
-            return [], 0.0
-        rare = set(sorted(seen, key=lambda w: (-self.weight[w], w))[:RAREST])
-        votes: Counter = Counter()
+        # all licence words vote, so that a place's votes are the template's whole agreement there
+        votes: dict[tuple[int, int], float] = {}
         for i, w in enumerate(text):
-            if w in rare:
+            if w in self.postings:
+                weight = self.weight[w]
                 for n, j in self.postings[w]:
-                    votes[n, i - j] += self.weight[w]
+                    votes[n, i - j] = votes.get((n, i - j), 0.0) + weight
         labels, best = set(), 0.0
         for (n, at), got in votes.items():
             label, own, keys = self.templates[n]
-            # the rare words only choose the place: what counts is the whole template's agreement there
-            if got < min(share, 0.3) * self.total[n]:
-                continue
-            window = text[max(at, 0) : max(at + len(own), 0)]
-            part = sum(self.weight[w] for j, w in enumerate(own) if 0 <= at + j < len(text) and text[at + j] == w) / self.total[n]
+            part = got / self.total[n]
             best = max(best, part)
-            if part >= share and all(places(window, k) for k in keys):
-                labels.add(label)
+            if part >= share:
+                window = text[max(at, 0) : max(at + len(own), 0)]
+                if all(places(window, k) for k in keys):
+                    labels.add(label)
         return sorted(labels), min(best, 1.0)
 
 
