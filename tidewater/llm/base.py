@@ -45,6 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, hot) of the values that more than a thousandth of the rows have, hence fewer than 1000 values; small tables have none below 100 rows."""
+    counts = written(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return written(counts.filter(F.col("_n") > max(100, total // 1000)).select(key, F.lit(True).alias("_hot")), "hot")
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to `one`, which has a row a key at most; rows of hot keys (see hot_keys) stay where they are and get theirs by a broadcast of fewer than 1000 rows."""
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = one.join(F.broadcast(hot.select(key)), key, "left_semi")
+    near = marked.filter("_hot").drop("_hot").join(F.broadcast(few), key, how)
+    return near.unionByName(marked.filter("_hot is null").drop("_hot").join(one.hint("merge"), key, how))
+
+
 def sent(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast of a value of bounded size whose classes travel with it; tasks take it out by `received`."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -99,4 +114,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus:
     chosen = first(0).unionByName(first(1))
     chosen = written(chosen.withColumn("part", F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(2)).cast("int")), "sample")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "_id")
-    return rows.select("label", "part", "text"), counts
+    # written, so that a caller that fits in one task reads the sample there and not the documents
+    return written(rows.select("label", "part", "text"), "sampled"), counts

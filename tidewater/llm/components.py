@@ -11,6 +11,18 @@ from .base import written
 MOST = 60
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """(a, b, least): each edge (a, b) with its vertex's row of least (a, least, n).
+
+    A vertex with more than a thousandth of all edges would gather them in one
+    task. There are fewer than 1000 such vertices, so their rows are broadcast.
+    """
+    hot = least.filter(F.col("n") > max(100, total // 1000)).select("a", "least")
+    marked = edges.join(F.broadcast(hot), "a", "left")
+    others = marked.filter("least is null").select("a", "b").join(least.select("a", "least").hint("merge"), "a")
+    return marked.filter("least is not null").unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of edges (a, b) that has an edge to another; component is the smallest id reachable.
 
@@ -20,15 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     component.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    total, state = now.count(), None
     for _ in range(MOST):
         # large star: each larger neighbour of a vertex is tied to the vertex's smallest neighbour, or to it
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.unionByName(up).groupBy("a").agg(F.min("b").alias("least"), F.count_if(F.col("b") > F.col("a")).alias("n")).withColumn("least", F.least("a", "least"))
+        large = _with_least(up, least, total).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         # small star: a vertex and its smaller neighbours are tied to the smallest of these
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, total).select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
         now = written(small.filter("a <> b").distinct(), "edges")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:

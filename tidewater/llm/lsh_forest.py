@@ -24,7 +24,8 @@ pair of blocks of rows a task.
 Texts with fewer words than a shingle have one shingle, the whole sequence;
 null texts and texts without words have the empty set and are linked with
 nothing. Rows with a null id are kept apart: no component, kept. Repeated rows
-give one row an id. Other columns are not touched.
+give one row an id. An empty table gives an empty result. Other columns are not
+touched.
 """
 
 from __future__ import annotations
@@ -372,7 +373,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, the smallest id, of each group of near-duplicates; all columns stay, rows with a null id too."""
+    """docs with one document, the smallest id, of each group of near-duplicates; all columns stay, rows with a null id too.
+
+    Of rows that repeat an id the one with the smallest text stays.
+    """
     out = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
-    gone = written(out.filter("not kept").select(F.col("id").alias("_gone")), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = written(out.filter("not kept").select(F.col("id").alias("_tw_id")), "gone")
+    repeated = written(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_tw_id")).count().filter("count > 1").select("_tw_id"), "repeated")
+    own = F.col(id_col).cast("long") == F.col("_tw_id")
+    left = docs.join(gone, own, "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, own, "left_anti")
+    several = left.join(repeated, own, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(text_col)).alias("_tw_row"))
+    # nulls are never the smallest of several, so rows whose texts are all null are taken as they come
+    bare = left.join(repeated, own, "left_semi").filter(F.col(text_col).isNull()).dropDuplicates([id_col])
+    texts = several.filter("_tw_row is not null").select("_tw_row.*")
+    return once.unionByName(texts).unionByName(bare.join(texts.select(F.col(id_col).cast("long").alias("_tw_id")), own, "left_anti"))
