@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import written
-from .components import components
+from .components import components, joined
 
 #: Trees, min-hashes in a tree's signature, rows before a row that it is paired with in each tree.
 TREES, LENGTH, NEAR = 16, 8, 4
@@ -358,11 +358,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = pairs.select("a", "b").join(links.hint("merge"), ["a", "b"], "left_anti")
     ca, cb = (found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
     rest = rest.join(ca.hint("merge"), "a", "left").join(cb.hint("merge"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    links = links.unionByName(_confirmed(rest.select("a", "b"), sets, percent))
-    found = components(links)
+    found = joined(found, _confirmed(rest.select("a", "b"), sets, percent))
     dense = _dense_links(own, firsts, crowded, found, width, percent)
     if dense is not None:
-        found = components(links.unionByName(dense))
+        found = joined(found, dense)
 
     # classes get their first document's component, documents their class's
     of_class = classes.join(found.withColumnRenamed("id", "first").hint("merge"), "first", "left").select("n", "d1", "d2", F.coalesce("component", "first").alias("of_class"))
