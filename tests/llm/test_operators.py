@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import brute
 import compare
 import numpy as np
@@ -71,6 +73,30 @@ def test_mix_odd(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """One document four times: no more than half a document from the target."""
+    docs = spark.createDataFrame([(1, "w " * 7, "a")] * 4 + [(i, "v " * 5, "b") for i in range(2, 12)], "doc_id bigint, text string, source string")
+    rows = mixing.mix(docs).collect()
+    check_mix(rows, docs.collect())
+    kept = mixing.mix(docs.withColumn("copies", docs.doc_id + 100).withColumn("size", docs.text), carry=True)
+    assert sorted((r.doc_id, r.copies, r.taken) for r in kept.collect()) == sorted((r.id, r.copies, r.taken) for r in rows)
+    assert kept.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+
+
+def test_mix_draws_by_the_inclusion_odds(spark):
+    """Many equal documents of four weights: each weight's mean copies are what a document of it expects."""
+    docs = spark.range(8000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "if(id % 5 = 0, 'a', 'b') AS source", "1 + id % 4 AS weight")
+    rows = mixing.mix(docs, weight_col="weight").collect()
+    for s in "ab":
+        own = [r for r in rows if r.source == s]
+        of = sum((1 + r.id % 4) * r.size for r in own)
+        for w in range(1, 5):
+            copies = [r.copies for r in own if 1 + r.id % 4 == w]
+            expected = min(3.0, own[0].target * w / of)
+            p = expected % 1
+            assert abs(np.mean(copies) - expected) <= 5 * (p * (1 - p) / len(copies)) ** 0.5 + 0.01
+
+
 def test_mix_capped_and_weighted(spark):
     docs = spark.createDataFrame([(i, "w " * 10, s, float(i % 3)) for i, s in enumerate("a" * 300 + "b" * 30 + "c" * 5)], "doc_id bigint, text string, source string, quality double")
     rows = mixing.mix(docs).collect()
@@ -203,6 +229,16 @@ def test_random_strings(spark, none):
     assert "hunter2" not in clean[1].text
 
 
+def test_random_letters_and_long_runs(spark):
+    rows = [(1, "key qZvXkWpLmTrYbNcDfGhJ and therthhaanoranst or CamelCaseIdentifierName"), (2, "1" * 10_000 + "a"), (3, "1-" * 20_000), (4, "token=abcdef " * 50_000 + "xK9vQ2mZ7pL4wR8tY3nB6sD1")]
+    began = time.monotonic()
+    out = collected(secret_scan.scan_secrets(texts(spark, rows)))
+    assert time.monotonic() - began < 60
+    own = {i: [t[s.start : s.end] for s in out[i].spans if s.kind == 3] for i, t in rows}
+    assert own[1] == ["qZvXkWpLmTrYbNcDfGhJ"] and own[3] == [] and own[4] == ["xK9vQ2mZ7pL4wR8tY3nB6sD1"]
+    assert len(out[4].spans) == 50_001
+
+
 # --- URLs
 
 def test_urls(spark):
@@ -217,6 +253,16 @@ def test_urls(spark):
     assert url_rules.judge_urls(pages.limit(0), queries.PATH_RULES).count() == 0
 
 
+def test_rules_of_a_table(spark):
+    table_ = spark.createDataFrame([("path", None, "éé", "/", "block", None, None), ("path", None, "a.org", "/x", "allow", None, None), ("pattern", "any", None, None, None, "[?]é", None), ("pattern", "ad", None, None, None, "/ad/", ["ad"])], "kind string, name string, host string, path string, verdict string, pattern string, literals array<string>")
+    paths, patterns = url_rules.read_rules(table_)
+    urls = spark.createDataFrame([(1, "http://éé/q"), (2, "http://a.org/x/ad/"), (3, "http://b.org/ad/"), (4, "http://b.org/?é"), (5, "http://b.org/")], "page_id bigint, url string")
+    out = {i: (r.rule, r.pattern, r.verdict) for i, r in collected(url_rules.judge_urls(urls, paths, patterns)).items()}
+    assert out == {1: ("éé/", None, "block"), 2: ("a.org/x", "ad", "allow"), 3: (None, "ad", "block"), 4: (None, "any", "block"), 5: (None, None, "allow")}
+    with pytest.raises(ValueError):
+        url_rules.read_rules(table_, limit=3)
+
+
 # --- licences
 
 def test_licenses(spark, odd, none):

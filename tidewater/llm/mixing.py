@@ -7,20 +7,25 @@ part of that is given for certain; the fraction is its inclusion probability
 p. Documents are then ranked by the random odds u / (1 - u) divided by the
 inclusion odds p / (1 - p), u being a hash of the document's key, and the
 source takes them from the front until the words of its target are reached.
-Among the documents left, the one whose size fits the last gap best fills it.
+The size is fixed in words, so a gap smaller than the next document is left;
+one document a source, the one whose size fits the gap best, fills it. That is
+the only copy that is not drawn by rank.
 
 The cut of each source is found in two steps without ordering a source in one
 task: words are summed over bins of the rank, then ranks are ordered inside
-the bin that holds the cut.
+the bin that holds the cut. Sources are numbered by ranges, so that no task
+orders all of them either.
 
 Null texts have size 0, are ranked as others and take 0 words; a null source
 is a source of its own, the last; repeated rows are ranked side by side and
-counted one by one; an empty table gives an empty result.
+counted one by one; very long texts are only counted; an empty table gives an
+empty result. Columns that are carried along under the name of a result column
+give way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,76 +37,111 @@ SIZE = r"[^\x20\x09-\x0D]+"
 BINS, SPREAD = 16_384, 24.0
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Adds `number`, the place of each row in the order of its key, null last.
+
+    Rows are ranged by key; only a count for each range is summed in one task.
+    """
+    order = F.col(key).asc_nulls_last()
+    ranged = written(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("part").count().withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("count"))
+    inside = ranged.withColumn("number", F.row_number().over(W.partitionBy("part").orderBy(order)) - 1)
+    return inside.join(F.broadcast(before.select("part", "before")), "part").withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], limit: float) -> DataFrame:
     """source, source_size, target: the words of all sources shared by weight, none above limit times its own.
 
     Sources are numbered by code point, null last, and weigh `weights` in turn.
-    A source at its limit leaves its excess to the others, so a source is
-    capped if its ratio of limit to weight is under the common level; the
-    level comes from running sums in the order of that ratio. The window
-    without a partition runs over one row a source.
+    All get a common level times their weight; sources that this would bring
+    over their limit stay at it, and the level rises for the others, until none
+    is over.
     """
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     given = F.array(*[F.lit(float(w)) for w in weights])
-    own = own.withColumn("weight", F.element_at(given, (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))).withColumn("most", limit * F.col("source_size"))
-    order = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(W.partitionBy()).cast("double") - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    others = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    # in this order the sources at their limit come first; the level is that of the first one below it
-    own = own.withColumn("level", left / others).withColumn("capped", F.col("level") * F.col("weight") >= F.col("most"))
-    level = F.min(F.when(~F.col("capped"), F.struct(F.col("most") / F.col("weight"), F.col("level")))).over(W.partitionBy())["level"]
-    return own.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))).select("source", "source_size", "target")
-
-
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3, seed: int = 17) -> DataFrame:
-    """One row a document: id, print (hash of its text), source, size, source_size, target, copies, taken (size times copies)."""
+    own = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
+    own = own.withColumn("weight", F.element_at(given, (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))).withColumn("most", limit * F.col("source_size"))
+    own = written(own.drop("number"), "sources")
+    level, full = 0.0, None
+    while True:
+        over = F.lit(level) * F.col("weight") > F.col("most")
+        r = own.agg(F.sum("source_size").cast("double"), F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if r[3] == full or r[2] is None:
+            break
+        level, full = ((r[0] or 0.0) - (r[1] or 0.0)) / r[2], r[3]
+    return own.select("source", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def _by_source(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of one row a source; the written table goes to every task only if it is as small as Spark's threshold says."""
+    return rows.join(one.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3, seed: int = 17, carry: bool = False) -> DataFrame:
+    """One row a document: id, print (hash of its text), source, size, source_size, target, copies, taken (size times copies).
+
+    With carry, docs's own columns and then size, source_size, target, copies and taken.
+    """
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     base = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.xxhash64(text_col).alias("print"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(SIZE)), F.lit(0)).cast("long").alias("size"),
         weight.alias("weight"),
+        *whole,
     )
+    # written, so that a row keeps its number
     base = written(base, "sizes")
-    goal = targets(base, weights, limit)
-    spread = base.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("all"))
-    goal = written(goal.join(spread, goal["source"].eqNullSafe(spread["source"])).select(goal["*"], "all"), "targets")
-
-    # one row a source: sent to every task only if the written table is as small as Spark's threshold says
-    own = base.join(goal, base["source"].eqNullSafe(goal["source"]), "left").drop(goal["source"])
-    expected = F.least(F.lit(float(limit)), F.when(F.col("all") > 0, F.round(F.col("target") * F.col("weight") / F.col("all"), 9)).otherwise(0.0))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "print"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    own = own.withColumn("sure", F.floor(expected)).withColumn("p", expected - F.col("sure"))
-    rank = F.when(F.col("p") > 0, F.ln(u / (1 - u)) - F.ln(F.col("p") / (1 - F.col("p"))))
-    step = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((rank + SPREAD) * (BINS / (2 * SPREAD)))))
-    own = own.withColumn("rank", rank).withColumn("bin", step.cast("int"))
+    slim = base.drop("doc")
+    spread = slim.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("all"))
+    goal = written(_by_source(targets(slim, weights, limit), spread), "targets")
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        """Adds the certain copies, the rank of a further one and its bin."""
+        rows = _by_source(rows, goal)
+        expected = F.least(F.lit(float(limit)), F.when(F.col("all") > 0, F.round(F.col("target") * F.col("weight") / F.col("all"), 9)).otherwise(0.0))
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "print"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        rows = rows.withColumn("sure", F.floor(expected)).withColumn("p", expected - F.col("sure"))
+        rank = F.when(F.col("p") > 0, F.ln(u / (1 - u)) - F.ln(F.col("p") / (1 - F.col("p"))))
+        step = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((rank + SPREAD) * (BINS / (2 * SPREAD)))))
+        return rows.withColumn("rank", rank).withColumn("bin", step.cast("int"))
 
     # the words that each source still needs after its certain copies, and the bin in which its ranks reach them
-    bins = own.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("sure")).alias("certain"), F.sum("size").alias("words"), F.first("target").alias("target"))
+    bins = drawn(slim).groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("sure")).alias("certain"), F.sum("size").alias("words"), F.first("target").alias("target"))
     bins = bins.withColumn("need", F.col("target") - F.sum("certain").over(W.partitionBy("source")))
     upto = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bins = bins.filter("bin is not null").withColumn("before", upto)
-    cuts = bins.filter((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need"))).groupBy("source").agg(F.min(F.struct("bin", "before", "need")).alias("cut"))
-    fills = bins.groupBy("source").agg(F.max(F.col("before") + F.col("words")).alias("most"), F.first("need").alias("goal"))
-    cuts = fills.join(cuts, fills["source"].eqNullSafe(cuts["source"]), "left").select(fills["source"], "cut", "goal")
-    cuts = written(cuts, "cuts")
-    own = own.join(cuts, own["source"].eqNullSafe(cuts["source"]), "left").drop(cuts["source"])
-
-    # ranks are ordered in the cut bin only; the bins before it are taken whole, and a source without a cut takes all that have a chance
-    inside = own.filter(F.col("bin") == F.col("cut.bin"))
-    running = F.sum("size").over(W.partitionBy("source").orderBy("rank", "id", "print").rowsBetween(W.unboundedPreceding, W.currentRow))
-    inside = inside.withColumn("extra", (F.col("cut.before") + running <= F.col("goal")).cast("int"))
-    outside = own.filter(F.col("bin").isNull() | F.col("cut.bin").isNull() | (F.col("bin") != F.col("cut.bin")))
-    outside = outside.withColumn("extra", (F.col("bin").isNotNull() & (F.col("goal") > 0) & (F.col("cut.bin").isNull() | (F.col("bin") < F.col("cut.bin")))).cast("int"))
-    taken = written(inside.unionByName(outside).withColumn("copies", (F.col("sure") + F.col("extra")).cast("long")).select("id", "print", "source", "size", "source_size", "target", "copies", "rank"), "taken")
+    reach = (F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need"))
+    cuts = written(bins.groupBy("source").agg(F.first("need").alias("need"), F.min(F.when(reach, F.struct("bin", "before"))).alias("cut")), "cuts")
+
+    # ranks are ordered in the cut bin only
+    inside = _by_source(drawn(slim), cuts).filter(F.col("bin") == F.col("cut.bin"))
+    running = F.sum("size").over(W.partitionBy("source").orderBy(_key()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    last_in = inside.withColumn("upto", F.col("cut.before") + running).filter(F.col("upto") <= F.col("need")).groupBy("source").agg(F.max(_key()).alias("last"))
+    cuts = written(_by_source(cuts, last_in), "cuts")
+
+    def copied(rows: DataFrame) -> DataFrame:
+        """Adds copies: all bins before the cut are taken, and up to the cut inside its bin; a source without a cut takes all that have a chance."""
+        rows = _by_source(drawn(rows), cuts)
+        extra = (F.col("need") > 0) & F.col("bin").isNotNull() & (F.col("cut.bin").isNull() | (F.col("bin") < F.col("cut.bin")) | ((F.col("bin") == F.col("cut.bin")) & F.col("last").isNotNull() & (_key() <= F.col("last"))))
+        return rows.withColumn("copies", (F.col("sure") + F.coalesce(extra, F.lit(False)).cast("int")).cast("long"))
 
     # the last gap of each source goes to the document whose one more copy comes nearest to it
+    taken = written(copied(slim).select("row", "id", "print", "source", "size", "target", "copies", "rank"), "taken")
     gap = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-    spare = taken.filter((F.col("copies") < limit) & (F.col("size") > 0)).join(gap, taken["source"].eqNullSafe(gap["source"])).drop(gap["source"])
-    spare = spare.filter(F.abs(F.col("gap") - F.col("size")) < F.abs(F.col("gap")))
-    last = spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "id", "print")).alias("last"))
-    last = written(last.select("last.id", "last.print", F.lit(1).alias("more")), "last")
-    return taken.join(last, taken["id"].eqNullSafe(last["id"]) & (taken["print"] == last["print"]), "left").drop(last["id"], last["print"]).select("id", "print", "source", "size", "source_size", "target", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    spare = _by_source(taken.filter((F.col("copies") < limit) & (F.col("size") > 0)), written(gap, "gaps"))
+    spare = spare.withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(F.col("off") < F.abs(F.col("gap")))
+    fill = written(spare.groupBy("source").agg(F.min(F.struct("off", "rank", "id", "print", "row")).alias("fill")).select("source", F.col("fill.row").alias("fill")), "fills")
+    out = _by_source(copied(base), fill).withColumn("copies", F.col("copies") + F.coalesce((F.col("row") == F.col("fill")).cast("long"), F.lit(0)))
+    out = out.withColumn("taken", F.col("size") * F.col("copies"))
+    results = ["size", "source_size", "target", "copies", "taken"]
+    if carry:
+        return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in results], *results)
+    return out.select("id", "print", "source", *results)
+
+
+def _key() -> Column:
+    """What orders the rows of a bin; null ids first."""
+    return F.struct("rank", F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "print", "row")
