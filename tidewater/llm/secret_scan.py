@@ -4,10 +4,13 @@ A byte-pair vocabulary packs ordinary text into few tokens and random strings
 into many. A word-like run of characters with few characters to a token is
 taken for a random string, unless it is a known identifier or digest: UUIDs,
 plain hexadecimal of the usual digest lengths, numbers, and strings listed by
-the caller.
+the caller. Runs of letters alone are tested where their case changes as in no
+word, and must be denser in tokens; runs of letters of one case are not, as
+rare words look the same.
 
-Null and empty texts have no spans; positions are code points; repeated rows
-get equal results; other columns are not touched.
+Null and empty texts have no spans; positions are code points; the time grows
+with a text's length; repeated rows get equal results; an empty table gives an
+empty result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
-#: A candidate for the test: a run of at least this many characters, with a digit and a letter in it.
+#: A candidate for the test: a run of at least this many characters, with a letter and either a digit or several capitals after small letters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+DIGIT, LETTER, RISE = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z][A-Z].*[a-z][A-Z]", re.S)
+#: Characters a token under which a run with digits, and one without, is random: 99.9 % of random letters of both cases are under 2.
+RATIO, LETTERS = 2.2, 2.0
 #: Identifiers and digests that are no secrets: UUID; MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal; hexadecimal numbers.
-KNOWN = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:sha(?:1|224|256|384|512)[-_:]?|md5[-_:]?)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|0[xX][0-9a-fA-F]+|(?:[0-9]+[-_/=+]?)+")
+KNOWN = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:sha(?:1|224|256|384|512)[-_:]?|md5[-_:]?)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|0[xX][0-9a-fA-F]+|[0-9]+(?:[-_/=+][0-9]+)*[-_/=+]?")
 #: Runs longer than this are encoded in pieces of this size, which keeps the merge loop linear.
 PIECE = 256
 #: Limit on the vocabulary file that is broadcast, in bytes.
@@ -78,11 +83,15 @@ def _has_hex(text: str) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], count: Callable[[str], int], ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Runs with fewer than `ratio` characters a token that are no known identifier and overlap no fixed format."""
-    out = []
+    """Runs with fewer than `ratio` characters a token that are no known identifier and overlap no fixed format (`taken`, in order)."""
+    out, k, reach = [], 0, 0
     for m in RUN.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][2])
+            k += 1
         run = m[0]
-        if MIXED.match(run) and not KNOWN.fullmatch(run) and run not in known and all(e <= m.start() or s >= m.end() for s, _, e in taken) and len(run) < ratio * count(run):
+        limit = ratio if DIGIT.search(run) else min(ratio, LETTERS) if RISE.search(run) else 0.0
+        if reach <= m.start() and limit and LETTER.search(run) and not KNOWN.fullmatch(run) and run not in known and len(run) < limit * count(run):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -92,23 +101,23 @@ _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end"
 
 
 def _spans(data: bytes, ratio: float, known: frozenset[str]) -> Callable[[Iterable[str | None]], Iterator[list[tuple[int, int, int]]]]:
+    # the encoder is built for the first run that needs it
+    held: list[Callable[[str], int]] = []
+
+    def count(run: str) -> int:
+        if not held:
+            held.append(encoder(data))
+        return held[0](run)
+
     def run(texts: Iterable[str | None]) -> Iterator[list[tuple[int, int, int]]]:
-        count = None
         for t in texts:
             found = base_spans(t) if t else []
-            # only texts with a digit can have a candidate, and the encoder is built for the first of them
-            if t and DIGIT.search(t):
-                count = count or encoder(data)
-                found = sorted(found + random_spans(t, found, count, ratio, known))
-            yield found
+            yield sorted(found + random_spans(t, found, count, ratio, known)) if t else found
 
     return run
 
 
-DIGIT = re.compile("[0-9]")
-
-
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = 2.2, known: Iterable[str] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO, known: Iterable[str] = ()) -> DataFrame:
     """One row a document: id and spans, an array of (start, kind number in KINDS, end)."""
     data = docs.sparkSession.sparkContext.broadcast(_ranks(docs.sparkSession, vocabulary))
     known = frozenset(known)
@@ -122,7 +131,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id bigint, spans {FOUND}")
 
 
-def redact_secrets(docs: DataFrame, *, text_col: str = "text", vocabulary: str | None = None, ratio: float = 2.2, known: Iterable[str] = (), mark: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, *, text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO, known: Iterable[str] = (), mark: str = "[secret]") -> DataFrame:
     """docs with every span of their texts replaced by the mark; n_chars, if there, follows. Overlapping spans become one mark."""
     data = docs.sparkSession.sparkContext.broadcast(_ranks(docs.sparkSession, vocabulary))
     known, at = frozenset(known), docs.columns.index(text_col)
