@@ -8,8 +8,10 @@ differs clearly from that of the others take part. The model is trained through
 a bounded sample of labelled documents, so that it learns which sentences make
 a document toxic, and then scores every sentence of every document.
 
-Null and empty texts have no sentence and score 0; repeated rows score alike;
-without labels of both kinds every score is 0; other columns are not touched.
+Null and empty texts have no sentence and score 0; of equally bad sentences the
+first is the worst; very long texts are scored whole, sentence by sentence;
+repeated rows score alike; without labels of both kinds every score is 0; an
+empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
