@@ -1,13 +1,18 @@
 """The corpus pipeline: five stages over documents, each by one operator of tidewater.llm.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; the next stage
-reads it from Parquet. All but the last return the columns of documents.
+reads it from Parquet. All but the last return the columns of documents, and
+further columns that come with documents; the last adds copies, size, taken and
+target, which replace columns of those names.
+
+Documents with a null or empty text pass all stages; the mix draws them like
+others, though they add no words. Of rows that repeat a doc_id one stays. An empty
+table gives an empty result; very long texts are processed whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, lsh_forest, mixing, secret_scan, toxicity
 from tidewater.llm.base import written
@@ -35,9 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of their copies; those it takes none of go."""
-    out = written(mixing.mix(docs).filter("copies > 0").select(F.col("id").alias("_id"), F.col("print").alias("_print"), "copies", "size", "taken", "target").dropDuplicates(["_id", "_print"]), "mix")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(out, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_print"))).select(*docs.columns, "copies", "size", "taken", "target")
+    return mixing.mix(docs, carry=True).filter("copies > 0").drop("source_size")
 
 
 STAGES = [("toxicity", toxic), ("near_dedup", dedup), ("decontamination", decontaminated), ("secrets", secrets), ("mixing", mixed)]
