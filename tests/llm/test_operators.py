@@ -306,6 +306,14 @@ def test_personal_data(spark, none):
     assert [(s.start, s.kind, s.end) for s in long[1].spans] == [(0, 0, 200_005), (400_007, 1, 400_014)]
 
 
+def test_many_matches_in_one_text(spark):
+    began = time.monotonic()
+    rows = [(1, "call 12345 or a@b.com, " * 50_000), (2, "x")]
+    out = collected(pii.find_personal_data(texts(spark, rows)))
+    assert time.monotonic() - began < 60 and len([s for s in out[1].spans if s.kind == 0]) == 50_000
+    assert all((s.start - 14) % 23 == 0 and s.end - s.start == 7 for s in out[1].spans if s.kind == 0)
+
+
 def test_patterns_find_unseen_identifiers(spark):
     rows = [(i, f"Please call my number +1 (555) 123-{4000 + i} soon") for i in range(40)]
     rows += [(100 + i, f"Please call my number 5551-{7000 + i}-A soon") for i in range(3)] + [(200, "In the year 2024-10-10 it rained")]
@@ -356,6 +364,30 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_probing_fetches_what_the_radius_holds():
+    """By masks and by present values alike, and few of the rows where vectors are clustered."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((400, 32)), 10, axis=0) + 0.02 * rng.standard_normal((4000, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    codes = hash_search.Codes(x[::3], 5)
+    code = codes.of(unit)
+    block, far = hash_search.Block(code), np.bitwise_count(hash_search.words64(code[:50])[:, None] ^ hash_search.words64(code)[None]).sum(-1)
+    for radius in (0, 5, codes.radius, 90, 256):
+        q, r = block.fetch(code[:50], radius)
+        assert set(zip(q.tolist(), r.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(far <= radius)), strict=True))
+    q, r = block.fetch(code[:50], codes.radius)
+    assert len(q) < 0.05 * 50 * 4000 and {(i, j) for i in range(50) for j in range(i - i % 10, i - i % 10 + 10)} <= set(zip(q.tolist(), r.tolist(), strict=True))
+
+
+def test_neighbours_among_many_copies(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(i, [float(i % 7), 1.0, float(i % 11)]) for i in range(400, 500)]
+    got: dict[int, list] = {}
+    for r in hash_search.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert [i for _, i in sorted(got[0])] == [1, 2, 3, 4, 5] and [i for _, i in sorted(got[50])] == [0, 1, 2, 3, 4]
+    assert set(got) == set(range(0, 500, 50)) and all(len(x) == 5 for x in got.values())
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0]), (9, []), (100, None), (None, [1.0, 2.0]), (50, [0.0, 1.0]), (10, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v")

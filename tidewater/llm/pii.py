@@ -11,20 +11,24 @@ until a round adds no pattern and no instance and scores rise no more.
 Instances that trusted patterns reach are reported as `found`. Tokens without a
 digit are no instances.
 
-A match's place comes from the lengths of the pieces between matches, so
-positions are code points. Expressions start at the start of a run and are
-possessive, which gives the leftmost matches in linear time on long texts.
-
-Null and empty texts have no spans; repeated rows get equal results; an empty
-table gives an empty result; other columns are not touched.
+A match's place is the running sum of the lengths of the pieces and matches
+before it, so positions are code points. Expressions start at the start of a
+run and are possessive, which gives the leftmost matches in linear time on long
+texts; matches are rows, so that long texts with many matches need no long
+arrays to be copied.
+
+Null and empty texts have no spans; equal scores need no order; repeated rows
+get equal results; an empty table gives an empty result; other columns are not
+touched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import hot_join, hot_keys, written
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: Fixed formats. A start inside a run could only match what the run's start would, so starts are the runs' (or the last match's end, \G).
@@ -36,24 +40,17 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: Characters before an instance that are looked at for its context.
 NEAR = 64
-#: What a scan gives for each text.
-FOUND = "array<struct<start:int,kind:int,end:int,value:string,patterns:array<string>>>"
+#: What a scan gives for each text: matches of all kinds, each with the length of the piece between the last match of its kind and this, and that piece's end.
+MATCHES = "array<struct<kind:int,gap:int,hit:string,before:string>>"
 #: Seeds or found instances that must stand in a pattern; confidence of a trusted pattern; score of a found instance; digits of an instance in any pattern; rise of a score that asks for another round.
 SUPPORT, TRUST, ENOUGH, DIGITS, RISE = 5, 0.6, 0.8, 4, 1e-3
 
 
-def places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit, before) of a pattern's matches; before is the end of the text between the last match and this."""
+def matches(text: Column, kind: int, pattern: str, may: Column) -> Column:
+    """Array of (kind, gap, hit, before) of a pattern's matches; may is a quick test without which there are none."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
-    rows = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.when(F.size(acc) > 0, F.element_at(acc, -1)["end"]).otherwise(F.lit(0)) + F.length(x["p"])
-        row = F.struct(at.alias("start"), (at + F.length(x["h"])).alias("end"), x["h"].alias("hit"), F.right(x["p"], F.lit(NEAR)).alias("before"))
-        return F.concat(acc, F.array(row))
-
-    return F.when(F.size(hits) > 0, F.aggregate(rows, none, step)).otherwise(none)
+    rows = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), h.alias("hit"), F.right(p, F.lit(NEAR)).alias("before")))
+    return F.when(may, rows).otherwise(F.array().cast(MATCHES))
 
 
 def patterns(before: Column, value: Column) -> Column:
@@ -82,47 +79,60 @@ def small(part: Column) -> Column:
     return F.when(F.length(bare) <= 3, bare.cast("int") <= 255).otherwise(F.lit(False))
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, kind number, end, value, patterns) of the fixed formats, in order."""
-    checks = {
-        0: (EMAIL, F.contains(text, F.lit("@")), lambda h: F.lit(True)),
-        1: (IP, text.rlike(r"[0-9]\.[0-9]"), lambda h: F.forall(F.split(h, r"\."), small)),
-        2: (CARD, text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), lambda h: F.when(F.length(digits(h)).between(12, 19), luhn(digits(h))).otherwise(F.lit(False))),
-        3: (PHONE, F.contains(text, F.lit("+")), lambda h: F.length(digits(h)).between(9, 15)),
-    }
-    none = F.array().cast(FOUND)
-
-    def kept(kind: int, pattern: str, may: Column, good) -> Column:
-        found = F.filter(places(text, pattern), lambda x: good(x["hit"]))
-        return F.when(may, F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["hit"].alias("value"), patterns(x["before"], x["hit"]).alias("patterns")))).otherwise(none)
-
-    return F.array_sort(F.concat(*[kept(k, *c) for k, c in checks.items()]))
-
-
-def instances(text: Column) -> Column:
-    """The same array, of kind 4, of the tokens with digits, without the punctuation around them."""
-    lead = r"^[^A-Za-z0-9+@_\x{80}-\x{10FFFF}]*"
-
-    def row(x: Column) -> Column:
-        start = x["start"] + F.length(F.regexp_extract(x["hit"], lead, 0))
-        value = F.regexp_replace(F.regexp_replace(x["hit"], lead, ""), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+$", "")
-        return F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), patterns(x["before"], value).alias("patterns"))
-
-    return F.filter(F.transform(places(text, TOKEN), row), lambda x: F.length(digits(x["value"])) > 0)
+def scan(text: Column) -> Column:
+    """Matches of all kinds in a text; `found` are all tokens with a digit."""
+    return F.concat(
+        matches(text, 0, EMAIL, F.contains(text, F.lit("@"))),
+        matches(text, 1, IP, text.rlike(r"[0-9]\.[0-9]")),
+        matches(text, 2, CARD, text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")),
+        matches(text, 3, PHONE, F.contains(text, F.lit("+"))),
+        matches(text, 4, TOKEN, text.rlike("[0-9]")),
+    )
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, start, kind, end, value, patterns) of the matches (row, pos, kind, gap, hit, before) that pass their kind's checks.
+
+    Of kind 4 are the tokens without the punctuation around them that hold a
+    digit and overlap nothing of the other kinds.
+    """
+    own = W.partitionBy("row", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(own), F.lit(0)) + F.col("gap")
+    # one exchange serves both windows
+    rows = found.repartition("row").withColumn("start", start.cast("int"))
+    hit, kind = F.col("hit"), F.col("kind")
+    good = F.when(kind == 1, F.forall(F.split(hit, r"\."), small))
+    good = good.when(kind == 2, F.when(F.length(digits(hit)).between(12, 19), luhn(digits(hit))).otherwise(F.lit(False)))
+    good = good.when(kind == 3, F.length(digits(hit)).between(9, 15)).otherwise(F.lit(True))
+    lead = F.regexp_extract(hit, r"^[^A-Za-z0-9+@_\x{80}-\x{10FFFF}]*", 0)
+    bare = F.regexp_replace(F.substr(hit, F.length(lead) + 1), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+$", "")
+    rows = rows.filter(good).withColumn("value", F.when(kind == 4, bare).otherwise(hit)).withColumn("start", F.col("start") + F.when(kind == 4, F.length(lead)).otherwise(0))
+    rows = rows.withColumn("end", F.col("start") + F.length("value")).filter((kind < 4) | (F.length(digits(F.col("value"))) > 0))
+    # running values in both orders; a frame that ends at the last row would be computed anew for each row
+    order = W.partitionBy("row").orderBy("start", "kind", "pos").rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    before = F.max(F.when(kind < 4, F.col("end"))).over(order)
+    after = F.min(F.when(kind < 4, F.col("start"))).over(back)
+    inside = (F.coalesce(before, F.lit(-1)) > F.col("start")) | (F.coalesce(after, F.col("end")) < F.col("end"))
+    rows = rows.withColumn("inside", inside).filter((kind < 4) | ~F.col("inside"))
+    return rows.select("row", "start", "kind", "end", "value", patterns(F.col("before"), F.col("value")).alias("patterns"))
 
 
 def scored(edges: DataFrame) -> DataFrame:
     """(value) of the instances that trusted patterns reach, from (pattern, value, seed) edges with their count n."""
     held = F.length(digits(F.col("value")))
     fewest = edges.filter("seed").groupBy("pattern").agg(F.min(held).alias("fewest"))
-    edges = written(edges.join(fewest.hint("merge"), "pattern", "left").filter(F.col("seed") | (held >= F.least(F.lit(DIGITS), F.coalesce("fewest", F.lit(DIGITS))))).drop("fewest"), "edges")
+    patterns_hot = hot_keys(edges, "pattern")
+    edges = hot_join(edges, fewest, "pattern", patterns_hot, "left").filter(F.col("seed") | (held >= F.least(F.lit(DIGITS), F.coalesce("fewest", F.lit(DIGITS))))).drop("fewest")
+    edges = written(edges, "edges")
+    values_hot = hot_keys(edges, "value")
     known = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
     state = None
     # scores never fall, so trusted patterns and found instances only grow and the rounds end
     while True:
-        by_pattern = edges.select("pattern", "value", "n").join(known.hint("merge"), "value").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("confidence"), F.count_if(F.col("score") >= ENOUGH).alias("support"))
+        by_pattern = hot_join(edges.select("pattern", "value", "n"), known.select("value", "score"), "value", values_hot).groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("confidence"), F.count_if(F.col("score") >= ENOUGH).alias("support"))
         trusted = written(by_pattern.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= TRUST)), "trusted")
-        reached = edges.select("pattern", "value").join(trusted.hint("merge"), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - 0.99 * F.col("confidence"))))).alias("reach"))
+        reached = hot_join(edges.select("pattern", "value"), trusted.select("pattern", "confidence"), "pattern", patterns_hot).groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - 0.99 * F.col("confidence"))))).alias("reach"))
         known = written(known.join(reached.hint("merge"), "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score"), "seed", F.col("score").alias("last")), "scores")
         risen = known.agg(F.count_if(F.col("score") >= ENOUGH).alias("found"), F.max(F.col("score") - F.col("last")).alias("rise")).first()
         new = (trusted.count(), risen.found)
@@ -136,17 +146,14 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row a document: id and spans, an array of (start, kind number in KINDS, end)."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # texts without a digit or an at sign hold neither formats nor instances
-    may = F.col("text").rlike("[0-9@]")
-    none = F.array().cast(FOUND)
-    scan = own.select("id", F.monotonically_increasing_id().alias("row"), F.when(may, base_spans(F.col("text"))).otherwise(none).alias("base"), F.when(may, instances(F.col("text"))).otherwise(none).alias("tokens"))
-    # a token inside what a fixed format found is no instance of its own
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
-    scan = written(scan.select("id", "row", "base", free.alias("tokens")), "scan")
-    every = scan.filter(F.size("base") + F.size("tokens") > 0).select("row", F.explode(F.concat("base", "tokens")).alias("x")).select("row", "x.*").withColumn("seed", F.col("kind") < 4)
+    found = F.when(F.col("text").rlike("[0-9@]"), scan(F.col("text"))).otherwise(F.array().cast(MATCHES))
+    # written, so that a row keeps its number
+    scanned = written(own.select("id", F.monotonically_increasing_id().alias("row"), found.alias("found")), "scan")
+    every = scanned.filter(F.size("found") > 0).select("row", F.posexplode("found").alias("pos", "x")).select("row", "pos", "x.*")
+    every = written(placed(every).withColumn("seed", F.col("kind") < 4), "spans")
     edges = every.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    found = written(scored(written(edges, "all_edges")), "found")
-    new = every.filter("not seed").join(found.hint("merge"), "value", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
-    new = written(new, "new")
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = F.array_sort(F.concat(plain, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return scan.join(new, "row", "left").select("id", spans.alias("spans"))
+    known = written(scored(written(edges, "all_edges")), "found")
+    new = hot_join(every.filter("not seed"), known, "value", hot_keys(every.filter("not seed"), "value"), "left_semi")
+    columns = ["row", "start", "kind", "end"]
+    spans = every.filter("seed").select(*columns).unionByName(new.select(*columns)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    return scanned.select("id", "row").join(written(spans, "by_row"), "row", "left").select("id", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("spans"))
