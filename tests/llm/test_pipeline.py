@@ -90,8 +90,11 @@ def test_run_is_the_stages(spark, stages):
 
 def test_odd_documents_pass(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same text here", "en", "a", 14), (3, "same text here", "en", "a", 14), (None, "no id at all", "en", "b", 12)], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("id", F.lit(1))
-    for rows in (docs, docs.limit(0)):
+    clashing = docs.selectExpr("*", "7 AS copies", "'s' AS size", "'t' AS taken", "'u' AS target", "'v' AS _id", "1 AS print")
+    for rows in (docs, docs.limit(0), clashing):
         out = rows
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             out = written(stage(spark, out, SF), "odd")
-        assert out.count() == len([r for r in out.collect() if r.copies > 0])
+            assert name == "mixing" or out.columns == rows.columns
+        assert out.count() == len([r for r in out.collect() if r.copies > 0]) and out.count() <= 4
+        assert len(set(out.columns)) == len(out.columns)

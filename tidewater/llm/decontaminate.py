@@ -3,16 +3,21 @@
 The test items are normalised to words and put into one suffix automaton a
 block of items. Tasks stream the words of every document through it and keep
 the length of the longest suffix that some item contains; wherever that length
-reaches the window, the matched words are hit. Benchmarks larger than one
-block are handled block by block over all documents.
+reaches the window, the matched words are hit. Long items are cut into chunks
+that overlap by a window less a word, which have the same windows. Automata are
+built in tasks, a block of chunks each; benchmarks larger than one block are
+handled block by block over all documents.
 
 Nulls and empty texts have no words and no hits; an item without words has no
-window; repeated items and documents give the same answer as one; columns
-besides those named are not touched.
+window; repeated items count once; repeated documents are rows of their own
+with equal results, whatever the number of blocks; very long texts are streamed
+word by word; an empty table of documents gives an empty result, and one of
+items no hits. Columns besides those named are not touched.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORDS, received, sent, words, written
+from .base import WORDS, words, written
 
 #: Words of an item that make a window.
 WINDOW = 13
 #: Words of benchmark text in one automaton: 200,000 words take about 200 MB in a Python worker.
 BLOCK_WORDS = 200_000
+#: Words of a long item that start a window in one chunk.
+CHUNK_WORDS = 20_000
 
 
 class Automaton:
@@ -154,38 +161,74 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def _automata(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Automaton]:
-    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    size = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    for b in range(blocks):
-        yield Automaton([(r.item, words(r.text)) for r in rows.filter(F.col("block") == b).collect()], window)
+def _chunked(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = words(text)
+                parts = [own[i : i + CHUNK_WORDS + window - 1] for i in range(0, max(1, len(own) - window + 1), CHUNK_WORDS)] if own else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array([len(p) for p in parts], pa.int64()), pa.array([b" ".join(p) for p in parts], pa.binary())], names=["item", "n", "words"])
+
+    return run
+
+
+def _built(window: int):
+    def run(t: pa.Table) -> pa.Table:
+        own = Automaton([(i, w.split()) for i, w in zip(t.column("item").to_pylist(), t.column("words").to_pylist(), strict=True)], window)
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps(vars(own))], pa.binary())})
+
+    return run
+
+
+def automata(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """(block, data): the automata of all items, a block a row; chunks are dealt to blocks by hash, half of block_words each on average where there are several."""
+    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct()
+    chunks = written(rows.mapInArrow(_chunked(window), "item string, n bigint, words binary"), "chunks")
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    chunks = chunks.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int"))
+    return written(chunks.groupBy("block").applyInArrow(_built(window), "block int, data binary"), "automata")
 
 
 SCHEMA = "id bigint, print bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, text string"
+_FIELDS = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("text", pa.string())])
 
 
-def _scan(docs: DataFrame, automaton: Automaton, cut: bool) -> DataFrame:
-    shared = sent(docs.sparkSession, automaton)
+def _row(i: int | None, p: int, text: bytes | None, spans: list[tuple[int, int]], found: set, n_words: int, cut: bool) -> dict:
+    left = without(text or b"", spans).decode(errors="replace") if cut and spans else None
+    return {"id": i, "print": p, "n_words": n_words, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(x for x in found if x is not None), "text": left}
+
+
+def _scan(docs: DataFrame, data: bytes, cut: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = received(shared)
-        fields = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("text", pa.string())])
+        held = Automaton.__new__(Automaton)
+        vars(held).update(pickle.loads(shared.value))
         for batch in batches:
             rows = []
             for i, p, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                text = text or b""
                 own = words(text)
-                spans, found = held.scan(own)
-                left = without(text, spans).decode(errors="replace") if cut and spans else None
-                rows.append({"id": i, "print": p, "n_words": len(own), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(x for x in found if x is not None), "text": left})
-            yield pa.RecordBatch.from_pylist(rows, schema=fields)
+                rows.append(_row(i, p, text, *held.scan(own), len(own), cut))
+            yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _whole(cut: bool):
+    """The rows of documents with what all blocks found in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, p, text, spans, found in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                own = merged([(x["start"], x["end"]) for x in spans or ()])
+                rows.append(_row(i, p, text, own, set(found or ()), len(words(text)), cut))
+            yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
+
+    return run
+
+
 def benchmark_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """One row a document: id, print (hash of its text), n_words, spans of hit words, items found, text.
 
@@ -193,32 +236,25 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     there are any, else null.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"))
-    parts = [_scan(own, a, cut) for a in _automata(items, item_col, item_text_col, window, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # every block saw every document; a document's spans over all blocks are merged natively
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    joined = F.aggregate(spans, spans_none(), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    whole = every.groupBy("id", "print").agg(F.first("n_words").alias("n_words"), joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    if not cut:
-        return whole.withColumn("text", F.lit(None).cast("string"))
-    whole = written(whole, "hits")
-    texts = own.alias("d").join(whole.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.print") == F.col("w.print"))).select("w.*", "d.text")
-    return texts.mapInArrow(_cut, SCHEMA).dropDuplicates(["id", "print"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = [[(x["start"], x["end"]) for x in r] for r in batch.column("spans").to_pylist()]
-        left = [without(t, s).decode(errors="replace") if s else None for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(left, pa.string())], names=batch.schema.names)
-
-
-def spans_none():
-    return F.array().cast("array<struct<start:int,end:int>>")
+    built = automata(items, item_col, item_text_col, window, block_words)
+    blocks = [r.block for r in built.select("block").orderBy("block").collect()]
+
+    def data(block: int) -> bytes:
+        # one block at a time comes to the driver and goes to the tasks
+        return bytes(built.filter(F.col("block") == block).first().data)
+
+    if not blocks:
+        return _scan(own, pickle.dumps(vars(Automaton([], window))), cut)
+    if len(blocks) == 1:
+        return _scan(own, data(blocks[0]), cut)
+    every = None
+    for b in blocks:
+        part = _scan(own, data(b), False).filter(F.size("spans") > 0).dropDuplicates(["id", "print"])
+        part = written(part.select("id", "print", "spans", "items"), "part")
+        every = part if every is None else every.unionByName(part)
+    every = written(every.groupBy("id", "print").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "hits")
+    rows = own.alias("d").join(every.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.print") == F.col("w.print")), "left")
+    return rows.select("d.id", "d.print", "d.text", "w.spans", "w.items").mapInArrow(_whole(cut), SCHEMA)
 
 
 def judged(hits: DataFrame, coverage: int = 20) -> DataFrame:
@@ -228,16 +264,16 @@ def judged(hits: DataFrame, coverage: int = 20) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: int = 20) -> DataFrame:
-    """docs without contaminated documents, and without the hit words of the others.
+    """docs without contaminated documents, and without the hit words of the others, one row for each row.
 
     All columns of docs stay; n_chars, if there, follows the text. A document is
     decided by its id and text, so repeated rows are decided alike.
     """
     hits = judged(benchmark_hits(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, cut=True), coverage)
-    touched = hits.filter("n_hit > 0").select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("contaminated").alias("_out"), F.col("text").alias("_left")).distinct()
+    touched = hits.filter("n_hit > 0").select(F.col("id").alias("_tw_id"), F.col("print").alias("_tw_print"), F.col("contaminated").alias("_tw_out"), F.col("text").alias("_tw_left")).distinct()
     touched = written(touched, "touched")
-    out = docs.join(touched, (docs[id_col].cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(docs[text_col]) == F.col("_print")), "left").filter(~F.coalesce("_out", F.lit(False)))
-    out = out.withColumn(text_col, F.coalesce("_left", text_col))
+    out = docs.join(touched, (docs[id_col].cast("long").eqNullSafe(F.col("_tw_id"))) & (F.xxhash64(docs[text_col]) == F.col("_tw_print")), "left").filter(~F.coalesce("_tw_out", F.lit(False)))
+    out = out.withColumn(text_col, F.coalesce("_tw_left", text_col))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_tw_left").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
