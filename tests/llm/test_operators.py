@@ -9,7 +9,7 @@ import compare
 import numpy as np
 import pytest
 
-from tidewater.llm import decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, quality, queries, secret_scan, toxicity, url_rules
+from tidewater.llm import components, decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, quality, queries, secret_scan, toxicity, url_rules
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -153,6 +153,21 @@ def test_near_duplicates_inside_a_template_family(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("at_once", [500_000, 60])
+def test_components(spark, monkeypatch, at_once):
+    """Stars, chains and random edges, tied by one task or over rounds with hot vertices."""
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    edges = [(5000 + i, 3) for i in range(300)] + [(6000 + i, 6001 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(0, 300, (160, 2))] + [(7, 7)]
+    root = {v: v for e in edges for v in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {v: r for v, r in root.items() if v != r}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_near_duplicates_odd(spark, odd, none):
     out = lsh_forest.near_duplicates(odd, width=2).collect()
     got = {r.id: (r.n_shingles, r.component, r.kept) for r in out}

@@ -40,9 +40,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int]] = []
     for batch in batches:
         held += zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-        if len(held) >= AT_ONCE:
-            yield tied(held)
-            held = []
+        while len(held) > AT_ONCE:
+            yield tied(held[:AT_ONCE])
+            held = held[AT_ONCE:]
     yield tied(held)
 
 
@@ -66,18 +66,21 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of edges (a, b) that has an edge to another; component is the smallest id reachable.
 
-    Both steps replace a vertex's edges by edges to its smallest neighbour, so
-    the edges stay no more than before and the components stay the same. Each
-    task first ties the edges that it holds. When a round changes nothing, all
-    edges point at the smallest vertex of their component.
+    Each task first ties the edges that it holds, AT_ONCE at most at a time; if
+    that was all there are, nothing is left to tie. Then both steps replace a
+    vertex's edges by edges to its smallest neighbour, so the edges stay no more
+    than before and the components stay the same. When a round changes nothing,
+    all edges point at the smallest vertex of their component.
     """
     schema = "a bigint, b bigint"
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = written(now.distinct().mapInArrow(_forest, schema), "edges")
+    now = written(now.distinct(), "edges")
+    total = now.count()
+    now = written(now.coalesce(max(1, -(-total // AT_ONCE))).mapInArrow(_forest, schema), "edges")
+    if total <= AT_ONCE:
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     state = _state(now)
     for _ in range(MOST):
-        if not state[0]:
-            break
         # large star: each larger neighbour of a vertex is tied to the vertex's smallest neighbour, or to it
         up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
         least = now.unionByName(up).groupBy("a").agg(F.min("b").alias("least"), F.count_if(F.col("b") > F.col("a")).alias("n")).withColumn("least", F.least("a", "least"))

@@ -336,9 +336,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints = written(own.mapInArrow(_prints(width), "id bigint, n bigint, d1 bigint, d2 bigint, sig binary"), "prints")
     slim = prints.select("id", "n", "d1", "d2").distinct()
     # one class for each set; empty sets and null ids stand alone
-    classes = prints.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("first"))
+    classes = prints.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("first"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
-    firsts = written(prints.join(classes.select(F.col("first").alias("id"), "n", "d1", "d2").hint("merge"), ["id", "n", "d1", "d2"], "left_semi").select("id", "sig").dropDuplicates(["id"]), "firsts")
+    firsts = classes.select(F.col("first").alias("id"), "sig")
 
     pairs, crowded = candidates(firsts, percent)
     a, b = (firsts.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}")) for k in "ab")
@@ -348,11 +348,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = n * share - 6 * (n * share * (1 - share)) ** 0.5
     pairs = written(both.mapInArrow(_agreements, "a bigint, b bigint, agree int").filter(F.col("agree") >= least), "pairs")
 
-    concerned = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    concerned = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = own.join(written(concerned, "concerned"), "id", "left_semi").mapInArrow(_sets(width), "id bigint, own binary")
     sets = written(sets.dropDuplicates(["id"]), "sets")
-    # the best candidate of each row first; then only what would join different components
-    best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    # the best candidate of each row first, the smallest of equals; then only what would join different components
+    best = pairs.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
     links = _confirmed(best, sets, percent)
     found = components(links)
     rest = pairs.select("a", "b").join(links.hint("merge"), ["a", "b"], "left_anti")
