@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import hot_join, hot_keys, written
 from .components import components, joined
 
 #: Trees, min-hashes in a tree's signature, rows before a row that it is paired with in each tree.
@@ -270,7 +270,9 @@ def _dense_links(own: DataFrame, firsts: DataFrame, crowded: DataFrame, found: D
     rows = members.join(found.hint("merge"), "id", "left").select("id", "region", F.coalesce("component", "id").alias("component"))
     rows = written(rows, "regions")
     open_ = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
-    rows = written(rows.join(open_.hint("merge"), "region", "left_semi"), "open")
+    # a region may hold a large part of all rows
+    hot = hot_keys(rows, "region")
+    rows = written(hot_join(rows, open_, "region", hot, "left_semi"), "open")
     if rows.isEmpty():
         return None
     sets = own.join(rows, "id").dropDuplicates(["id"]).select("text", "id", "region", "component")
@@ -282,7 +284,7 @@ def _dense_links(own: DataFrame, firsts: DataFrame, crowded: DataFrame, found: D
 
     sets = written(sets.mapInArrow(shingled, "id bigint, region bigint, component bigint, n bigint, own binary"), "region_sets")
     blocks = sets.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = sets.join(blocks.hint("merge"), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = hot_join(sets, blocks, "region", hot).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "block", "own")
     return written(rows.groupBy("region", "x", "y").applyInArrow(_compared(percent), "a bigint, b bigint"), "dense")
