@@ -115,13 +115,13 @@ def user_clusters(vectors: DataFrame, k: int = 5) -> DataFrame:
 
 
 def approx_knn(vectors: DataFrame, queries: DataFrame, n: int = 10, width: float = 2.0) -> DataFrame:
-    """query_id, item_id, distance, rank: neighbours by random projections; those beyond a distance of 1.4 are not looked for."""
+    """query_id, item_id, distance, rank: the nearest of the rows that share a bucket with the query in one of five random projections, at whatever distance."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     own = lambda df: df.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=3, seed=42).fit(own(vectors))
-    near = model.approxSimilarityJoin(own(queries), own(vectors), 1.4, "distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("item_id"), "distance")
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=5, seed=42).fit(own(vectors))
+    near = model.approxSimilarityJoin(own(queries), own(vectors), float("inf"), "distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("item_id"), "distance")
     return top(near.filter("query_id <> item_id"), ["query_id"], [F.col("distance"), F.col("item_id")], n)
 
 

@@ -120,11 +120,11 @@ def factor_scores(users: DataFrame, items: DataFrame, pairs: DataFrame, mean: fl
 
 
 def online_profile(interactions: DataFrame, content: DataFrame, order: list[str], alpha: float = 0.3) -> DataFrame:
-    """user_id, genre, preference: the exponentially moving mean of (rating - 2.5) / 2.5 over the user's events of the genre, by closed-form weights of the event's place from the last."""
+    """user_id, genre, preference: the exponentially moving mean of (rating - 2.5) / 2.5 over the user's events of the genre, by closed-form weights of the event's place from the last. Terms are summed as whole billionths, so that their order does not matter."""
     own = interactions.join(content.select(F.col("content_id").alias("item_id"), "genres"), "item_id").select("user_id", *order, ((F.col("rating") - 2.5) / 2.5).alias("x"), F.explode(F.array_distinct("genres")).alias("genre"))
     place = F.row_number().over(W.partitionBy("user_id", "genre").orderBy(*[F.desc(c) for c in order])) - 1
     weight = alpha * F.pow(F.lit(1 - alpha), F.col("k"))
-    return own.withColumn("k", place).groupBy("user_id", "genre").agg(F.sum(F.col("x") * weight).alias("preference"), F.count(F.lit(1)).alias("n"))
+    return own.withColumn("k", place).groupBy("user_id", "genre").agg((F.sum(F.round(F.col("x") * weight * 1e9).cast("long")) / 1e9).alias("preference"), F.count(F.lit(1)).alias("n"))
 
 
 def template_explanation(lists: DataFrame, templates: dict[str, str]) -> DataFrame:

@@ -173,7 +173,7 @@ def transition_matrix(sessions: DataFrame, item: str = "item_id") -> DataFrame:
     return n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("current")))
 
 
-def sequence_mining(sessions: DataFrame, item: str, longest: int = 3, support: float = 0.01) -> DataFrame:
+def sequence_mining(sessions: DataFrame, item: str, longest: int = 10, support: float = 0.01) -> DataFrame:
     """sequence, n, support: contiguous runs of 2 to `longest` items that stand in at least the share of all sessions."""
     own = sessions.groupBy("user_id", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", item))), lambda x: x[item].cast("string")).alias("items"))
     total = own.agg(F.count(F.lit(1)).alias("total"))
@@ -189,14 +189,25 @@ def next_items(sessions: DataFrame, item: str = "item_id", n: int = 5) -> DataFr
     return top(last.join(transition_matrix(sessions, item), "current"), ["user_id"], [F.desc("p"), F.col("next")], n)
 
 
-def als(interactions: DataFrame, n: int = 10, rank: int = 16, iterations: int = 5) -> DataFrame:
-    """user_id, item_id, score: implicit-feedback factor model, the n best unseen items of each user."""
+def als(interactions: DataFrame, n: int = 10, rank: int = 50, iterations: int = 10, spare: int = 200) -> DataFrame:
+    """user_id, item_id, score: implicit-feedback factor model, the n best unseen items of each user.
+
+    Every user is first offered n + spare items; only those who have seen too
+    many of them are offered as many more as any user has seen.
+    """
     from pyspark.ml.recommendation import ALS
 
     matrix = interactions.groupBy("user_id", "item_id").agg(F.sum("rating").cast("float").alias("rating"))
     model = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", implicitPrefs=True, rank=rank, maxIter=iterations, regParam=0.1, seed=42, coldStartStrategy="drop").fit(matrix)
-    seen = matrix.groupBy("user_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-    # enough candidates that n unseen ones remain for every user; a user's rows are few against the items
-    offered = model.recommendForAllUsers(min(n + seen, 500)).select("user_id", F.explode("recommendations").alias("r")).select("user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
-    unseen = offered.join(matrix.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top(unseen, ["user_id"], [F.desc("score"), F.col("item_id")], n)
+    seen = matrix.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
+    many = seen.filter(F.col("k") > spare).select("user_id")
+
+    def unseen(offered: DataFrame) -> DataFrame:
+        rows = offered.select("user_id", F.explode("recommendations").alias("r")).select("user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
+        return rows.join(matrix.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+    rows = unseen(model.recommendForAllUsers(n + spare)).join(many, "user_id", "left_anti")
+    most = seen.agg(F.max("k")).first()[0] or 0
+    if most > spare:
+        rows = rows.unionByName(unseen(model.recommendForUserSubset(many, n + most)))
+    return top(rows, ["user_id"], [F.desc("score"), F.col("item_id")], n)

@@ -143,11 +143,11 @@ def mf_predict(spark, sf_dir):
     return rounded(B.factor_scores(u, i, own.select("user_id", "item_id").distinct(), 2.5))
 
 
-@query(f"""WITH {PURCHASES}, {CONTENT}, e AS (SELECT user_id, ts, l_orderkey, l_linenumber, (rating - 2.5) / 2.5 AS x, unnest(list_distinct(genres)) AS genre FROM purchases JOIN content ON item_id = content_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY user_id, genre ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC) - 1 AS k FROM e) SELECT user_id, genre, round(sum(x * 0.3 * pow(0.7, k)) + 1e-9, 5) AS preference, count(*) AS n FROM k GROUP BY 1, 2""")
+@query(f"""WITH {PURCHASES}, {CONTENT}, e AS (SELECT user_id, ts, l_orderkey, l_linenumber, item_id, rating, (rating - 2.5) / 2.5 AS x, unnest(list_distinct(genres)) AS genre FROM purchases JOIN content ON item_id = content_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, genre ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, item_id DESC, rating DESC) - 1 AS k FROM e) SELECT user_id, genre, sum(CAST(round(x * (0.3 * pow(0.7, k)) * 1e9) AS BIGINT))::DOUBLE / 1e9 AS preference, count(*) AS n FROM k GROUP BY 1, 2""")
 def online_content_profile(spark, sf_dir):
-    out = B.online_profile(purchases(spark, sf_dir), content(spark, sf_dir), ["ts", "l_orderkey", "l_linenumber"])
-    return out.select("user_id", "genre", F.round(F.col("preference") + 1e-9, 5).alias("preference"), "n")
+    out = B.online_profile(purchases(spark, sf_dir), content(spark, sf_dir), ["ts", "l_orderkey", "l_linenumber", "item_id", "rating"])
+    return out.select("user_id", "genre", "preference", "n")
 
 
 @query(f"""{GENRE_TOP} SELECT user_id, item_id, CASE WHEN item_id % 2 = 0 THEN 'You like ' || genres[1] || ': ' || title ELSE 'Popular: ' || title || ' (' || printf('%.2f', score) || ')' END AS text FROM g JOIN content ON item_id = content_id""")

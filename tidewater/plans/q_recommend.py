@@ -162,7 +162,7 @@ def transition_matrix(spark, sf_dir):
     return rounded(R.transition_matrix(sessions(spark, sf_dir), "interaction_type"))
 
 
-@query(f"""{SESSIONS}, l AS (SELECT user_id, session, list(interaction_type ORDER BY ts, event_id) AS x FROM s GROUP BY 1, 2), r AS (SELECT DISTINCT user_id, session, array_to_string(x[i:i + k - 1], '>') AS sequence FROM l, (VALUES (2), (3)) v(k), range(1, 200) t(i) WHERE i + k - 1 <= len(x)),
+@query(f"""{SESSIONS}, l AS (SELECT user_id, session, list(interaction_type ORDER BY ts, event_id) AS x FROM s GROUP BY 1, 2), r AS (SELECT DISTINCT user_id, session, array_to_string(x[i:i + k - 1], '>') AS sequence FROM l, LATERAL unnest(range(2, 11)) v(k), LATERAL unnest(range(1, greatest(1, len(x) - k + 2))) t(i)),
 n AS (SELECT sequence, count(*) AS n FROM r GROUP BY 1) SELECT sequence, n, round(n / (SELECT count(*) FROM l), 6) AS support FROM n WHERE n >= 0.01 * (SELECT count(*) FROM l)""")
 def sequence_mining(spark, sf_dir):
     return rounded(R.sequence_mining(sessions(spark, sf_dir), "interaction_type"))
