@@ -450,7 +450,7 @@ def test_noisy_or_by_hand(spark):
 
     out = collected(toxicity.score(texts(spark, rows), (bias, weights)))
     assert all(out[i].score == pytest.approx(plain(t, bias, weights)) for i, t in rows)
-    labelled = [(int("bad" in t), t.encode()) for _, t in rows] * 3
+    labelled = [(int("bad" in t), t.encode()) for _, t in rows] * 20
     fitted = toxicity.fit(labelled, {0: 1.0, 1: 1.0})
 
     def loss(model):
