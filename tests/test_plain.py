@@ -89,3 +89,26 @@ def test_page_hinkley(spark):
     df = spark.createDataFrame([(1, t, v) for t, v in enumerate(values)], "user_id bigint, t bigint, value double")
     columns = preferences.page_hinkley(df, ["user_id"], limit=20.0)
     assert columns.count() == 1
+
+
+def test_places_and_normal_points(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import stats as S
+
+    values = [5.0, 1.0, None, 3.0, 3.0, 3.0, -2.0, 9.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = sorted(v for v in values if v is not None)
+    want = {(v, known.count(v), sum(x < v for x in known), len(known), sorted(set(known)).index(v)) for v in known}
+    assert {tuple(r) for r in S.places(df, "v", bins=3).select("v", "ties", "below", "total", "number").collect()} == want
+    assert S.places(df.filter("false"), "v").count() == 0
+    texts = spark.createDataFrame([(t,) for t in ["b", "abcd", "abc", "", "abce", "b"]], "v string")
+    assert [r.v for r in S.places(texts, "v").orderBy("number").collect()] == ["", "abc", "abcd", "abce", "b"]
+    shares = spark.createDataFrame([(p,) for p in [1e-7, 0.001, 0.02, 0.3, 0.5, 0.9, 0.99, 1 - 1e-7]], "p double")
+    for r in shares.select("p", S.normal_point(F.col("p")).alias("z")).collect():
+        assert abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-6
+    # points of tables: 5 % two-sided for the normal and for Student's t of 10 and 30 degrees of freedom
+    r = spark.range(1).select(S.normal_two_sided(F.lit(1.959964)), S.student_point(F.lit(10)), S.student_point(F.lit(30)), S.normal_two_sided(S.student_as_normal(F.lit(2.228), F.lit(10)))).first()
+    assert abs(r[0] - 0.05) < 1e-6 and abs(r[1] - 2.228) < 0.01 and abs(r[2] - 2.042) < 0.003 and abs(r[3] - 0.05) < 0.001

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio
+from ..functions.stats import normal_point, places, ratio
 
 
 def _with(df: DataFrame, *aggs: Column) -> DataFrame:
@@ -131,13 +131,10 @@ def outlier_cap(df: DataFrame, column: str, low: float = 0.05, high: float = 0.9
 def outlier_winsorize(df: DataFrame, column: str, low: float = 0.05, high: float = 0.05) -> DataFrame:
     """The lowest and highest shares of the values become the nearest value that is kept.
 
-    The two order statistics come from the counts of the distinct values, whose
-    running sums give their places.
+    The two order statistics come from the places of the distinct values.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("_to", F.sum("n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0)))
-    n = counts.agg(F.sum("n").alias("_n"))
-    ends = upto.crossJoin(F.broadcast(n)).agg(F.min(F.when(F.col("_to") > F.floor(F.col("_n") * low), F.col(column))).alias("_low"), F.min(F.when(F.col("_to") >= F.col("_n") - F.floor(F.col("_n") * high), F.col(column))).alias("_high"))
+    upto, n = F.col("below") + F.col("ties"), F.col("total")
+    ends = places(df, column).agg(F.min(F.when(upto > F.floor(n * low), F.col(column))).alias("_low"), F.min(F.when(upto >= n - F.floor(n * high), F.col(column))).alias("_high"))
     return df.crossJoin(F.broadcast(ends)).withColumn(column, F.when(F.col(column).isNotNull(), F.greatest("_low", F.least("_high", column)))).drop("_low", "_high")
 
 
@@ -147,6 +144,34 @@ def transform_log(df: DataFrame, column: str, name: str) -> DataFrame:
     return out.withColumn(name, F.ln(F.col(column) + F.when(F.col("_min") <= 0, F.abs("_min") + 1).otherwise(0))).drop("_min")
 
 
+def transform_boxcox(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds <name> and <name>_lambda: the Box-Cox transform with the exponent of the largest likelihood, after a shift by |min| + 1 where a value is not positive.
+
+    The exponent is sought from -2 to 2 in steps of 0.25, then of 0.025 and of 0.0025
+    around the best; each pass is one aggregate. Equal likelihoods take the smaller one.
+    """
+    out = _with(df, F.min(column).alias("_min"))
+    out = out.withColumn("_x", F.col(column).cast("double") + F.when(F.col("_min") <= 0, F.abs("_min") + 1).otherwise(0)).withColumn("_best", F.lit(0.0))
+
+    def power(at: Column) -> Column:
+        return F.when(F.abs(at) < 1e-9, F.ln("_x")).otherwise((F.pow(F.col("_x"), at) - 1) / at)
+
+    for step, reach in ((0.25, 8), (0.025, 10), (0.0025, 10)):
+        at = [F.round(F.col("_best") + i * step, 4) for i in range(-reach, reach + 1)]
+        fit = [F.struct((-((x - 1) * F.sum(F.ln("_x")) - F.count("_x") / 2 * F.ln(F.var_pop(power(x))))).alias("loss"), x.alias("at")) for x in at]
+        # one group, as the exponents reached so far are the same in all rows
+        best = out.groupBy("_best").agg(F.array_min(F.array(*fit))["at"].alias("_next"))
+        out = out.crossJoin(F.broadcast(best.select("_next"))).withColumn("_best", F.col("_next")).drop("_next")
+    return out.withColumn(name, power(F.col("_best"))).withColumnRenamed("_best", f"{name}_lambda").drop("_min", "_x")
+
+
+def transform_quantile_normal(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds <name>: the standard normal's point at the value's share of smaller ones (ties at their middle), which is kept 1e-7 from 0 and 1."""
+    share = (F.col("below") + (F.col("ties") - 1) / 2) / F.greatest(F.col("total") - 1, F.lit(1))
+    p = places(df, column).select(F.col(column).alias("_at"), normal_point(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), share))).alias(name))
+    return df.join(p, F.col(column) == F.col("_at"), "left").drop("_at")
+
+
 def outlier_default_treatment(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, percent, treatment: cap above 20 percent of outliers, winsorize above 10, cap for ratings, log for skewed ones, else cap."""
     report = outlier_report(df, columns).filter("method = 'iqr'").select("field", "percent")
@@ -179,10 +204,9 @@ def scale_features(df: DataFrame, columns: list[str], method: str = "standard")
 def encode_label(df: DataFrame, column: str) -> DataFrame:
     """Adds <column>_encoded: the number of the value among the sorted distinct values, from 0; null for null.
 
-    The window runs over the distinct values, and these join back.
+    The distinct values are numbered in bins, and these join back.
     """
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    codes = values.select(F.col(column).alias("_v"), (F.row_number().over(W.orderBy(column)) - 1).alias(f"{column}_encoded"))
+    codes = places(df, column).select(F.col(column).alias("_v"), F.col("number").cast("int").alias(f"{column}_encoded"))
     return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import as_of, clip, percent_rank, ratio
+from ..functions.stats import as_of, clip, places, ratio, with_percentile
 
 #: Fixed keyword lists of the sentiment and text features.
 POSITIVE = ["good", "great", "excellent", "amazing", "love", "best", "wonderful", "fantastic", "perfect", "enjoy"]
@@ -80,19 +80,17 @@ def quality_tiers(items: DataFrame, score: str, popularity: str) -> DataFrame:
     Percentiles come from the distinct values with their counts, which join back.
     """
     mean = items.agg(F.avg(score).alias("_mean"))
-    n = items.filter(F.col(popularity).isNotNull()).groupBy(popularity).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.orderBy(popularity).rowsBetween(W.unboundedPreceding, 0))
-    pct = n.select(F.col(popularity).alias("_p"), ((upto - F.col("_c") + (F.col("_c") + 1) / 2) / F.sum("_c").over(W.partitionBy())).alias("popularity_percentile"))
-    out = items.crossJoin(F.broadcast(mean)).join(pct, F.col(popularity) == F.col("_p"), "left")
+    out = with_percentile(items, popularity, "popularity_percentile").crossJoin(F.broadcast(mean))
     tier = F.when(F.col(score) < 0.3, "low").when(F.col(score) < 0.6, "medium").when(F.col(score) < 0.8, "high").when(F.col(score).isNotNull(), "excellent")
-    return out.withColumns({"tier": tier, "above_mean": F.col(score) > F.col("_mean"), "is_mainstream": F.col("popularity_percentile") > 0.7, "is_niche": F.col("popularity_percentile") < 0.3}).drop("_p", "_mean")
+    return out.withColumns({"tier": tier, "above_mean": F.col(score) > F.col("_mean"), "is_mainstream": F.col("popularity_percentile") > 0.7, "is_niche": F.col("popularity_percentile") < 0.3}).drop("_mean")
 
 
 def popularity_quality(interactions: DataFrame, days: int = 365, when: str | None = None) -> DataFrame:
     """item_id, n, recent, popularity: 0.6 of the percentile of all events and 0.4 of that of recent ones, scaled to 0..1."""
     own = as_of(interactions, when)
     n = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") >= F.col("as_of") - F.expr(f"interval {days} days")).alias("recent"))
-    raw = n.withColumn("raw", 0.6 * percent_rank("n") + 0.4 * percent_rank("recent"))
+    ranked = with_percentile(with_percentile(n, "n", "_all"), "recent", "_late")
+    raw = ranked.withColumn("raw", 0.6 * F.col("_all") + 0.4 * F.col("_late"))
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     scaled = F.when(F.col("hi") == F.col("lo"), F.lit(0.5)).otherwise((F.col("raw") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
     return raw.crossJoin(F.broadcast(ends)).select("item_id", "n", "recent", scaled.alias("popularity"))
@@ -133,9 +131,10 @@ def composite_quality(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
     mean = sum(values, F.lit(0.0)) / len(values)
     deviation = F.sqrt(sum(((v - mean) * (v - mean) for v in values), F.lit(0.0)) / len(values))
     out = parts.withColumn("composite", F.round(total, 9)).withColumn("agreement", 1 / (1 + deviation))
-    pct = percent_rank("composite")
+    pct = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")
     tier = F.when(pct <= 0.25, "poor").when(pct <= 0.5, "fair").when(pct <= 0.75, "good").when(pct <= 0.9, "very_good").otherwise("excellent")
-    return out.withColumn("quality_rank", F.rank().over(W.orderBy(F.desc("composite")))).withColumn("tier", tier)
+    ranks = places(out, "composite").select(F.col("composite").alias("_at"), (F.col("total") - F.col("below") - F.col("ties") + 1).alias("quality_rank"), tier.alias("tier"))
+    return out.join(ranks, F.col("composite") == F.col("_at"), "left").drop("_at")
 
 
 def content_analytics(interactions: DataFrame, content: DataFrame, least: int = 5, threshold: float = 2.5) -> DataFrame:

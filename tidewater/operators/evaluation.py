@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio
+from ..functions.stats import normal_two_sided, places, ratio, student_as_normal, student_point
 
 
 def ndcg(lists: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
@@ -58,8 +58,14 @@ def novelty(lists: DataFrame, interactions: DataFrame, head: float = 0.2) -> Dat
     """user_id, novelty (mean of 1 less popularity), information (mean of -log2 popularity), long_tail (share of items beyond the most popular fifth)."""
     users = interactions.agg(F.countDistinct("user_id").alias("users"))
     n = interactions.groupBy("item_id").agg(F.countDistinct("user_id").alias("n"))
-    place = F.row_number().over(W.orderBy(F.desc("n"), "item_id")) / F.count(F.lit(1)).over(W.partitionBy())
-    pop = n.withColumn("place", place).crossJoin(F.broadcast(users)).select("item_id", (F.col("n") / F.col("users")).alias("p"), (F.col("place") > head).alias("tail"))
+    # items as popular as the one at the cut are told apart by their ids
+    above = F.col("total") - F.col("below") - F.col("ties")
+    cut = places(n, "n").select(F.col("n").alias("_at"), above.alias("_above"), "total", ((above + 1) / F.col("total") > head).alias("_beyond"), ((above + F.col("ties")) / F.col("total") <= head).alias("_inside"))
+    own = n.join(cut, F.col("n") == F.col("_at"))
+    at_cut = own.filter("not _beyond and not _inside")
+    ids = places(at_cut, "item_id").select("item_id", F.col("below").alias("_earlier"))
+    tail = F.col("_beyond") | (~F.col("_inside") & ((F.col("_above") + F.coalesce("_earlier", F.lit(0)) + 1) / F.col("total") > head))
+    pop = own.join(ids, "item_id", "left").crossJoin(F.broadcast(users)).select("item_id", (F.col("n") / F.col("users")).alias("p"), tail.alias("tail"))
     return lists.join(pop, "item_id").groupBy("user_id").agg(F.avg(1 - F.col("p")).alias("novelty"), F.avg(-F.log2("p")).alias("information"), F.avg(F.col("tail").cast("double")).alias("long_tail"))
 
 
@@ -151,7 +157,11 @@ def ab_assignment(users: DataFrame, experiment: str, traffic: dict[str, float])
 
 
 def welch(df: DataFrame, variant: str, metric: str, control: str, treatment: str) -> DataFrame:
-    """n, means, difference, t, degrees of freedom and pooled effect size of two variants."""
+    """n, means, difference, t, degrees of freedom, p, effect (difference over the root of the mean variance) and the 95 % interval of two variants.
+
+    Effect and interval use population variances, the interval the point of Student's t
+    for the smaller sample; p takes t to a normal deviate (stats.student_as_normal).
+    """
     def part(name: str, prefix: str) -> list[Column]:
         x = F.when(F.col(variant) == name, F.col(metric))
         return [F.count(x).alias(f"n_{prefix}"), F.avg(x).alias(f"mean_{prefix}"), F.var_samp(x).alias(f"var_{prefix}")]
@@ -160,28 +170,31 @@ def welch(df: DataFrame, variant: str, metric: str, control: str, treatment: str
     ea, eb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
     diff = F.col("mean_b") - F.col("mean_a")
     dof = (ea + eb) * (ea + eb) / (ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1))
-    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
-    return a.select("n_a", "n_b", "mean_a", "mean_b", diff.alias("difference"), (diff / F.sqrt(ea + eb)).alias("t"), dof.alias("dof"), (diff / pooled).alias("effect"))
+    pa, pb = F.col("var_a") * (F.col("n_a") - 1) / F.col("n_a"), F.col("var_b") * (F.col("n_b") - 1) / F.col("n_b")
+    out = a.select("n_a", "n_b", "mean_a", "mean_b", diff.alias("difference"), (diff / F.sqrt(ea + eb)).alias("t"), dof.alias("dof"), (diff / F.sqrt((pa + pb) / 2)).alias("effect"), F.sqrt(pa / F.col("n_a") + pb / F.col("n_b")).alias("_se"))
+    half = student_point(F.least("n_a", "n_b") - 1) * F.col("_se")
+    return out.withColumns({"p": normal_two_sided(student_as_normal(F.col("t"), F.col("dof"))), "low": F.col("difference") - half, "high": F.col("difference") + half}).drop("_se")
 
 
 def mann_whitney(df: DataFrame, variant: str, metric: str, control: str, treatment: str) -> DataFrame:
-    """u of the control, n of both, z with tie correction, over ranks that ties share.
+    """u of the control, n of both, z with tie correction and its two-sided p with continuity correction, over ranks that ties share.
 
     Ranks come from the counts of the distinct values.
     """
     own = df.filter(F.col(variant).isin(control, treatment) & F.col(metric).isNotNull())
-    n = own.groupBy(metric).agg(F.count_if(F.col(variant) == control).alias("a"), F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy(metric).rowsBetween(W.unboundedPreceding, 0))
-    ranked = n.withColumn("rank", upto - (F.col("c") - 1) / 2)
+    n = places(own, metric, F.count_if(F.col(variant) == control).alias("a"))
+    ranked = n.withColumn("c", F.col("ties")).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("a")).alias("ra"), F.sum("a").alias("na"), F.sum("c").alias("n"), F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"))
     na, nb = F.col("na").cast("double"), (F.col("n") - F.col("na")).cast("double")
     u = F.col("ra") - na * (na + 1) / 2
     sd = F.sqrt(na * nb / 12 * ((F.col("n") + 1) - F.col("ties") / (F.col("n") * (F.col("n") - 1))))
-    return s.select(F.col("na").alias("n_a"), (F.col("n") - F.col("na")).alias("n_b"), u.alias("u"), ((u - na * nb / 2) / sd).alias("z"))
+    off = u - na * nb / 2
+    p = normal_two_sided(F.greatest(F.lit(0.0), F.abs(off) - 0.5) / sd)
+    return s.select(F.col("na").alias("n_a"), (F.col("n") - F.col("na")).alias("n_b"), u.alias("u"), (off / sd).alias("z"), p.alias("p"))
 
 
 def chi_square(df: DataFrame, variant: str, converted: str, control: str, treatment: str) -> DataFrame:
-    """Rates, lift and Yates' chi-square of conversions of two variants."""
+    """Rates, lift, Yates' chi-square and its p of conversions of two variants."""
     c = lambda name, hit: F.count_if((F.col(variant) == name) & (F.col(converted) if hit else ~F.col(converted))).cast("double")
     s = df.agg(c(control, True).alias("a"), c(control, False).alias("b"), c(treatment, True).alias("c"), c(treatment, False).alias("d"))
     a, b, cc, d = (F.col(x) for x in "abcd")
@@ -189,14 +202,22 @@ def chi_square(df: DataFrame, variant: str, converted: str, control: str, treatm
     off = F.greatest(F.lit(0.0), F.abs(a * d - b * cc) - n / 2)
     chi = ratio(n * off * off, (a + b) * (cc + d) * (a + cc) * (b + d), 0.0)
     ra, rb = ratio(a, a + b, 0.0), ratio(cc, cc + d, 0.0)
-    return s.select(ra.alias("rate_a"), rb.alias("rate_b"), ratio(rb - ra, ra).alias("lift"), chi.alias("chi_square"))
+    return s.select(ra.alias("rate_a"), rb.alias("rate_b"), ratio(rb - ra, ra).alias("lift"), chi.alias("chi_square"), normal_two_sided(F.sqrt(chi)).alias("p"))
 
 
-def sprt(df: DataFrame, variant: str, hit: str, control: str, treatment: str, effect: float = 0.1, alpha: float = 0.05, beta: float = 0.05) -> DataFrame:
-    """llr, decision: the log likelihood ratio of the treatment's hits at the control's rate plus the effect against the control's rate, held against both bounds."""
-    a = df.agg(F.avg(F.when(F.col(variant) == control, F.col(hit).cast("double"))).alias("p"), F.count_if((F.col(variant) == treatment) & F.col(hit)).alias("x"), F.count_if(F.col(variant) == treatment).alias("n"))
-    llr = F.col("x") * F.ln((F.col("p") + effect) / F.col("p")) + (F.col("n") - F.col("x")) * F.ln((1 - F.col("p") - effect) / (1 - F.col("p")))
-    return a.select(llr.alias("llr")).withColumn("decision", F.when(F.col("llr") >= F.ln(F.lit((1 - beta) / alpha)), "accept").when(F.col("llr") <= F.ln(F.lit(beta / (1 - alpha))), "reject").otherwise("continue"))
+def sprt(df: DataFrame, variant: str, metric: str, control: str, treatment: str, effect: float = 0.1, alpha: float = 0.05, beta: float = 0.2, least: int = 10) -> DataFrame:
+    """z, evidence, decision: the z-score of the difference of means times the effect over the pooled deviation, held against ln((1 - beta) / alpha) and ln(beta / (1 - alpha)); `continue` for fewer than `least` values or none that vary."""
+    def part(name: str) -> list[Column]:
+        x = F.when(F.col(variant) == name, F.col(metric))
+        return [F.count(x), F.avg(x), F.var_pop(x)]
+
+    own = df.agg(*[c.alias(f"{k}_{x}") for name, x in ((control, "a"), (treatment, "b")) for k, c in zip("nmv", part(name), strict=True)])
+    pooled = F.sqrt((F.col("v_a") + F.col("v_b")) / 2)
+    enough = (F.least("n_a", "n_b") >= least) & (pooled > 0)
+    z = F.when(enough, (F.col("m_b") - F.col("m_a")) / (pooled * F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))))
+    out = own.select(F.coalesce(z, F.lit(0.0)).alias("z"), F.coalesce(z * effect / pooled, F.lit(0.0)).alias("evidence"))
+    decision = F.when(F.col("evidence") >= F.ln(F.lit((1 - beta) / alpha)), "stop_treatment_wins").when(F.col("evidence") <= F.ln(F.lit(beta / (1 - alpha))), "stop_control_wins").otherwise("continue")
+    return out.withColumn("decision", decision)
 
 
 def business_kpis(events: DataFrame, shown: str = "view", clicked: str = "click", bought: str = "purchase") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import ratio
 from .preferences import ks
 
 
@@ -141,6 +142,6 @@ def confidence_drift(scores: DataFrame, order: list[str], last: int = 20) -> Dat
     Significance compares r * r * (n - 2) / (1 - r * r) with 4.414, the square of the 97.5 % point of Student's t for 18 degrees of freedom, so only full windows are judged.
     """
     own = scores.withColumn("_k", F.row_number().over(W.partitionBy("user_id").orderBy(*[F.desc(c) for c in order]))).filter(F.col("_k") <= last).withColumn("_k", -F.col("_k").cast("double"))
-    a = own.groupBy("user_id").agg(F.count("score").alias("n"), F.regr_slope("score", "_k").alias("slope"), F.corr("score", "_k").alias("r")).filter(F.col("n") == last)
+    a = own.groupBy("user_id").agg(F.count("score").alias("n"), F.regr_slope("score", "_k").alias("slope"), ratio(F.covar_pop("score", "_k"), F.stddev_pop("score") * F.stddev_pop("_k")).alias("r")).filter(F.col("n") == last)
     t2 = F.col("r") * F.col("r") * (last - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-12))
     return a.select("user_id", "slope", "r", F.least(F.lit(1.0), 10 * F.abs("slope")).alias("severity"), F.coalesce((F.abs("slope") > 0.01) & (t2 > 4.414), F.lit(False)).alias("drifted"))

@@ -173,20 +173,49 @@ def transition_matrix(sessions: DataFrame, item: str = "item_id") -> DataFrame:
     return n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("current")))
 
 
-def sequence_mining(sessions: DataFrame, item: str, longest: int = 10, support: float = 0.01) -> DataFrame:
-    """sequence, n, support: contiguous runs of 2 to `longest` items that stand in at least the share of all sessions."""
-    own = sessions.groupBy("user_id", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", item))), lambda x: x[item].cast("string")).alias("items"))
+def _lists(sessions: DataFrame, item: str) -> DataFrame:
+    """user_id, session, start, items: each session's items in order, as texts."""
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", item)))
+    return sessions.groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.transform(rows, lambda x: x[item].cast("string")).alias("items"))
+
+
+def frequent_runs(sessions: DataFrame, item: str, shortest: int = 2, longest: int = 10, support: float = 0.01) -> DataFrame:
+    """run (an array), n, support: contiguous runs of `shortest` to `longest` items that stand in at least the share of all sessions."""
+    own = _lists(sessions, item)
     total = own.agg(F.count(F.lit(1)).alias("total"))
-    runs = own.filter(F.size("items") >= 2).select("user_id", "session", "items", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.size("items")))).alias("k"))
-    runs = runs.select("user_id", "session", F.explode(F.transform(F.sequence(F.lit(1), F.size("items") - F.col("k") + 1), lambda i: F.array_join(F.slice("items", i, F.col("k")), ">"))).alias("sequence")).distinct()
-    n = runs.groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(total)).filter(F.col("n") >= support * F.col("total")).select("sequence", "n", (F.col("n") / F.col("total")).alias("support"))
+    runs = own.filter(F.size("items") >= shortest).select("user_id", "session", "items", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.size("items")))).alias("k"))
+    runs = runs.select("user_id", "session", F.explode(F.transform(F.sequence(F.lit(1), F.size("items") - F.col("k") + 1), lambda i: F.slice("items", i, F.col("k")))).alias("run")).distinct()
+    n = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(total)).filter(F.col("n") >= support * F.col("total")).select("run", "n", (F.col("n") / F.col("total")).alias("support"))
 
 
-def next_items(sessions: DataFrame, item: str = "item_id", n: int = 5) -> DataFrame:
-    """user_id, item_id, p, rank: the likeliest followers of each user's last item."""
-    last = sessions.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", item)).alias("x")).select("user_id", F.col(f"x.{item}").alias("current"))
-    return top(last.join(transition_matrix(sessions, item), "current"), ["user_id"], [F.desc("p"), F.col("next")], n)
+def sequence_mining(sessions: DataFrame, item: str, longest: int = 10, support: float = 0.01) -> DataFrame:
+    """sequence, n, support: the frequent runs of 2 to `longest` items, their items joined by >."""
+    return frequent_runs(sessions, item, 2, longest, support).select(F.array_join("run", ">").alias("sequence"), "n", "support")
+
+
+def sequential_rules(sessions: DataFrame, item: str, longest: int = 10, support: float = 0.01, confidence: float = 0.1) -> DataFrame:
+    """antecedent, consequent (arrays), n, confidence: each frequent run cut in two, with the share of the sessions holding the first part that hold the run."""
+    runs = frequent_runs(sessions, item, 1, longest, support)
+    k = F.col("k")
+    cuts = runs.filter(F.size("run") >= 2).select("run", "n", F.explode(F.sequence(F.lit(1), F.size("run") - 1)).alias("k"))
+    cuts = cuts.select(F.slice("run", 1, k).alias("antecedent"), F.slice("run", k + 1, F.size("run") - k).alias("consequent"), "n")
+    before = runs.select(F.col("run").alias("antecedent"), F.col("n").alias("_of"))
+    out = cuts.join(before.hint("shuffle_hash"), "antecedent").withColumn("confidence", F.col("n") / F.col("_of"))
+    return out.filter(F.col("confidence") >= confidence).drop("_of")
+
+
+def next_items(sessions: DataFrame, item: str = "item_id", n: int = 5, longest: int = 10, markov: float = 0.6, rules: float = 0.4) -> DataFrame:
+    """user_id, next, score, rank: what follows each user's last session, by `markov` of the chance to follow its last item and `rules` of the confidences of rules whose antecedent ends it, shared by the items of their consequents. Equal scores go by the item."""
+    last = _lists(sessions, item).groupBy("user_id").agg(F.max_by("items", F.struct("start", "session")).alias("items"))
+    follow = transition_matrix(sessions.withColumn(item, F.col(item).cast("string")), item)
+    # each user has one last item and at most `longest` - 1 endings
+    chain = last.select("user_id", F.element_at("items", -1).alias("current")).join(follow.hint("shuffle_hash"), "current").select("user_id", "next", (markov * F.col("p")).alias("score"))
+    ends = last.select("user_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest - 1), F.size("items"))), lambda k: F.slice("items", -k, k))).alias("antecedent"))
+    found = ends.join(sequential_rules(sessions, item, longest).hint("shuffle_hash"), "antecedent")
+    shares = found.select("user_id", F.explode("consequent").alias("next"), (rules * F.col("confidence") / F.size("consequent")).alias("score"))
+    scored = chain.unionByName(shares).groupBy("user_id", "next").agg(F.round(F.sum("score"), 9).alias("score"))
+    return top(scored, ["user_id"], [F.desc("score"), F.col("next")], n)
 
 
 def als(interactions: DataFrame, n: int = 10, rank: int = 50, iterations: int = 10, spare: int = 200) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import as_of, percent_rank, ratio, top
+from ..functions.stats import as_of, ratio, top, with_percentile
 
 
 def user_activity(interactions: DataFrame) -> DataFrame:
@@ -50,8 +50,9 @@ def interaction_sequence(interactions: DataFrame) -> DataFrame:
 
 def user_item_history(interactions: DataFrame, new: int = 5) -> DataFrame:
     """event_id with user and item count and mean, rating less these means, popularity and activity percentiles, new user or item (`new` events at most)."""
-    u = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_n"), F.avg("rating").alias("user_mean"), F.countDistinct("item_id").alias("user_items")).withColumn("activity", percent_rank("user_n"))
-    i = interactions.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_n"), F.avg("rating").alias("item_mean"), F.countDistinct("user_id").alias("item_users")).withColumn("popularity", percent_rank("item_n"))
+    u = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_n"), F.avg("rating").alias("user_mean"), F.countDistinct("item_id").alias("user_items"))
+    i = interactions.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_n"), F.avg("rating").alias("item_mean"), F.countDistinct("user_id").alias("item_users"))
+    u, i = with_percentile(u, "user_n", "activity"), with_percentile(i, "item_n", "popularity")
     both = interactions.select("event_id", "user_id", "item_id", "rating").join(u, "user_id", "left").join(i, "item_id", "left")
     return both.select("event_id", "user_n", "user_items", "item_n", "item_users", (F.col("rating") - F.col("user_mean")).alias("user_bias"), (F.col("rating") - F.col("item_mean")).alias("item_bias"), "activity", "popularity", (F.col("user_n") <= new).alias("new_user"), (F.col("item_n") <= new).alias("new_item"))
 

@@ -84,6 +84,28 @@ def transform_log(spark, sf_dir):
     return C.transform_log(df, "c_acctbal", "log_balance").select("c_custkey", r6("log_balance").alias("log_balance"))
 
 
+def likeliest(name: str, before: str, step: float, reach: int) -> str:
+    """SQL of the Box-Cox exponent of the largest likelihood among those around the one before."""
+    return f"""{name}_g AS (SELECT round((SELECT l FROM {before}) + i * {step}, 4) AS l FROM range(-{reach}, {reach + 1}) t(i)), {name}_f AS (SELECT l, (l - 1) * sum(ln(x)) - count(x) / 2 * ln(var_pop(CASE WHEN abs(l) < 1e-9 THEN ln(x) ELSE (pow(x, l) - 1) / l END)) AS f FROM xs, {name}_g GROUP BY l), {name} AS (SELECT l FROM {name}_f ORDER BY f DESC, l LIMIT 1)"""
+
+
+@query(f"""WITH m AS (SELECT min(value) AS m FROM events), xs AS (SELECT event_id, value + CASE WHEN m <= 0 THEN abs(m) + 1 ELSE 0 END AS x FROM events, m), b0 AS (SELECT 0.0::DOUBLE AS l), {likeliest("b1", "b0", 0.25, 8)}, {likeliest("b2", "b1", 0.025, 10)}, {likeliest("b3", "b2", 0.0025, 10)}
+SELECT event_id, l AS value_lambda, round(CASE WHEN abs(l) < 1e-9 THEN ln(x) ELSE (pow(x, l) - 1) / l END, 6) AS value FROM xs, b3""")
+def transform_boxcox(spark, sf_dir):
+    out = C.transform_boxcox(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("x")), "x", "value")
+    return out.select("event_id", "value_lambda", r6("value").alias("value"))
+
+
+@query("""WITH s AS (SELECT event_id, greatest(1e-7, least(1 - 1e-7, (rank() OVER (ORDER BY value) - 1 + (count(*) OVER (PARTITION BY value) - 1) / 2) / greatest(count(*) OVER () - 1, 1))) AS p FROM events WHERE value IS NOT NULL),
+q AS (SELECT event_id, p, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM s),
+z AS (SELECT event_id, CASE WHEN abs(q) <= 0.47575 THEN (((((-39.69683028665376 * r + 220.9460984245205) * r - 275.9285104469687) * r + 138.357751867269) * r - 30.66479806614716) * r + 2.506628277459239) * q / (((((-54.47609879822406 * r + 161.5858368580409) * r - 155.6989798598866) * r + 66.80131188771972) * r - 13.28068155288572) * r + 1)
+ELSE sign(-q) * (((((-0.007784894002430293 * t - 0.3223964580411365) * t - 2.400758277161838) * t - 2.549732539343734) * t + 4.374664141464968) * t + 2.938163982698783) / ((((0.007784695709041462 * t + 0.3224671290700398) * t + 2.445134137142996) * t + 3.754408661907416) * t + 1) END AS z FROM q)
+SELECT event_id, round(z, 5) AS normal FROM events LEFT JOIN z USING (event_id)""")
+def transform_quantile_normal(spark, sf_dir):
+    out = C.transform_quantile_normal(table(spark, sf_dir, "events"), "value", "normal")
+    return out.select("event_id", F.round("normal", 5).alias("normal"))
+
+
 @query(f"""WITH {INTERACTIONS}, q AS (SELECT quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b, quantile_cont(rating, 0.25) ra, quantile_cont(rating, 0.75) rb FROM interactions),
 c AS (SELECT 100.0 * count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) / count(*) AS v, 100.0 * count(*) FILTER (rating < ra - 1.5 * (rb - ra) OR rating > rb + 1.5 * (rb - ra)) / count(*) AS r, skewness(value) AS sv, skewness(rating) AS sr FROM interactions, q),
 u AS (SELECT 'value' AS field, v AS percent, sv AS skew FROM c UNION ALL SELECT 'rating', r, sr FROM c)

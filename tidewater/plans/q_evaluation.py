@@ -122,24 +122,33 @@ def ab_assignment(spark, sf_dir):
 VARIANTS = "v AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS variant, value, event_type = 'purchase' AS converted FROM events)"
 
 
+def two_sided(z: str) -> str:
+    """SQL of the share of the standard normal at least as far from 0 as z."""
+    x = f"(abs({z}) / sqrt(2))"
+    t = f"(1 / (1 + 0.3275911 * {x}))"
+    return f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x}))"
+
+
 def variants(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("variant"), "value", (F.col("event_type") == "purchase").alias("converted"))
 
 
-@query(f"""WITH {VARIANTS}, s AS (SELECT count(*) FILTER (variant = 'a') AS na, count(*) FILTER (variant = 'b') AS nb, avg(value) FILTER (variant = 'a') AS ma, avg(value) FILTER (variant = 'b') AS mb, var_samp(value) FILTER (variant = 'a') AS va, var_samp(value) FILTER (variant = 'b') AS vb FROM v)
-SELECT na AS n_a, nb AS n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(mb - ma, 6) AS difference, round((mb - ma) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS dof, round((mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS effect FROM s""")
+@query(f"""WITH {VARIANTS}, s AS (SELECT count(*) FILTER (variant = 'a') AS na, count(*) FILTER (variant = 'b') AS nb, avg(value) FILTER (variant = 'a') AS ma, avg(value) FILTER (variant = 'b') AS mb, var_samp(value) FILTER (variant = 'a') AS va, var_samp(value) FILTER (variant = 'b') AS vb, var_pop(value) FILTER (variant = 'a') AS pa, var_pop(value) FILTER (variant = 'b') AS pb FROM v),
+t AS (SELECT *, (mb - ma) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS f, least(na, nb) - 1 AS d FROM s),
+z AS (SELECT *, (8 * f + 1) / (8 * f + 3) * sqrt(f * ln(1 + t * t / f)) AS z, sqrt(d * (exp(pow(1.959963984540054 * (8 * d + 3) / (8 * d + 1), 2) / d) - 1)) * sqrt(pa / na + pb / nb) AS h FROM t)
+SELECT na AS n_a, nb AS n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(mb - ma, 6) AS difference, round(t, 6) AS t, round(f, 4) AS dof, round((mb - ma) / sqrt((pa + pb) / 2), 6) AS effect, round({two_sided("z")}, 6) AS p, round(mb - ma - h, 6) AS low, round(mb - ma + h, 6) AS high FROM z""")
 def welch_t_test(spark, sf_dir):
     return rounded(E.welch(variants(spark, sf_dir), "variant", "value", "a", "b").withColumn("dof", F.round("dof", 4)))
 
 
 @query(f"""WITH {VARIANTS}, r AS (SELECT variant, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rank FROM v), t AS (SELECT sum(pow(c, 3) - c) AS ties, sum(c) AS n FROM (SELECT count(*) AS c FROM v GROUP BY value)),
-s AS (SELECT count(*) FILTER (variant = 'a') AS na, count(*) FILTER (variant = 'b') AS nb, sum(rank) FILTER (variant = 'a') AS ra FROM r), u AS (SELECT na, nb, ra - na * (na + 1) / 2 AS u, sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sd FROM s, t) SELECT na AS n_a, nb AS n_b, round(u, 6) AS u, round((u - na * nb / 2) / sd, 6) AS z FROM u""")
+s AS (SELECT count(*) FILTER (variant = 'a') AS na, count(*) FILTER (variant = 'b') AS nb, sum(rank) FILTER (variant = 'a') AS ra FROM r), u AS (SELECT na, nb, ra - na * (na + 1) / 2 AS u, sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sd FROM s, t) SELECT na AS n_a, nb AS n_b, round(u, 6) AS u, round((u - na * nb / 2) / sd, 6) AS z, round({two_sided('(greatest(0, abs(u - na * nb / 2) - 0.5) / sd)')}, 6)::DOUBLE AS p FROM u""")
 def mann_whitney(spark, sf_dir):
     return rounded(E.mann_whitney(variants(spark, sf_dir), "variant", "value", "a", "b").withColumns({"n_a": F.col("n_a").cast("long"), "n_b": F.col("n_b").cast("long")}))
 
 
-@query(f"""WITH {VARIANTS}, s AS (SELECT CAST(count(*) FILTER (variant = 'a' AND converted) AS DOUBLE) AS a, CAST(count(*) FILTER (variant = 'a' AND NOT converted) AS DOUBLE) AS b, CAST(count(*) FILTER (variant = 'b' AND converted) AS DOUBLE) AS c, CAST(count(*) FILTER (variant = 'b' AND NOT converted) AS DOUBLE) AS d FROM v)
-SELECT round(a / (a + b), 6) AS rate_a, round(c / (c + d), 6) AS rate_b, round((c / (c + d) - a / (a + b)) / (a / (a + b)), 6) AS lift, round((a + b + c + d) * pow(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi_square FROM s""")
+@query(f"""WITH {VARIANTS}, s AS (SELECT CAST(count(*) FILTER (variant = 'a' AND converted) AS DOUBLE) AS a, CAST(count(*) FILTER (variant = 'a' AND NOT converted) AS DOUBLE) AS b, CAST(count(*) FILTER (variant = 'b' AND converted) AS DOUBLE) AS c, CAST(count(*) FILTER (variant = 'b' AND NOT converted) AS DOUBLE) AS d FROM v), x AS (SELECT *, (a + b + c + d) * pow(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi FROM s)
+SELECT round(a / (a + b), 6) AS rate_a, round(c / (c + d), 6) AS rate_b, round((c / (c + d) - a / (a + b)) / (a / (a + b)), 6) AS lift, round(chi, 6) AS chi_square, round({two_sided('sqrt(chi)')}, 6) AS p FROM x""")
 def chi_square_2x2(spark, sf_dir):
     return rounded(E.chi_square(variants(spark, sf_dir), "variant", "converted", "a", "b"))
 

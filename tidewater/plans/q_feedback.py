@@ -200,8 +200,9 @@ def group_fairness_gap(spark, sf_dir):
     return rounded(a.groupBy("group_value").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("mean")).crossJoin(F.broadcast(whole)).select("group_value", "n", "mean", (F.col("mean") - F.col("w")).alias("gap")))
 
 
-@query(f"""WITH {INTERACTIONS}, s AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS variant, CAST(rating >= 4 AS INTEGER) AS hit FROM interactions), g AS (SELECT avg(hit) FILTER (variant = 'a') AS pa, sum(hit) FILTER (variant = 'b') AS x, count(*) FILTER (variant = 'b') AS n FROM s),
-l AS (SELECT x * ln((pa + 0.1) / pa) + (n - x) * ln((1 - pa - 0.1) / (1 - pa)) AS llr FROM g) SELECT round(llr, 6) AS llr, CASE WHEN llr >= ln((1 - 0.05) / 0.05) THEN 'accept' WHEN llr <= ln(0.05 / (1 - 0.05)) THEN 'reject' ELSE 'continue' END AS decision FROM l""")
+@query(f"""WITH {INTERACTIONS}, s AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS variant, rating FROM interactions), g AS (SELECT count(*) FILTER (variant = 'a') AS na, count(*) FILTER (variant = 'b') AS nb, avg(rating) FILTER (variant = 'b') - avg(rating) FILTER (variant = 'a') AS d, sqrt((var_pop(rating) FILTER (variant = 'a') + var_pop(rating) FILTER (variant = 'b')) / 2) AS sd FROM s),
+l AS (SELECT coalesce(CASE WHEN least(na, nb) >= 10 AND sd > 0 THEN d / (sd * sqrt(1 / na + 1 / nb)) END, 0) AS z, sd FROM g), e AS (SELECT z, coalesce(z * 0.1 / nullif(sd, 0), 0) AS evidence FROM l)
+SELECT round(z, 6)::DOUBLE AS z, round(evidence, 6)::DOUBLE AS evidence, CASE WHEN evidence >= ln((1 - 0.2) / 0.05) THEN 'stop_treatment_wins' WHEN evidence <= ln(0.2 / (1 - 0.05)) THEN 'stop_control_wins' ELSE 'continue' END AS decision FROM e""")
 def sprt(spark, sf_dir):
-    own = interactions(spark, sf_dir).select(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("variant"), (F.col("rating") >= 4).alias("hit"))
-    return rounded(E.sprt(own, "variant", "hit", "a", "b", 0.1, 0.05, 0.05))
+    own = interactions(spark, sf_dir).select(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("variant"), "rating")
+    return rounded(E.sprt(own, "variant", "rating", "a", "b"))

@@ -168,10 +168,23 @@ def sequence_mining(spark, sf_dir):
     return rounded(R.sequence_mining(sessions(spark, sf_dir), "interaction_type"))
 
 
-@query(f"""{SESSIONS}, f AS (SELECT interaction_type AS current, lead(interaction_type) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS next FROM s), n AS (SELECT current, next, count(*) AS n FROM f WHERE next IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY current) AS p FROM n),
-l AS (SELECT user_id, interaction_type AS current FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, current, next, n, round(p, 6) AS p, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p DESC, next) AS INTEGER) AS rank FROM l JOIN p USING (current) QUALIFY rank <= 5""")
+#: Frequent runs of 1 to 10 items, and the rules they give, as SQL.
+RULES = f"""{SESSIONS}, l AS (SELECT user_id, session, min(ts) AS start, list(interaction_type ORDER BY ts, event_id) AS x FROM s GROUP BY 1, 2), r AS (SELECT DISTINCT user_id, session, x[i:i + k - 1] AS run FROM l, LATERAL unnest(range(1, 11)) v(k), LATERAL unnest(range(1, greatest(1, len(x) - k + 2))) t(i)),
+n AS (SELECT run, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT count(*) FROM l)), c AS (SELECT run[1:k] AS antecedent, run[k + 1:len(run)] AS consequent, n FROM n, LATERAL unnest(range(1, len(run))) v(k)),
+rules AS (SELECT antecedent, consequent, c.n, c.n / n.n AS confidence FROM c JOIN n ON antecedent = run WHERE c.n / n.n >= 0.1)"""
+
+
+@query(f"{RULES} SELECT array_to_string(antecedent, '>') AS antecedent, array_to_string(consequent, '>') AS consequent, n, round(confidence, 6) AS confidence FROM rules")
+def sequential_rules(spark, sf_dir):
+    out = R.sequential_rules(sessions(spark, sf_dir), "interaction_type")
+    return rounded(out.select(F.array_join("antecedent", ">").alias("antecedent"), F.array_join("consequent", ">").alias("consequent"), "n", "confidence"))
+
+
+@query(f"""{RULES}, f AS (SELECT interaction_type AS current, lead(interaction_type) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS next FROM s), m AS (SELECT current, next, count(*) / sum(count(*)) OVER (PARTITION BY current) AS p FROM f WHERE next IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT user_id, arg_max(x, (start, session)) AS x FROM l GROUP BY 1), z AS (SELECT user_id, next, 0.6 * p AS score FROM e JOIN m ON current = x[len(x)] UNION ALL SELECT user_id, unnest(consequent), 0.4 * confidence / len(consequent) FROM (SELECT user_id, x[len(x) - k + 1:len(x)] AS a FROM e, LATERAL unnest(range(1, least(9, len(x)) + 1)) v(k)) JOIN rules ON a = antecedent),
+sc AS (SELECT user_id, next, round(sum(score), 9)::DOUBLE AS score FROM z GROUP BY 1, 2) SELECT user_id, next, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sc.score DESC, next) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5""")
 def next_item(spark, sf_dir):
-    return rounded(R.next_items(sessions(spark, sf_dir), "interaction_type").select("user_id", "current", "next", "n", "p", "rank"))
+    return rounded(R.next_items(sessions(spark, sf_dir), "interaction_type"))
 
 
 @query()
