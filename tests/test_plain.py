@@ -112,3 +112,31 @@ def test_places_and_normal_points(spark):
     # points of tables: 5 % two-sided for the normal and for Student's t of 10 and 30 degrees of freedom
     r = spark.range(1).select(S.normal_two_sided(F.lit(1.959964)), S.student_point(F.lit(10)), S.student_point(F.lit(30)), S.normal_two_sided(S.student_as_normal(F.lit(2.228), F.lit(10)))).first()
     assert abs(r[0] - 0.05) < 1e-6 and abs(r[1] - 2.228) < 0.01 and abs(r[2] - 2.042) < 0.003 and abs(r[3] - 0.05) < 0.001
+
+
+def test_content_vectors_and_empty_sets(spark):
+    from tidewater.operators import reports as R
+
+    schema = "k int, tags array<string>, text string, n double"
+    df = spark.createDataFrame([(1, ["a", None, "a"], "Twice the word the same word", None), (2, None, "short", 2.0), (3, [], None, None)], schema)
+    got = {(r.k, r.feature, round(r.value, 6)) for r in R.content_vectors(df, "k", ["tags"], ["text"], ["n"], words=3).collect()}
+    sixth = round(1 / 6, 6)
+    assert got == {(1, "tags_a", 1.0), (1, "text_word_twice", sixth), (1, "text_word_the", sixth), (1, "text_word_word", sixth), (2, "text_short", 1.0), (2, "n_numeric", 2.0)}
+    r = R.feature_set_report({"content": df, "nothing": df.filter("false")}).orderBy("feature_set").collect()
+    assert [(x.rows, x.columns, x.numeric, x.categorical, round(x.missing_percent, 4)) for x in r] == [(3, 4, 2, 1, round(100 * 4 / 12, 4)), (0, 4, 2, 1, 0.0)]
+
+
+def test_profile_rules(spark):
+    from tidewater.operators import profile as P
+
+    m = spark.createDataFrame([(1, p, 30.0 * p, 0.9 - 0.2 * p, "high" if p == 0 else "low") for p in range(4)] + [(2, 0, 0.0, 0.5, "low")], "user_id int, period int, start double, stability double, level string")
+    t = P.period_trends(m)
+    got = {r.kind: r for r in t.collect()}
+    assert abs(got["stability_change"].slope + 0.2 / 30) < 1e-9 and got["stability_change"].direction == "decreasing"
+    s = {r.user_id: r for r in P.profile_scores(m, t).collect()}
+    assert s[2].stability == 0.5 and s[2].velocity == 0.0 and s[2].predictability == 0.5 and abs(s[1].velocity - 0.2) < 1e-9
+    stages = spark.createDataFrame([(1, "mature", 1.0)], "user_id int, stage string, confidence double")
+    risks = {(r.user_id, r.risk, r.detail, r.severity) for r in P.risk_indicators(stages, t, P.profile_scores(m, t)).collect()}
+    assert risks == {(1, "engagement_decline", "", "high"), (1, "activity_decline", "", "medium"), (1, "lifecycle_risk", "platform_fatigue", "low"), (1, "lifecycle_risk", "reduced_exploration", "low"), (1, "profile_stagnation", "", "low")}
+    f = {r.user_id: r for r in P.behaviour_forecast(stages, t, P.profile_scores(m, t)).collect()}
+    assert abs(f[1].predicted - 0.1) < 1e-9 and f[1].next_stages == "declining" and f[2].stage == "unknown" and f[2].predicted is None

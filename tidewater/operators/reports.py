@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +85,39 @@ def hit_rate_of_next(sessions: DataFrame, transitions: DataFrame, kind: str, n:
     best = top(transitions, ["current"], [F.desc("p"), F.col("next")], n).select(F.col("current").alias("before"), F.col("next").alias("last"), F.lit(1).alias("hit"))
     a = own.join(best, ["before", "last"], "left").agg(F.count(F.lit(1)).alias("sessions"), F.count("hit").alias("hits"))
     return a.withColumn("rate", ratio(F.col("hits"), F.col("sessions"), 0.0))
+
+
+def feature_set_report(sets: dict[str, DataFrame]) -> DataFrame:
+    """feature_set, category (the kind of features its name holds, else other), rows, columns, numeric, categorical (text), missing_percent over all cells; one aggregate a set, 0 for an empty one."""
+    out = None
+    for name, df in sets.items():
+        kinds = [f.dataType.typeName().split("(")[0] for f in df.schema]
+        numeric = sum(k in ("byte", "short", "integer", "long", "float", "double", "decimal") for k in kinds)
+        category = next((k for k in ("content", "user", "interaction", "temporal", "similarity") if k in name), "other")
+        missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+        a = df.agg(F.count(F.lit(1)).alias("rows"), missing.alias("missing"))
+        row = a.select(F.lit(name).alias("feature_set"), F.lit(category).alias("category"), "rows", F.lit(len(kinds)).alias("columns"), F.lit(numeric).alias("numeric"), F.lit(kinds.count("string")).alias("categorical"), ratio(F.col("missing") * 100.0, F.col("rows") * len(kinds), 0.0).alias("missing_percent"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def content_vectors(items: DataFrame, key: str, lists: list[str], texts: list[str], numbers: list[str], long: int = 20, words: int = 10) -> DataFrame:
+    """key, feature, value: an item's attributes as a sparse vector.
+
+    Members of lists and texts of up to `long` characters weigh 1; of longer texts the first
+    `words` words weigh one over all their words; numbers keep their value. Equal features
+    count once; null attributes and null members give none.
+    """
+    pair = lambda feature, value: F.struct(feature.alias("feature"), value.cast("double").alias("value"))
+
+    def pairs(values: Column, prefix: str, weight: Column) -> Column:
+        return F.transform(values, lambda v: pair(F.concat(F.lit(prefix), v), weight))
+
+    parts = [pairs(F.col(c), f"{c}_", F.lit(1.0)) for c in lists]
+    for c in texts:
+        split = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+        many = pairs(F.slice(split, 1, words), f"{c}_word_", 1 / F.nullif(F.size(split), F.lit(0)))
+        parts.append(F.when(F.length(c) > long, many).when(F.col(c).isNotNull(), F.array(pair(F.concat(F.lit(f"{c}_"), F.col(c)), F.lit(1.0)))))
+    parts += [F.when(F.col(c).isNotNull(), F.array(pair(F.lit(f"{c}_numeric"), F.col(c)))) for c in numbers]
+    rows = F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))
+    return items.select(key, F.inline(F.array_distinct(F.filter(rows, lambda r: r["feature"].isNotNull()))))

@@ -81,3 +81,17 @@ SELECT count(*) AS sessions, count(t.first) AS hits, round(count(t.first) / coun
 def next_item_hit_rate(spark, sf_dir):
     own = sessions(spark, sf_dir)
     return rounded(P.hit_rate_of_next(own, R.transition_matrix(own, "interaction_type"), "interaction_type"))
+
+
+@query(f"""WITH {INTERACTIONS}, {CONTENT} SELECT 'content_features' AS feature_set, 'content' AS category, count(*) AS rows, 7 AS columns, 3 AS numeric, 3 AS categorical, round(100.0 * (7 * count(*) - count(content_id) - count(title) - count(genres) - count(content_type) - count(creator) - count(duration) - count(popularity_score)) / (7 * count(*)), 6)::DOUBLE AS missing_percent FROM content
+UNION ALL SELECT 'user_item_interaction', 'user', count(*), 3, 3, 0, round(100.0 * (3 * count(*) - count(user_id) - count(item_id) - count(rating)) / (3 * count(*)), 6)::DOUBLE FROM interactions""")
+def feature_set_report(spark, sf_dir):
+    return rounded(P.feature_set_report({"content_features": content(spark, sf_dir), "user_item_interaction": interactions(spark, sf_dir).select("user_id", "item_id", "rating")}))
+
+
+@query(f"""WITH {CONTENT}, w AS (SELECT content_id, list_filter(regexp_split_to_array(lower(content_type), '\\s+'), lambda x: x <> '') AS x, content_type, creator, genres, popularity_score FROM content),
+r AS (SELECT content_id, 'genres_' || unnest(genres) AS feature, 1.0::DOUBLE AS value FROM w UNION SELECT content_id, 'creator_' || creator, 1.0 FROM w WHERE length(creator) <= 20 UNION SELECT content_id, 'content_type_' || content_type, 1.0 FROM w WHERE length(content_type) <= 20
+UNION SELECT content_id, 'content_type_word_' || unnest(x[1:10]), 1 / len(x) FROM w WHERE length(content_type) > 20 UNION SELECT content_id, 'popularity_score_numeric', popularity_score FROM w)
+SELECT content_id, feature, round(value, 6) AS value FROM r WHERE feature IS NOT NULL""")
+def content_feature_vector(spark, sf_dir):
+    return rounded(P.content_vectors(content(spark, sf_dir), "content_id", ["genres"], ["content_type", "creator"], ["popularity_score"]))
