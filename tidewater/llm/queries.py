@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, quality, secret_scan, toxicity, url_rules
+from . import bpe, decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, quality, secret_scan, toxicity, url_rules
 from .base import held_out
 
 
@@ -84,8 +84,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op7_pii_bootstrap, op8_multi_index_hashing, op9_license_index, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op7_pii_bootstrap, op8_multi_index_hashing, op9_license_index, op10_decontaminate, op12_byte_bpe)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
