@@ -29,17 +29,20 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Limit on the vocabulary file that is broadcast, in bytes.
 VOCAB_BYTES = 16 << 20
-#: Bytes of words, and tokens, in one query; pieces that a task keeps; bytes of texts that are taken together.
-BLOCK, TOKENS, KEPT, TEXTS = 1 << 18, 1 << 19, 200_000, 4 << 20
+#: Bytes of words, and tokens, in one query; pieces that a task keeps besides those of the texts at hand; characters of texts, and lists, that are taken together.
+BLOCK, TOKENS, KEPT, TEXTS, LISTS = 1 << 18, 1 << 18, 250_000, 2 << 20, 500
 #: Bytes from which a word contracts several places in a step; pieces of more characters are not kept.
 LONG = 64
 #: White space as Unicode has it, which is what the pattern means.
@@ -99,45 +102,55 @@ FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM sta
 """
 
 
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    """Lists of tokens, each given by the four bytes of its tokens."""
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
 class Codec:
-    """The vocabulary in a DuckDB connection of one task."""
+    """The vocabulary in a DuckDB connection of one task. Tokens of a piece are held as four bytes each."""
 
     def __init__(self, data: bytes, pattern: str) -> None:
         import duckdb
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words = regex.compile(pattern)
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.con.register("given", pa.table({"bytes": pa.array(list(self.ranks), pa.binary()), "id": pa.array(list(self.ranks.values()), pa.int32())}))
         self.con.execute(TABLES)
         self.con.unregister("given")
 
-    def _rows(self, key: str, lists: list[list[int]], sql: str) -> list[tuple]:
-        self.con.register("given", pa.table({key: pa.array(range(len(lists)), pa.int32()), "ids": pa.array(lists, pa.list_(pa.int32()))}))
+    def _rows(self, key: str, lists: pa.ListArray, sql: str) -> pa.Table:
+        self.con.register("given", pa.table({key: pa.array(range(len(lists)), pa.int32()), "ids": lists}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT * FROM given")
         self.con.unregister("given")
-        return self.con.execute(sql).fetchall()
+        return self.con.sql(sql).to_arrow_table().combine_chunks()
 
-    def contracted(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def contracted(self, words: Iterable[str]) -> dict[str, bytes]:
         """The tokens of each distinct word."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         todo: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
         size = {False: 0, True: 0}
 
         def flush(long: bool) -> None:
-            sql = CONTRACT_LONG.replace("cuts", CUTS) if long else CONTRACT
             if todo[long]:
-                for k, ids in self._rows("word", [[self.bytes[c] for c in b] for _, b in todo[long]], sql):
-                    out[todo[long][k][0]] = ids
+                ends = np.cumsum([0, *(len(b) for _, b in todo[long])], dtype=np.int32)
+                starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.bytes[np.frombuffer(b"".join([b for _, b in todo[long]]), np.uint8)]))
+                got = self._rows("word", starts, CONTRACT_LONG.replace("cuts", CUTS) if long else CONTRACT)
+                ids = pc.fill_null(got["ids"].chunk(0), pa.scalar([], pa.list_(pa.int32())))
+                ends, data, own = (4 * ids.offsets.to_numpy()).tolist(), np.asarray(ids.values, np.int32).tobytes(), todo[long]
+                for word, start, end in zip(got["word"].to_pylist(), ends, ends[1:]):
+                    out[own[word][0]] = data[start:end]
             todo[long], size[long] = [], 0
 
-        for w in dict.fromkeys(words):
+        for w in words:
             b = w.encode()
             if (whole := self.ranks.get(b)) is not None:
-                out[w] = [whole]
+                out[w] = whole.to_bytes(4, sys.byteorder)
                 continue
             long = len(b) > LONG
             if size[long] + len(b) > BLOCK:
@@ -148,38 +161,37 @@ class Codec:
         flush(True)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
         pieces = [PIECE.findall(t) for t in texts]
-        new = {p: self.words.findall(p) for t in pieces for p in t if p not in self.kept}
-        tokens = self.contracted(w for ws in new.values() for w in ws)
-        found = self.kept | {p: [i for w in ws for i in tokens[w]] for p, ws in new.items()}
-        self.kept = {p: ids for p, ids in found.items() if len(p) <= LONG} if len(found) <= KEPT else {p: found[p] for p in new if len(p) <= LONG} if len(new) <= KEPT else {}
-        return [[i for p in t for i in found[p]] for t in pieces]
-
-    def decode(self, lists: list[list[int]]) -> list[bytes]:
-        """The bytes of each list; lists are cut into pieces of TOKENS at most, which share queries."""
-        out: list[list[str]] = [[] for _ in lists]
-        todo: list[tuple[int, list[int]]] = []
+        used = {p for t in pieces for p in t}
+        new = {p: self.words.findall(p) for p in used - self.kept.keys()}
+        tokens = self.contracted({w for ws in new.values() for w in ws})
+        kept = self.kept
+        for p, ws in new.items():
+            kept[p] = tokens[ws[0]] if len(ws) == 1 else b"".join([tokens[w] for w in ws])
+        out = _lists([b"".join([kept[p] for p in t]) for t in pieces])
+        if len(kept) > KEPT:
+            self.kept = {p: kept[p] for p in used}
+        for p in [p for p in new if len(p) > LONG]:
+            self.kept.pop(p, None)
+        return out
 
-        def flush() -> None:
-            got = {k: (n, x) for k, n, x in self._rows("doc", [ids for _, ids in todo], JOINED)}
-            for k, (doc, ids) in enumerate(todo):
-                known, x = got.get(k, (0, ""))
-                if known != len(ids):
+    def decode(self, lists: pa.ListArray) -> list[bytes]:
+        """The bytes of each list; lists are cut into parts of TOKENS at most, and as many parts share a query."""
+        values, ends = lists.values, lists.offsets.to_pylist()
+        parts = [(doc, at, min(at + TOKENS, ends[doc + 1])) for doc in range(len(lists)) for at in range(ends[doc], ends[doc + 1], TOKENS)]
+        out: list[list[str]] = [[] for _ in lists]
+        for group in _groups(parts, lambda x: x[2] - x[1], TOKENS):
+            # parts of a group follow each other
+            first, last = group[0][1], group[-1][2]
+            offsets = pa.array([x[1] - first for x in group] + [last - first], pa.int32())
+            got = self._rows("doc", pa.ListArray.from_arrays(offsets, values.slice(first, last - first)), JOINED)
+            joined = dict(zip(got["doc"].to_pylist(), zip(got["known"].to_pylist(), got["x"].to_pylist(), strict=True), strict=True))
+            for k, (doc, start, end) in enumerate(group):
+                known, x = joined.get(k, (0, ""))
+                if known != end - start:
                     raise ValueError("a token is not in the vocabulary")
                 out[doc].append(x)
-            todo.clear()
-
-        size = 0
-        for doc, ids in enumerate(lists):
-            for at in range(0, len(ids), TOKENS):
-                part = ids[at : at + TOKENS]
-                if size + len(part) > TOKENS:
-                    flush()
-                    size = 0
-                todo.append((doc, part))
-                size += len(part)
-        flush()
         return [bytes.fromhex("".join(x)) for x in out]
 
 
@@ -196,11 +208,11 @@ def _vocabulary(spark: SparkSession, path: str | None) -> Broadcast:
     return spark.sparkContext.broadcast(data)
 
 
-def _groups(values: list, size) -> Iterator[list]:
-    """Consecutive values, TEXTS of size together at most."""
+def _groups(values: list, size: Callable, most: int) -> Iterator[list]:
+    """Consecutive values, `most` of size together at most; a larger one stands alone."""
     group, total = [], 0
     for v in values:
-        if group and total + size(v) > TEXTS:
+        if group and total + size(v) > most:
             yield group
             group, total = [], 0
         group.append(v)
@@ -225,8 +237,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         codec = None
         for b in batches:
             codec, at = codec or Codec(data.value, pattern), 0
-            for texts in _groups(b.column(1).to_pylist(), lambda t: len(t or "")):
-                ids = pa.array(codec.encode([t or "" for t in texts]), pa.list_(pa.int32()))
+            for texts in _groups(b.column(1).to_pylist(), lambda t: len(t or ""), TEXTS):
+                ids = codec.encode([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), ids], names=["id", "ids"])
                 at += len(texts)
 
@@ -240,10 +252,11 @@ def decode(tokens: DataFrame, *, id_col: str = "id", ids_col: str = "ids", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in batches:
-            codec, at = codec or Codec(data.value, ""), 0
-            for lists in _groups(b.column(1).to_pylist(), lambda x: 8 * len(x or ())):
-                decoded = pa.array(codec.decode([x or [] for x in lists]), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(lists)) for c in b.columns), decoded], names=["id", "ids", "decoded"])
-                at += len(lists)
+            codec = codec or Codec(data.value, "")
+            lists = pc.fill_null(b.column(1), pa.scalar([], pa.list_(pa.int32())))
+            for at in range(0, len(lists), LISTS):
+                part = lists.slice(at, LISTS)
+                decoded = pa.array(codec.decode(pa.ListArray.from_arrays(part.offsets, part.values)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, LISTS) for c in b.columns), decoded], names=["id", "ids", "decoded"])
 
     return tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "id bigint, ids array<int>, decoded binary")
