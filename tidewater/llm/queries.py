@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, quality, secret_scan, toxicity, url_rules
+from . import bpe, chat_repair, decontaminate, hash_search, license_scan, lsh_forest, mixing, pii, prefix_trie, quality, secret_scan, toxicity, url_rules
 from .base import held_out
 
 
@@ -84,13 +84,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return chat_repair.report(chat_repair.damage(rows), rows.select("conv_id"), conv_col="conv")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("ref_conv", "ref_pos")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op7_pii_bootstrap, op8_multi_index_hashing, op9_license_index, op10_decontaminate, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_pareto_mix, op2_toxicity_mil, op3_lsh_forest, op4_url_rules, op5_secret_tokens, op6_zstd_quality, op7_pii_bootstrap, op8_multi_index_hashing, op9_license_index, op10_decontaminate, op11_auction_repair, op12_byte_bpe, op13_prefix_trie)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,6 +143,69 @@ SELECT doc_id, len(x) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
+def _crc32(text: str) -> str:
+    """crc32 of a text of ASCII characters, bit by bit."""
+    step = "lambda u, v: xor(u >> 1, 3988292384::UBIGINT * (u & 1::UBIGINT))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), {step})), 4294967295::UBIGINT)"
+
+
+def _op11() -> str:
+    """Cheapest edits row by row: for each state the least (cost, letters, lines) so far."""
+
+    def on(p: str, cost: str, letter: str, line: str = "") -> str:
+        return f"CASE WHEN {p} IS NOT NULL THEN {{'c': {p}.c + {cost}, 'e': {p}.e || '{letter}', 't': {f"list_append({p}.t, {line})" if line else f"{p}.t"}}} END"
+
+    def kept(p: str, initial: str) -> str:
+        return f"CASE WHEN live AND a = '{initial}' THEN {on(p, 'cut', 'K', "role || ':' || text")} END"
+
+    def changed(p: str, role: str) -> str:
+        return f"CASE WHEN live THEN {on(p, '(1 + cut)', 'R', f"'{role}:' || text")} END"
+
+    def closed(table: str) -> str:
+        """Inserts after each state, two at most."""
+        u = f"least(n2, {', '.join(on(p, '5', 'I', "'user:'") for p in ('n0', 'n1', 'n3'))})"
+        return f"SELECT id, i, n0 AS p0, n1 AS p1, q2 AS p2, least(n3, {on('q2', '5', 'I', "'assistant:'")}) AS p3 FROM (SELECT *, {u} AS q2 FROM {table})"
+
+    none = "NULL::STRUCT(c BIGINT, e VARCHAR, t VARCHAR[])"
+    steps = ", ".join(
+        f"least({', '.join(x)}) AS n{k}"
+        for k, x in enumerate((
+            [on("p0", "2", "D")],
+            [on("p1", "2", "D"), kept("p0", "s")],
+            [on("p2", "2", "D"), *(f(p, x) for p in ("p0", "p1", "p3") for f, x in ((kept, "u"), (changed, "user")))],
+            [on("p3", "2", "D"), kept("p2", "a"), changed("p2", "assistant")],
+        ))
+    )
+    return f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS f FROM conversations),
+d AS (SELECT coalesce(conv_id::VARCHAR, '') AS id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, LATERAL unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) x),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS i FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 AS again, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS bare, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS a FROM o),
+h AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(a) OVER (PARTITION BY id ORDER BY i) AS b FROM g),
+w AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS live, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cut FROM h),
+ids AS (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS id FROM conversations),
+r AS ({closed(f"(SELECT id, 0 AS i, {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}} AS n0, {none} AS n1, {none} AS n2, {none} AS n3 FROM ids)")}
+UNION ALL {closed(f"(SELECT r.id, w.i, {steps} FROM r JOIN w ON r.id = w.id AND w.i = r.i + 1)")}),
+z AS (SELECT id, least(arg_max(p0, i), arg_max(p3, i)) AS z FROM (SELECT id, i, coalesce(p0, {{'c': 1::BIGINT << 40, 'e': '', 't': []::VARCHAR[]}}) AS p0, coalesce(p3, {{'c': 1::BIGINT << 40, 'e': '', 't': []::VARCHAR[]}}) AS p3 FROM r) GROUP BY id),
+s AS (SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(b IS NOT NULL AND b || a NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY id)
+SELECT conv_id, {', '.join(f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, z.c AS cost, z.e AS audit, sha256(array_to_string(z.t, chr(10))) AS repaired_sha256
+FROM ids JOIN z USING (id) LEFT JOIN s USING (id)"""
+
+
+#: Rebuilt conversations as lists, and nodes as their distinct beginnings.
+OP13 = f"""WITH t AS (SELECT conv_id, r AS role, x AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r)::VARCHAR || ':' || r || x)) - 1 AS i FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, ({_crc32("conv_id::VARCHAR")} % 6)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = base AND i < h UNION ALL SELECT conv_id, 1, i, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
+l AS (SELECT conv_id, coalesce(x, []) AS x FROM c LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, i) AS x FROM b GROUP BY 1) USING (conv_id)),
+p AS (SELECT conv_id, d AS depth, x[:d] AS x, d = len(x) AS ends FROM l, LATERAL unnest(range(len(x) + 1)) u(d)),
+n AS (SELECT depth, x, x[:depth - 1] AS above, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(x[depth].text) END AS saved FROM p GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, above AS x, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (depth, x)),
+s AS (SELECT a.depth, a.x, count_if(b.n_children = 0) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens FROM m a JOIN m b ON b.depth >= a.depth AND b.x[:a.depth] = a.x GROUP BY 1, 2)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(m.ids, '')) AS ends_sha256
+FROM m JOIN s USING (depth, x) LEFT JOIN m q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.x = m.above"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others train on samples, draw by hash, or search approximately; tests hold them against plain Python."""
-    return {"op3_lsh_forest": OP3, "op4_url_rules": _op4(), "op10_decontaminate": OP10}
+    return {"op3_lsh_forest": OP3, "op4_url_rules": _op4(), "op10_decontaminate": OP10, "op11_auction_repair": _op11(), "op13_prefix_trie": OP13}
