@@ -28,6 +28,7 @@ are an error.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -42,35 +43,39 @@ from pyspark.sql import functions as F
 #: Limit on the vocabulary file that is broadcast, in bytes.
 VOCAB_BYTES = 16 << 20
 #: Bytes of words, and tokens, in one query; pieces that a task keeps besides those of the texts at hand; characters of texts, and lists, that are taken together.
-BLOCK, TOKENS, KEPT, TEXTS, LISTS = 1 << 18, 1 << 18, 250_000, 2 << 20, 500
+BLOCK, TOKENS, KEPT, TEXTS, LISTS = 1 << 20, 1 << 18, 400_000, 2 << 20, 500
 #: Bytes from which a word contracts several places in a step; pieces of more characters are not kept.
 LONG = 64
 #: White space as Unicode has it, which is what the pattern means.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+#: Tokens are held in a text as single characters: the token's number and a bit more, without the range that is no text.
+SHIFT, GAP, OVER = 256, 0xD800, 2048
+CHARACTER = f"chr({{0}} + CASE WHEN {{0}} + {SHIFT} < {GAP} THEN {SHIFT} ELSE {SHIFT + OVER} END)"
+
 #: Tokens, and merges: any two tokens whose bytes together are a token; `calm` tells that no merge with the new token ranks before it.
-TABLES = """
+TABLES = f"""
 CREATE TABLE vocab AS SELECT id, hex(bytes) AS x FROM given;
 CREATE TABLE merges AS
   SELECT a.id AS l, b.id AS r, c.id AS rank
   FROM (SELECT id, x, unnest(range(2, len(x), 2)) AS k FROM vocab) c
   JOIN vocab a ON a.x = left(c.x, k) JOIN vocab b ON b.x = substr(c.x, k + 1);
 CREATE TABLE merge AS
-  SELECT m.*, rank NOT IN (SELECT l FROM merges WHERE rank < l UNION SELECT r FROM merges WHERE rank < r) AS calm FROM merges m;
+  SELECT l::BIGINT << 32 | r AS pair, {CHARACTER.format("l")} || {CHARACTER.format("r")} AS chars, rank, rank NOT IN (SELECT l FROM merges WHERE rank < l UNION SELECT r FROM merges WHERE rank < r) AS calm FROM merges;
 """
 
 #: One place a word and step.
-CONTRACT = """
-WITH RECURSIVE t(word, ids) USING KEY (word) AS (
-  SELECT word, ids FROM start
+CONTRACT = f"""
+WITH RECURSIVE t(word, w) USING KEY (word) AS (
+  SELECT word, w FROM start
   UNION ALL
-  SELECT t.word, ids[:k - 1] || [rank] || ids[k + 2:]
+  SELECT word, substr(w, 1, k - 1) || {CHARACTER.format("rank")} || substr(w, k + 2)
   FROM t JOIN (
     SELECT word, min(rank::BIGINT << 32 | pos) AS best, (best >> 32)::INTEGER AS rank, (best & 4294967295)::INTEGER AS k
-    FROM (SELECT word, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, generate_subscripts(ids, 1) AS pos FROM t WHERE len(ids) > 1) p
-    JOIN merge USING (l, r) GROUP BY word) USING (word))
-SELECT word, ids FROM t
+    FROM (SELECT word, substr(w, pos, 2) AS chars, pos FROM (SELECT word, w, unnest(range(1, length(w))) AS pos FROM t))
+    JOIN merge USING (chars) GROUP BY word) USING (word))
+SELECT word, w FROM t
 """
 
 #: All places of the pair where it is calm: every second one of places that follow each other.
@@ -91,14 +96,15 @@ CUTS = """(
       SELECT *, row_number() OVER (PARTITION BY word, island ORDER BY pos) AS nth, row_number() OVER (PARTITION BY word ORDER BY pos) AS place FROM (
         SELECT *, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS island FROM (
           SELECT word, pos, rank, calm, min(rank) OVER (PARTITION BY word) AS least
-          FROM (SELECT word, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, generate_subscripts(ids, 1) AS pos FROM t WHERE len(ids) > 1)
-          JOIN merge USING (l, r)) WHERE rank = least))
+          FROM (SELECT word, l::BIGINT << 32 | r AS pair, pos FROM (SELECT word, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, generate_subscripts(ids, 1) AS pos FROM t WHERE len(ids) > 1))
+          JOIN merge USING (pair)) WHERE rank = least))
     WHERE CASE WHEN calm THEN nth % 2 = 1 ELSE place = 1 END)"""
 
-#: Bytes of each list of tokens, in order.
+#: Bytes of each list of tokens, aggregated in the order of the sorted rows, which one thread keeps.
 JOINED = """
-SELECT doc, count(x) AS known, string_agg(x, '' ORDER BY pos) AS x
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM start) JOIN vocab USING (id) GROUP BY doc
+SELECT doc, count(x) AS known, string_agg(x, '') AS x FROM (
+  SELECT doc, x FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM start) JOIN vocab USING (id) ORDER BY doc, pos)
+GROUP BY doc
 """
 
 
@@ -117,6 +123,7 @@ class Codec:
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.characters = {b: chr(i + SHIFT + OVER * (i + SHIFT >= GAP)) for b, i in enumerate(self.bytes.tolist())}
         self.words = regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
@@ -124,12 +131,27 @@ class Codec:
         self.con.execute(TABLES)
         self.con.unregister("given")
 
-    def _rows(self, key: str, lists: pa.ListArray, sql: str) -> pa.Table:
-        self.con.register("given", pa.table({key: pa.array(range(len(lists)), pa.int32()), "ids": lists}))
+    def _rows(self, given: pa.Table, sql: str) -> pa.Table:
+        self.con.register("given", given)
         self.con.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT * FROM given")
         self.con.unregister("given")
         return self.con.sql(sql).to_arrow_table().combine_chunks()
 
+    def _short(self, words: list[bytes]) -> tuple[list[int], list[int], bytes]:
+        """Numbers of words, ends of their tokens, and the tokens, four bytes each."""
+        starts = pa.array([w.decode("latin-1").translate(self.characters) for w in words], pa.string())
+        got = self._rows(pa.table({"word": pa.array(range(len(words)), pa.int32()), "w": starts}), CONTRACT)
+        texts = got["w"].to_pylist()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int32)
+        return got["word"].to_pylist(), np.cumsum([0, *map(len, texts)]).tolist(), (codes - SHIFT - OVER * (codes >= GAP)).astype(np.int32).tobytes()
+
+    def _long(self, words: list[bytes]) -> tuple[list[int], list[int], bytes]:
+        """The same for long words, whose tokens are lists."""
+        starts = _lists([self.bytes[np.frombuffer(w, np.uint8)].tobytes() for w in words])
+        got = self._rows(pa.table({"word": pa.array(range(len(words)), pa.int32()), "ids": starts}), CONTRACT_LONG.replace("cuts", CUTS))
+        ids = got["ids"].chunk(0)
+        return got["word"].to_pylist(), ids.offsets.to_pylist(), np.asarray(ids.values, np.int32).tobytes()
+
     def contracted(self, words: Iterable[str]) -> dict[str, bytes]:
         """The tokens of each distinct word."""
         out: dict[str, bytes] = {}
@@ -137,14 +159,10 @@ class Codec:
         size = {False: 0, True: 0}
 
         def flush(long: bool) -> None:
-            if todo[long]:
-                ends = np.cumsum([0, *(len(b) for _, b in todo[long])], dtype=np.int32)
-                starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.bytes[np.frombuffer(b"".join([b for _, b in todo[long]]), np.uint8)]))
-                got = self._rows("word", starts, CONTRACT_LONG.replace("cuts", CUTS) if long else CONTRACT)
-                ids = pc.fill_null(got["ids"].chunk(0), pa.scalar([], pa.list_(pa.int32())))
-                ends, data, own = (4 * ids.offsets.to_numpy()).tolist(), np.asarray(ids.values, np.int32).tobytes(), todo[long]
-                for word, start, end in zip(got["word"].to_pylist(), ends, ends[1:]):
-                    out[own[word][0]] = data[start:end]
+            if own := todo[long]:
+                numbers, ends, data = (self._long if long else self._short)([b for _, b in own])
+                for word, start, end in zip(numbers, ends, ends[1:]):
+                    out[own[word][0]] = data[4 * start : 4 * end]
             todo[long], size[long] = [], 0
 
         for w in words:
@@ -185,7 +203,7 @@ class Codec:
             # parts of a group follow each other
             first, last = group[0][1], group[-1][2]
             offsets = pa.array([x[1] - first for x in group] + [last - first], pa.int32())
-            got = self._rows("doc", pa.ListArray.from_arrays(offsets, values.slice(first, last - first)), JOINED)
+            got = self._rows(pa.table({"doc": pa.array(range(len(group)), pa.int32()), "ids": pa.ListArray.from_arrays(offsets, values.slice(first, last - first))}), JOINED)
             joined = dict(zip(got["doc"].to_pylist(), zip(got["known"].to_pylist(), got["x"].to_pylist(), strict=True), strict=True))
             for k, (doc, start, end) in enumerate(group):
                 known, x = joined.get(k, (0, ""))
@@ -221,6 +239,15 @@ def _groups(values: list, size: Callable, most: int) -> Iterator[list]:
         yield group
 
 
+def _uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with the collector of circular garbage at rest: there is none, and it would visit all pieces again and again."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+
+
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row a document: id, ids (its tokens).
 
@@ -235,7 +262,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for b in batches:
+        for b in _uncollected(batches):
             codec, at = codec or Codec(data.value, pattern), 0
             for texts in _groups(b.column(1).to_pylist(), lambda t: len(t or ""), TEXTS):
                 ids = codec.encode([t or "" for t in texts])
