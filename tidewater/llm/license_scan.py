@@ -1,17 +1,20 @@
 """License scans by a positional index of words weighted by rarity.
 
 Licence templates are word lists with mandatory key phrases. A first pass
-counts in how many documents each template word stands. The second pass looks
-up the postings (template, position) of each of a document's licence words, and
-sums the inverse document frequencies of those that agree on the same relative
-position of template and document. Where enough of a template is found at one
-offset and its key phrases stand there word for word, the
-template's label is given. Fixed phrases are labelled without any threshold.
+counts in how many documents each template word stands. Of each template the
+words of highest IDF are indexed with their places, so many that no place with
+the share of its weight that a match needs can do without some of them. The
+second pass looks up each document's words, intersects the postings by relative
+position of template and document, and where they weigh enough verifies the
+place on all words and its key phrases, word for word. Fixed phrases are
+labelled without any threshold.
 
 Null and empty texts have no words and no labels; a template found at several
-places gives one label; very long texts are read whole, and their time grows
-with the licence words in them; repeated rows get equal results; an empty table
-gives an empty result; other columns are not touched.
+places gives one label; very long texts are read whole, and what is held beside
+their words does not grow with them, as a place that a template has passed is
+forgotten; words of equal IDF are indexed in their order, and templates with
+equal labels give it once; repeated rows get equal results; an empty table gives
+an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -85,35 +88,55 @@ def places(text: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 class Index:
-    """Postings of the templates' words, with their weights."""
+    """Postings of each template's words of highest IDF, with their places in it.
 
-    def __init__(self, templates, n_docs: int, counts: dict[bytes, int]):
-        self.templates = templates
+    The words left out of the postings weigh less than half of the share that a
+    match needs, so every place with that share has postings that agree on it
+    and weigh the rest: `need`.
+    """
+
+    def __init__(self, templates, n_docs: int, counts: dict[bytes, int], share: float):
+        self.templates, self.share = templates, share
         self.weight = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) + 1 for _, t, _ in templates for w in t}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for n, (_, text, _) in enumerate(templates):
-            for i, w in enumerate(text):
-                self.postings.setdefault(w, []).append((n, i))
+        self.postings: dict[bytes, list[tuple[int, int, float]]] = {}
         self.total = [sum(self.weight[w] for w in t) for _, t, _ in templates]
-
-    def match(self, text: list[bytes], share: float) -> tuple[list[str], float]:
-        """Labels of the templates found, and the largest share of a template's weight at one offset."""
-        # all licence words vote, so that a place's votes are the template's whole agreement there
+        self.need: list[float] = []
+        for n, (_, text, _) in enumerate(templates):
+            left = self.total[n]
+            for i in sorted(range(len(text)), key=lambda i: (-self.weight[text[i]], i)):
+                if left < share * self.total[n] / 2:
+                    break
+                self.postings.setdefault(text[i], []).append((n, i, self.weight[text[i]]))
+                left -= self.weight[text[i]]
+            self.need.append(share * self.total[n] - left - 1e-9)
+        #: A template can stand at as many places that reach beyond a word as it has words; votes are cleared of others at twice that.
+        self.room = 1000 + 2 * sum(len(t) for _, t, _ in templates)
+
+    def agreement(self, text: list[bytes], n: int, at: int) -> float:
+        """The share of a template's weight that stands in a text from a place on."""
+        own = self.templates[n][1]
+        first, last = max(0, -at), min(len(own), len(text) - at)
+        return sum(self.weight[own[j]] for j in range(first, last) if text[at + j] == own[j]) / self.total[n]
+
+    def match(self, text: list[bytes]) -> tuple[list[str], float]:
+        """Labels of the templates found, and the largest share of a template's weight that its postings agree on or that was verified."""
         votes: dict[tuple[int, int], float] = {}
-        for i, w in enumerate(text):
-            if w in self.postings:
-                weight = self.weight[w]
-                for n, j in self.postings[w]:
-                    votes[n, i - j] = votes.get((n, i - j), 0.0) + weight
         labels, best = set(), 0.0
-        for (n, at), got in votes.items():
-            label, own, keys = self.templates[n]
-            part = got / self.total[n]
-            best = max(best, part)
-            if part >= share:
-                window = text[max(at, 0) : max(at + len(own), 0)]
-                if all(places(window, k) for k in keys):
-                    labels.add(label)
+        for i, w in enumerate(text):
+            for n, j, weight in self.postings.get(w, ()):
+                got = votes.get((n, i - j), 0.0) + weight
+                part = got / self.total[n]
+                if got >= self.need[n]:
+                    part, got = self.agreement(text, n, i - j), -math.inf  # looked at once
+                    if part >= self.share:
+                        label, own, keys = self.templates[n]
+                        window = text[max(i - j, 0) : i - j + len(own)]
+                        if label not in labels and all(places(window, k) for k in keys):
+                            labels.add(label)
+                best = max(best, part)
+                votes[n, i - j] = got
+            if len(votes) > self.room:
+                votes = {(n, at): v for (n, at), v in votes.items() if at + len(self.templates[n][1]) > i}
         return sorted(labels), min(best, 1.0)
 
 
@@ -125,7 +148,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row a document: id, word count, places of the fixed phrases, labels, score (1 where a fixed phrase stands, else the best template's share)."""
     known = _templates(templates)
     n_docs, counts = word_counts(docs, text_col, frozenset(w for _, t, _ in known for w in t))
-    shared = sent(docs.sparkSession, Index(known, n_docs, counts))
+    shared = sent(docs.sparkSession, Index(known, n_docs, counts, share))
     phrases = [(words(p.encode()), label) for p, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +159,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 own = words(text)
                 found = [(at, label) for p, label in phrases for at in places(own, p)]
                 base = {label for _, label in found}
-                labels, score = index.match(own, share)
+                labels, score = index.match(own)
                 rows.append({"id": i, "n_words": len(own), "n_base": len(found), "first_word": min((x for x, _ in found), default=None), "last_word": max((x for x, _ in found), default=None), "base_labels": sorted(base), "labels": sorted(base | set(labels)), "score": 1.0 if base else score})
             yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
