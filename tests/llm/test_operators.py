@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 import brute
 import compare
@@ -302,6 +303,33 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_licenses_in_a_long_text():
+    """What matching holds does not grow with a text of common and rare licence words; notices at its ends are found; whole places agree with a scan of all."""
+    known = license_scan._templates(license_scan.TEMPLATES)
+    draw = np.random.default_rng(4)
+    vocabulary = sorted({w for _, t, _ in known for w in t})
+    index = license_scan.Index(known, 1000, {w: int(draw.integers(0, 900)) for w in vocabulary}, 0.5)
+    notice = [t for _, t, _ in known]
+    peaks = []
+    for n in (5_000, 50_000):
+        text = notice[0] + [vocabulary[i] for i in draw.integers(0, len(vocabulary), n)] + notice[3]
+        tracemalloc.start()
+        labels, score = index.match(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert {"apache-2.0", "mit"} <= set(labels) and score == 1.0
+    assert peaks[1] < 1.5 * peaks[0] + 100_000 and peaks[1] < 3_000_000
+    for _ in range(60):  # damaged notices: labels as by looking at every place
+        text = [w for t in draw.permutation(len(notice))[:3] for w in notice[t] if draw.random() < 0.97]
+        text = [w if draw.random() < 0.9 else b"x" for w in text]
+        want = set()
+        for n, (label, own, keys) in enumerate(known):
+            for at in range(-len(own), len(text)):
+                if index.agreement(text, n, at) >= 0.5 and all(license_scan.places(text[max(at, 0) : at + len(own)], k) for k in keys):
+                    want.add(label)
+        assert set(index.match(text)[0]) == want
+
+
 def test_licenses_of_several_notices(spark):
     notice = {label: text for label, text, _ in license_scan.TEMPLATES}
     four = ["apache-2.0", "mit", "bsd", "isc"]
@@ -423,6 +451,21 @@ def test_neighbours_odd(spark):
     assert hash_search.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_any_size(spark):
+    """Finite vectors whose squares leave the range of doubles."""
+    rows = [(0, [1.0, 1.0]), (50, [1e-200, 2e-200]), (1, [1e-200, 1e-200]), (2, [1e200, 1e200]), (3, [3e300, 4e300]), (4, [0.0, 1e-320])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out: dict[int, list] = {}
+    for r in hash_search.search(df).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    of = lambda a, b: round((a[0] * b[0] + a[1] * b[1]) / np.hypot(*a) / np.hypot(*b), 9)
+    plain = {0: (1, 1), 50: (1, 2), 1: (1, 1), 2: (1, 1), 3: (3, 4), 4: (0, 1)}
+    for q in (0, 50):
+        # parallel vectors may differ in their last digit, so ranks are compared by score
+        want = {i: of(plain[q], v) for i, v in plain.items() if i != q}
+        assert {i: s for _, i, s in out[q]} == pytest.approx(want) and [s for _, _, s in sorted(out[q])] == pytest.approx(sorted(want.values(), reverse=True))
+
+
 # --- classifiers
 
 @pytest.mark.parametrize(("name", "label", "limit"), [("op2_toxicity_mil", "toxic", 0.85), ("op6_zstd_quality", "quality", 0.9)])

@@ -21,7 +21,10 @@ vector. Queries go to the tasks in blocks of a fixed number, against all
 entries; each task keeps only the best of its entries for each query.
 
 Vectors that are null or zero, that hold null or non-finite components, or
-that differ in length from most of the sample take no part; repeated rows of an
+that differ in length from most of the sample take no part. Vectors of any
+finite size do: they are brought near length 1 by an exact power of two first.
+Ties go to the smaller id; long vectors make samples and blocks of queries
+smaller, so that neither outgrows BYTES; repeated rows of an
 id are each a candidate, and the query is asked once, by the smallest of its
 vectors; an empty table gives an empty result; other columns are not touched.
 """
@@ -47,6 +50,8 @@ BITS, PART = 256, 16
 SAMPLE, ASKED, HELD = 8192, 256, 0.99
 #: Queries in a block that is broadcast, rows in a block that is indexed, queries probed at once.
 QUERIES, ROWS, AT_ONCE = 16_384, 16_384, 64
+#: Bytes of the vectors in the sample, and in a block of queries, at most: long vectors make both smaller.
+BYTES = 64 << 20
 
 
 def usable(vector: str):
@@ -55,11 +60,18 @@ def usable(vector: str):
     return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest part between 1/2 and 1: exact, and squares stay in the range of doubles."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    return np.ldexp(x, -power)
+
+
 class Codes:
     """The learned rotations and the radius."""
 
     def __init__(self, sample: np.ndarray, k: int, seed: int = 3):
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        x = scaled(sample)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.mean = x.mean(0)
         v = x - self.mean
         _, axes = np.linalg.eigh(v.T @ v)
@@ -163,7 +175,7 @@ def _encoder(shared, dim: int):
         codes = received(shared)
         for b in batches:
             if b.num_rows:
-                x = b.column("v").flatten().to_numpy().astype(float).reshape(-1, dim)
+                x = scaled(b.column("v").flatten().to_numpy().astype(float).reshape(-1, dim))
                 code = codes.of(x / np.linalg.norm(x, axis=1, keepdims=True))
                 yield pa.RecordBatch.from_arrays([b.column("ids"), b.column("v"), pa.array([c.tobytes() for c in code], pa.binary())], names=["ids", "v", "code"])
 
@@ -187,6 +199,7 @@ def _searcher(shared, k: int, radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, qid, qx = received(shared)
+        qx = scaled(qx)
         dim, qnorm = qx.shape[1], np.linalg.norm(qx, axis=1)
         asked = codes.of(qx / qnorm[:, None])
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, float))
@@ -194,7 +207,7 @@ def _searcher(shared, k: int, radius: int):
             ids, x, code = (t.column(c).combine_chunks() for c in ("ids", "v", "code"))
             count = ids.value_lengths().to_numpy()
             first, ids = np.cumsum(count) - count, ids.flatten().to_numpy()
-            x = x.flatten().to_numpy().reshape(-1, dim)
+            x = scaled(x.flatten().to_numpy().reshape(-1, dim))
             norm = np.linalg.norm(x, axis=1)
             block = Block(np.frombuffer(b"".join(code.to_pylist()), np.uint16).reshape(len(x), -1))
             for i in range(0, len(qid), AT_ONCE):
@@ -223,11 +236,12 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, id_col: str = "ve
     place = F.row_number().over(W.partitionBy("v").orderBy("id"))
     few = own.groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n")).withColumn("place", place).filter(F.col("place") <= k + 1)
     entries = written(few.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("id", F.col("n"))))).alias("ids")), "entries")
-    total = entries.count()
+    total, widest = entries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    most = min(SAMPLE, max(1, BYTES // (8 * max(widest or 1, 1))))
     # a bounded sample, by hash: the share lets about two samples pass, so that many partitions do not each send a whole one
     order = F.pmod(F.xxhash64(F.lit(11), "v"), F.lit(1 << 30))
-    passing = entries.filter(order < F.lit(min(1 << 30, (1 << 31) * SAMPLE // max(total, 1))))
-    rows = passing.orderBy(order, "v").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    passing = entries.filter(order < F.lit(min(1 << 30, (1 << 31) * most // max(total, 1))))
+    rows = passing.orderBy(order, "v").limit(most).select("v").toArrow().column("v").combine_chunks()
     if not len(rows):
         return none
     lengths = rows.value_lengths().to_pylist()
@@ -237,7 +251,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, id_col: str = "ve
     total = own.filter(F.size("v") == dim).count()
 
     asked = own.filter((F.col("id") % every == 0) & (F.size("v") == dim)).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERIES))
+    blocks = max(1, -(-asked.count() // min(QUERIES, max(1, BYTES // (8 * dim)))))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(blocks)).cast("int")), "asked")
     path, schema = f"{scratch(spark)}/{uuid.uuid4().hex}-hits", "query_id bigint, vec_id bigint, score double, radius int"
     for n in range(blocks):
