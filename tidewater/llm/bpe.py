@@ -121,13 +121,14 @@ class Codec:
         import duckdb
         import regex
 
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+        self.whole = {b: i.to_bytes(4, sys.byteorder) for b, i in ranks.items()}
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.characters = {b: chr(i + SHIFT + OVER * (i + SHIFT >= GAP)) for b, i in enumerate(self.bytes.tolist())}
         self.words = regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        self.con.register("given", pa.table({"bytes": pa.array(list(self.ranks), pa.binary()), "id": pa.array(list(self.ranks.values()), pa.int32())}))
+        self.con.register("given", pa.table({"bytes": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32())}))
         self.con.execute(TABLES)
         self.con.unregister("given")
 
@@ -154,34 +155,18 @@ class Codec:
 
     def contracted(self, words: Iterable[str]) -> dict[str, bytes]:
         """The tokens of each distinct word."""
-        out: dict[str, bytes] = {}
-        todo: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
-        size = {False: 0, True: 0}
-
-        def flush(long: bool) -> None:
-            if own := todo[long]:
-                numbers, ends, data = (self._long if long else self._short)([b for _, b in own])
-                for word, start, end in zip(numbers, ends, ends[1:]):
-                    out[own[word][0]] = data[4 * start : 4 * end]
-            todo[long], size[long] = [], 0
-
-        for w in words:
-            b = w.encode()
-            if (whole := self.ranks.get(b)) is not None:
-                out[w] = whole.to_bytes(4, sys.byteorder)
-                continue
-            long = len(b) > LONG
-            if size[long] + len(b) > BLOCK:
-                flush(long)
-            todo[long].append((w, b))
-            size[long] += len(b)
-        flush(False)
-        flush(True)
+        coded = [(w, w.encode()) for w in words]
+        out = {w: self.whole[b] for w, b in coded if b in self.whole}
+        rest = [x for x in coded if x[1] not in self.whole]
+        for contract, own in ((self._short, [x for x in rest if len(x[1]) <= LONG]), (self._long, [x for x in rest if len(x[1]) > LONG])):
+            for group in _groups(own, lambda x: len(x[1]), BLOCK):
+                numbers, ends, data = contract([b for _, b in group])
+                out.update((group[k][0], data[4 * start : 4 * end]) for k, start, end in zip(numbers, ends, ends[1:]))
         return out
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         pieces = [PIECE.findall(t) for t in texts]
-        used = {p for t in pieces for p in t}
+        used = set().union(*pieces)
         new = {p: self.words.findall(p) for p in used - self.kept.keys()}
         tokens = self.contracted({w for ws in new.values() for w in ws})
         kept = self.kept
