@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidewater.functions import stats
 from tidewater.operators import catalogue, preferences, recommend, serving
 
 ITEMS = [(1, ["a", "b"]), (2, ["a", "b"]), (3, ["c"]), (4, ["a", "c"]), (5, ["d"]), (6, ["b"])]
@@ -140,3 +142,22 @@ def test_profile_rules(spark):
     assert risks == {(1, "engagement_decline", "", "high"), (1, "activity_decline", "", "medium"), (1, "lifecycle_risk", "platform_fatigue", "low"), (1, "lifecycle_risk", "reduced_exploration", "low"), (1, "profile_stagnation", "", "low")}
     f = {r.user_id: r for r in P.behaviour_forecast(stages, t, P.profile_scores(m, t)).collect()}
     assert abs(f[1].predicted - 0.1) < 1e-9 and f[1].next_stages == "declining" and f[2].stage == "unknown" and f[2].predicted is None
+
+
+def test_places_of_texts_with_one_prefix(spark):
+    """Bins of texts follow the texts, not their first characters."""
+    rows = spark.range(100_000).select(F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("v"))
+    counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("ties"))
+    sizes = [r["count"] for r in stats.binned(counts, "v", 256).groupBy("_bin").count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 100_000 / 256 * 4
+    few = spark.createDataFrame([(x,) for x in ["b", "a", "a", "ccc", "cc", None, "ä", ""]], "v string")
+    got = {r.v: (r.ties, r.below, r.number, r.total) for r in stats.places(few, "v").collect()}
+    assert got == {"": (1, 0, 0, 7), "a": (2, 1, 1, 7), "b": (1, 3, 2, 7), "cc": (1, 4, 3, 7), "ccc": (1, 5, 4, 7), "ä": (1, 6, 5, 7)}
+
+
+def test_percentiles(spark):
+    values = [float((i * 37) % 1009) for i in range(1500)] + [5.0] * 400
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    want = df.agg(F.percentile("x", F.array(*map(F.lit, [0.0, 0.05, 0.25, 0.5, 0.999, 1.0])))).first()[0]
+    assert stats.percentiles(df, "x", [0.0, 0.05, 0.25, 0.5, 0.999, 1.0]).first()[0] == pytest.approx(want)
+    assert stats.percentiles(df.filter("x > 2000"), "x", [0.5]).first()[0] == [None]

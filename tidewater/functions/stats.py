@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 
 def as_of(df: DataFrame, when: str | None, ts: str = "ts") -> DataFrame:
     """df with a column as_of: the given time, or the latest of df. No wall clock is read."""
@@ -17,30 +19,63 @@ def as_of(df: DataFrame, when: str | None, ts: str = "ts") -> DataFrame:
     return df.crossJoin(F.broadcast(latest))  # one row
 
 
-def places(df: DataFrame, value: str, *aggs: Column, bins: int = 256) -> DataFrame:
-    """Each distinct non-null value with ties (its rows), below (rows of smaller values), total (all rows), number (its place among the distinct values, from 0) and further aggregates of its rows.
+def binned(counts: DataFrame, value: str, bins: int) -> DataFrame:
+    """counts (a row a value) with _bin, a number that grows with the value.
 
-    No task orders all values: they are dealt to bins of neighbouring values (numbers
-    at approximate percentiles of the distinct values, texts by their first three
-    characters), ordered inside a bin, and moved by what the bins before hold.
+    Cuts lie, for numbers, at approximate percentiles, for texts at those of a
+    sample of 16 values a bin, the first by hash.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("ties"), *aggs)
-    if dict(df.dtypes)[value] == "string":
-        binned = counts.withColumn("_bin", F.substring(value, 1, 3))
+    if dict(counts.dtypes)[value] == "string":
+        # one row: cuts of 256 characters at most
+        drawn = counts.select(F.substring(value, 1, 256).alias("_s"), F.xxhash64(value).alias("_h")).orderBy("_h", "_s").limit(16 * bins).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+        cuts = drawn.select(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.get("_s", F.floor(i * F.size("_s") / bins).cast("int")))).alias("_cuts"))
+        cuts = cuts.select(F.array_compact("_cuts").alias("_cuts"))
     else:
         cuts = counts.agg(F.percentile_approx(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10 * bins)).alias("_cuts"))
-        binned = counts.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    return counts.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def places(df: DataFrame, value: str, *aggs: Column, bins: int = 256) -> DataFrame:
+    """Each distinct non-null value with ties (its rows), below (rows of smaller values), total (all rows), number (its place among the distinct values, from 0) and further aggregates of its rows.
+
+    No task orders all values: they are dealt to bins of neighbouring values,
+    ordered inside a bin, and moved by what the bins before hold.
+    """
+    return placed(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("ties"), *aggs), value, bins)
+
+
+def placed(counts: DataFrame, value: str, bins: int) -> DataFrame:
+    """What places gives, from a row with ties for each value."""
+    dealt = binned(counts, value, bins)
     before = W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    sums = binned.groupBy("_bin").agg(F.sum("ties").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    sums = dealt.groupBy("_bin").agg(F.sum("ties").alias("_n"), F.count(F.lit(1)).alias("_d"))
     # a row a bin
     sums = sums.select("_bin", F.coalesce(F.sum("_n").over(before), zero).alias("_before"), F.coalesce(F.sum("_d").over(before), zero).alias("_numbers"), F.sum("_n").over(W.partitionBy()).alias("total"))
     w = W.partitionBy("_bin").orderBy(value)
-    out = binned.join(F.broadcast(sums), "_bin")
+    out = dealt.join(F.broadcast(sums), "_bin")
     below = F.col("_before") + F.sum("ties").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("ties")
     return out.withColumn("below", below).withColumn("number", F.col("_numbers") + F.row_number().over(w) - 1).drop("_bin", "_before", "_numbers")
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], name: str = "_q") -> DataFrame:
+    """One row: the exact percentiles of a column's non-null values as an array, between two neighbouring values in proportion; nulls if there are none.
+
+    Their places are looked up among the ordered distinct values, so no buffer
+    holds a column's values. Counts and result are written: what df stands for
+    is computed once, and plans of several steps do not multiply.
+    """
+    p = placed(kept(df.select(F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("ties")), "counts"), "_v", 256)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("ties")), F.col("_v")))
+
+    spots = [s * (F.col("total") - 1) for s in shares]
+    found = p.agg(*[x for i, s in enumerate(spots) for x in (at(F.floor(s)).alias(f"a{i}"), at(F.ceil(s)).alias(f"b{i}"))], F.max("total").alias("total"))
+    between = [F.when(F.floor(s) == F.ceil(s), F.col(f"a{i}")).otherwise((F.ceil(s) - s) * F.col(f"a{i}") + (s - F.floor(s)) * F.col(f"b{i}")) for i, s in enumerate(spots)]
+    return kept(found.select(F.array(*between).alias(name)), "percentiles")
+
+
 def with_percentile(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the average rank of a value divided by the number of rows, ties sharing their mean rank; null for null."""
     p = places(df, value).select(F.col(value).alias("_at"), ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias(name))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, top
+from ..functions.tables import kept
 from .evaluation import jaccard
+from .networks import unit
 
 
 def attribute_filter(items: DataFrame, filters: dict[str, object]) -> DataFrame:
@@ -136,3 +138,46 @@ def explicit_mf(interactions: DataFrame) -> DataFrame:
     e = model.transform(own.filter("held")).crossJoin(F.broadcast(mean))
     off = lambda c: F.sqrt(F.avg((F.col(c) - F.col("rating")) * (F.col(c) - F.col("rating"))))
     return e.agg(off("prediction").alias("rmse"), off("m").alias("baseline"), F.count(F.lit(1)).alias("n"))
+
+
+#: Fixed words that do not count in a title.
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
+
+
+def domain_similarity(first: DataFrame, second: DataFrame, meta: dict[str, list[str]], *, least: float = 0.4, n: int = 3) -> DataFrame:
+    """a, b, similarity, rank: for each item of one domain the n most similar items of another, above `least`.
+
+    Both hold content_id, title, genres, year and embedding. The similarity is
+    the mean of the parts that can be told, with fixed weights: 0.4 for the
+    cosine (both embeddings there, of one length and not zero), 0.3 for the
+    Jaccard similarity of meta genres, 0.2 for that of the title's words, 0.1
+    for 1 - |difference of years| / 50, at least 0 (both years there and not 0).
+
+    Items meet on a shared meta genre or title word. A pair with several of
+    them counts under the first only, so none is met twice, and vectors are
+    joined to the pairs that their other parts do not rule out.
+    """
+    def keyed(df: DataFrame, x: str) -> DataFrame:
+        lower = F.transform("genres", F.lower)
+        told = F.array(*[F.when(F.arrays_overlap(lower, F.array(*map(F.lit, words))), F.lit(name)) for name, words in meta.items()])
+        words = F.array_except(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)), F.array(*map(F.lit, STOP_WORDS)))
+        own = df.select(F.col("content_id").alias(x), F.array_compact(told).alias(f"g{x}"), words.alias(f"t{x}"), F.when(F.col("year") != 0, F.col("year")).alias(f"y{x}"), F.col("embedding").isNotNull().alias(f"h{x}"))
+        keys = F.array_sort(F.concat(F.transform(f"g{x}", lambda g: F.concat(F.lit("genre "), g)), F.transform(f"t{x}", lambda w: F.concat(F.lit("word "), w))))
+        own = own.withColumn(f"k{x}", keys)
+        # written: rows of a generator have no size that a join could rely on
+        return kept(own.select("*", F.explode(f"k{x}").alias("key")), "keys")
+
+    met = keyed(first, "a").join(keyed(second, "b").hint("merge"), "key").filter(F.col("key") == F.get(F.array_sort(F.array_intersect("ka", "kb")), F.lit(0)))
+    genre = F.when((F.size("ga") > 0) & (F.size("gb") > 0), jaccard(F.col("ga"), F.col("gb"))).otherwise(0.0)
+    year = F.greatest(F.lit(0.0), 1 - F.abs(F.col("ya") - F.col("yb")) / 50)
+    known = 0.3 * genre + 0.2 * jaccard(F.col("ta"), F.col("tb")) + F.coalesce(0.1 * year, F.lit(0.0))
+    weight = F.when(year.isNull(), 0.5).otherwise(0.6)
+    parts = met.select("a", "b", known.alias("known"), weight.alias("weight"), (F.col("ha") & F.col("hb")).alias("both"))
+    # a cosine of 1 is the most that can come
+    parts = kept(parts.filter(F.when(F.col("both"), F.greatest((F.col("known") + 0.4) / (F.col("weight") + 0.4), F.col("known") / F.col("weight"))).otherwise(F.col("known") / F.col("weight")) > least), "pairs")
+    va, vb = (df.select(F.col("content_id").alias(x), unit(F.col("embedding")).alias(f"v{x}")).filter(f"v{x} is not null") for df, x in ((first, "a"), (second, "b")))
+    cosine = F.when(F.size("va") == F.size("vb"), F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    own = parts.join(va.hint("merge"), "a", "left").join(vb.hint("merge"), "b", "left").withColumn("cosine", cosine)
+    similarity = F.when(F.col("cosine").isNull(), F.col("known") / F.col("weight")).otherwise((F.col("known") + 0.4 * F.col("cosine")) / (F.col("weight") + 0.4))
+    own = own.select("a", "b", F.round(similarity, 9).alias("similarity")).filter(F.col("similarity") > least)
+    return top(own, ["a"], [F.desc("similarity"), F.col("b")], n)

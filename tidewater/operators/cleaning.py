@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import normal_point, places, ratio
+from ..functions.stats import normal_point, percentiles, places, ratio
 
 
 def _with(df: DataFrame, *aggs: Column) -> DataFrame:
@@ -58,8 +58,8 @@ def impute_stat(df: DataFrame, column: str, how: str, value: object = None) -> D
         fill = df.select(column).transform(lambda d: mode(d, column)).withColumnRenamed("mode", "_fill")
         # a column without values has no mode: the outer join keeps the rows
         return df.join(F.broadcast(fill), how="left").withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
-    stat = {"mean": F.avg(column), "median": F.percentile(column, F.lit(0.5))}[how]
-    return _with(df, stat.alias("_fill")).withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
+    fill = df.agg(F.avg(column).alias("_fill")) if how == "mean" else percentiles(df, column, [0.5]).select(F.col("_q")[0].alias("_fill"))
+    return df.crossJoin(F.broadcast(fill)).withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
 
 
 def impute_fill(df: DataFrame, column: str, keys: list[str], order: list[str], forward: bool = True) -> DataFrame:
@@ -82,8 +82,7 @@ def impute_interpolate(df: DataFrame, column: str, keys: list[str], order: list[
 
 def outlier_iqr(df: DataFrame, column: str, factor: float = 1.5, far: float = 3.0) -> DataFrame:
     """Adds is_outlier (outside the quartiles by factor times their distance) and severity (high beyond `far`, else medium)."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
-    out = _with(df, q.alias("_q")).withColumn("_d", F.col("_q")[1] - F.col("_q")[0])
+    out = df.crossJoin(F.broadcast(percentiles(df, column, [0.25, 0.75]))).withColumn("_d", F.col("_q")[1] - F.col("_q")[0])
     off = F.greatest(F.col("_q")[0] - F.col(column), F.col(column) - F.col("_q")[1])
     bad = F.coalesce(off > factor * F.col("_d"), F.lit(False))
     return out.withColumn("is_outlier", bad).withColumn("severity", F.when(bad & (off > far * F.col("_d")), "high").when(bad, "medium")).drop("_q", "_d")
@@ -111,8 +110,10 @@ def outlier_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, method, outliers, percent over all rows, for the quartile and the z-score method."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in columns:
-        aggs += [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     both = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    for c in columns:
+        both = both.crossJoin(F.broadcast(percentiles(df, c, [0.25, 0.75], f"q_{c}")))
     counts = [F.first("n").alias("n")]
     for c in columns:
         q, d = F.col(f"q_{c}"), F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0]
@@ -124,7 +125,7 @@ def outlier_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def outlier_cap(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Values beyond the two percentiles become these."""
-    out = _with(df, F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    out = df.crossJoin(F.broadcast(percentiles(df, column, [low, high])))
     return out.withColumn(column, F.when(F.col(column).isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(column))))).drop("_q")
 
 
@@ -190,12 +191,14 @@ def rating_minmax(df: DataFrame, column: str = "rating") -> DataFrame:
 
 def scale_features(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
     """Adds <column>_scaled: standard (population deviation), minmax, or robust (median and quartile distance)."""
-    aggs = []
-    for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        mid, span = {"standard": (F.avg(c), F.stddev_pop(c)), "minmax": (F.min(c), F.max(c) - F.min(c)), "robust": (q[1], q[2] - q[0])}[method]
-        aggs += [mid.alias(f"_m_{c}"), span.alias(f"_s_{c}")]
-    out = _with(df, *aggs)
+    if method == "robust":
+        out = df
+        for c in columns:
+            q = percentiles(df, c, [0.25, 0.5, 0.75]).select(F.col("_q")[1].alias(f"_m_{c}"), (F.col("_q")[2] - F.col("_q")[0]).alias(f"_s_{c}"))
+            out = out.crossJoin(F.broadcast(q))
+    else:
+        pairs = {c: {"standard": (F.avg(c), F.stddev_pop(c)), "minmax": (F.min(c), F.max(c) - F.min(c))}[method] for c in columns}
+        out = _with(df, *[x for c, (mid, span) in pairs.items() for x in (mid.alias(f"_m_{c}"), span.alias(f"_s_{c}"))])
     for c in columns:
         out = out.withColumn(f"{c}_scaled", (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")))
     return out.drop(*[f"_{k}_{c}" for c in columns for k in "ms"])

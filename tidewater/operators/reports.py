@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import as_of, ratio, top
+from ..functions.stats import as_of, percentiles, ratio, top
 from .cleaning import skewness
 
 
@@ -22,16 +22,17 @@ def quality_dashboard(interactions: DataFrame, users: DataFrame, days: int = 30,
 
 def distribution(items: DataFrame, column: str) -> DataFrame:
     """n, mean, median, deviation, lowest, highest, skew of a column."""
-    return items.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_samp(column).alias("deviation"), F.min(column).alias("lowest"), F.max(column).alias("highest"), skewness(column).alias("skew"))
+    row = items.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("deviation"), F.min(column).alias("lowest"), F.max(column).alias("highest"), skewness(column).alias("skew"))
+    median = percentiles(items, column, [0.5]).select(F.col("_q")[0].alias("median"))
+    return row.crossJoin(F.broadcast(median)).select("n", "mean", "median", "deviation", "lowest", "highest", "skew")
 
 
 def impute_domain(df: DataFrame, numeric: dict[str, float], text: dict[str, str]) -> DataFrame:
     """Null numbers take the column's median, or the given default where all are null; null texts take theirs."""
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in numeric])
-    out = df.crossJoin(F.broadcast(row))
+    out = df
     for c, default in numeric.items():
-        out = out.withColumn(c, F.coalesce(c, f"_{c}", F.lit(default)))
-    return out.drop(*[f"_{c}" for c in numeric]).fillna(text)
+        out = out.crossJoin(F.broadcast(percentiles(df, c, [0.5]))).withColumn(c, F.coalesce(c, F.col("_q")[0], F.lit(default))).drop("_q")
+    return out.fillna(text)
 
 
 def issue_rollup(issues: DataFrame, least: int = 3) -> DataFrame:

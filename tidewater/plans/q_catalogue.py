@@ -98,3 +98,20 @@ def approx_knn(spark, sf_dir):
 @query()
 def explicit_mf_rmse(spark, sf_dir):
     return K.explicit_mf(interactions(spark, sf_dir))
+
+
+#: Fixed meta genres of the queries.
+META = {"hardware": ["bolt", "nut", "gear"], "device": ["widget", "gizmo"], "shape": ["ring", "plate"], "warm": ["red", "hot"]}
+_METAS = ", ".join(f"CASE WHEN list_has_any(genres, {words}) THEN '{name}' END" for name, words in META.items())
+_JACCARD = "(CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END)"
+
+
+@query(f"""WITH {CONTENT}, i AS (SELECT content_id, content_type, list_filter([{_METAS}], lambda x: x IS NOT NULL) AS g, list_distinct(list_filter(string_split(lower(title), ' '), lambda x: x <> '')) AS t, CASE WHEN content_id % 4 <> 0 THEN 1950 + duration END AS y, CAST(embedding AS DOUBLE[]) AS v FROM content LEFT JOIN embeddings ON vec_id = content_id),
+p AS (SELECT a.content_id AS a, b.content_id AS b, 0.3 * CASE WHEN len(a.g) > 0 AND len(b.g) > 0 THEN {_JACCARD.format("a.g", "b.g")} ELSE 0 END + 0.2 * {_JACCARD.format("a.t", "b.t")} AS k, greatest(0, 1 - abs(a.y - b.y) / 50) AS y, list_cosine_similarity(a.v, b.v) AS c
+  FROM i a JOIN i b ON a.content_type = 'PROMO' AND b.content_type = 'ECONOMY' AND (list_has_any(a.g, b.g) OR list_has_any(a.t, b.t))),
+s AS (SELECT a, b, round((k + coalesce(0.1 * y, 0) + coalesce(0.4 * c, 0)) / (0.5 + CASE WHEN y IS NULL THEN 0 ELSE 0.1 END + CASE WHEN c IS NULL THEN 0 ELSE 0.4 END), 9) AS similarity FROM p)
+SELECT a, b, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a ORDER BY s.similarity DESC, b) AS INTEGER) AS rank FROM s WHERE s.similarity > 0.4 QUALIFY rank <= 3""")
+def cross_domain_similarity(spark, sf_dir):
+    own = content(spark, sf_dir).withColumn("year", F.when(F.col("content_id") % 4 != 0, 1950 + F.col("duration")))
+    own = own.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("content_id"), "embedding"), "content_id", "left")
+    return rounded(K.domain_similarity(own.filter("content_type = 'PROMO'"), own.filter("content_type = 'ECONOMY'"), META))
