@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio
+from ..functions.stats import ratio, top
 from .preferences import ks
 
 
@@ -145,3 +145,69 @@ def confidence_drift(scores: DataFrame, order: list[str], last: int = 20) -> Dat
     a = own.groupBy("user_id").agg(F.count("score").alias("n"), F.regr_slope("score", "_k").alias("slope"), ratio(F.covar_pop("score", "_k"), F.stddev_pop("score") * F.stddev_pop("_k")).alias("r")).filter(F.col("n") == last)
     t2 = F.col("r") * F.col("r") * (last - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-12))
     return a.select("user_id", "slope", "r", F.least(F.lit(1.0), 10 * F.abs("slope")).alias("severity"), F.coalesce((F.abs("slope") > 0.01) & (t2 > 4.414), F.lit(False)).alias("drifted"))
+
+
+def preference_change_trends(changes: DataFrame, as_of: Column, days: int = 30, n: int = 5, least: float = 0.2) -> DataFrame:
+    """user_id, total_changes, n_new, n_removed, trending_up, trending_down, change_frequency of changes (user_id, feature, old_value, new_value, ts, id) in the last days.
+
+    A change without an old value is new, else one without a new value is
+    removed; others trend if they move by more than `least`. The lists hold the
+    features of the n largest moves, comma-joined, ties to the earlier change.
+    """
+    own = changes.filter(F.col("ts") > as_of - F.expr(f"interval {days} days"))
+    move = F.round(F.col("new_value") - F.col("old_value"), 9)
+    kind = F.when(F.col("old_value").isNull(), "new").when(F.col("new_value").isNull(), "removed").when(move > least, "up").when(move < -least, "down")
+    own = own.withColumn("kind", kind).withColumn("size", F.abs(move))
+    totals = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_changes"), F.count_if(F.col("kind") == "new").alias("n_new"), F.count_if(F.col("kind") == "removed").alias("n_removed"))
+    first = top(own.filter("kind in ('up', 'down')"), ["user_id", "kind"], [F.desc("size"), F.col("ts"), F.col("id")], n)
+    # n rows a list
+    lists = first.groupBy("user_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "feature")))), lambda x: x["feature"]), ",").alias(f"trending_{k}") for k in ("up", "down")])
+    out = totals.join(lists.hint("merge"), "user_id", "left")
+    return out.select("user_id", "total_changes", "n_new", "n_removed", *[F.coalesce(f"trending_{k}", F.lit("")).alias(f"trending_{k}") for k in ("up", "down")], (F.col("total_changes") / days).alias("change_frequency"))
+
+
+def evolution_state(history: DataFrame, trends: DataFrame, n: int = 5) -> DataFrame:
+    """user_id, stability, exploration, velocity, dominant, emerging, declining from histories (user_id, feature, ts, id, value) and trends (user_id, feature, trend, slope, confidence, strength).
+
+    Stability is the mean over features with more than ten values of 1 less the
+    deviation, 1 at most, of the last ten; exploration, for users of several
+    features, the deviation of their last values, 1 at most; velocity the mean
+    absolute slope. The lists hold the first n features by name.
+    """
+    own = history.withColumn("all", F.count(F.lit(1)).over(W.partitionBy("user_id", "feature")))
+    last = top(own, ["user_id", "feature"], [F.desc("ts"), F.desc("id")], 10)
+    each = last.groupBy("user_id", "feature").agg((1 - F.least(F.stddev_pop("value"), F.lit(1.0))).alias("s"), F.first("all").alias("all"), F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("v"))
+    state = each.groupBy("user_id").agg(F.avg(F.when(F.col("all") > 10, F.col("s"))).alias("stability"), F.when(F.count(F.lit(1)) > 1, F.least(F.stddev_pop("v"), F.lit(1.0))).alias("exploration"))
+    speed = trends.groupBy("user_id").agg(F.avg(F.abs("slope")).alias("velocity"))
+    tests = {"dominant": (F.col("confidence") > 0.7) & (F.col("strength") > 0.5), "emerging": (F.col("trend") == "increasing") & (F.col("confidence") > 0.6), "declining": (F.col("trend") == "decreasing") & (F.col("confidence") > 0.6)}
+    out = state.join(speed.hint("merge"), "user_id", "left")
+    for name, test in tests.items():
+        names = top(trends.filter(test), ["user_id"], [F.col("feature")], n).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias(name))
+        out = out.join(names.hint("merge"), "user_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
+
+
+def explanation_components(adaptations: DataFrame, least: float = 0.1, n: int = 5) -> DataFrame:
+    """user_id, type, importance, confidence, evidence, rank: what explains an adaptation, the n most important of `least` or more, ties in the order of the rules.
+
+    Adaptations have user_id and, each null where not known, importance and
+    changes (maps from feature to number), temporal (a pattern's name), drift
+    and collaborative (booleans), exploration (a number). Evidence names the
+    three most important features, or the changed ones by name.
+    """
+    entries = lambda c: F.map_entries(F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))))
+    ranked = F.slice(F.array_sort(F.transform(entries("importance"), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("k")))), 1, 3)
+    strongest = F.array_join(F.transform(ranked, lambda x: x["k"]), ",")
+    changed = F.array_join(F.array_sort(F.transform(F.filter(entries("changes"), lambda e: F.abs(e["value"]) > 0.2), lambda e: e["key"])), ",")
+    # fixed values: type, importance, confidence, evidence, condition
+    rules = [
+        ("feature_importance", F.lit(0.8), 0.9, strongest, strongest != ""),
+        ("preference_change", F.lit(0.9), 0.85, changed, changed != ""),
+        ("temporal_pattern", F.lit(0.6), 0.7, F.col("temporal"), F.col("temporal").isNotNull()),
+        ("drift_adaptation", F.lit(0.7), 0.8, F.lit("drift"), F.coalesce("drift", F.lit(False))),
+        ("collaborative_signal", F.lit(0.5), 0.6, F.lit("similar users"), F.coalesce("collaborative", F.lit(False))),
+        ("exploration_exploitation", F.col("exploration"), 0.7, F.lit("exploration"), F.coalesce(F.col("exploration") > 0.3, F.lit(False))),
+    ]
+    parts = [F.when(test, F.struct(F.lit(k).alias("place"), F.lit(name).alias("type"), importance.cast("double").alias("importance"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"))) for k, (name, importance, confidence, evidence, test) in enumerate(rules)]
+    each = adaptations.select("user_id", F.inline(F.array_compact(F.array(*parts)))).filter(F.col("importance") >= least)
+    return top(each, ["user_id"], [F.desc("importance"), F.col("place")], n).drop("place")

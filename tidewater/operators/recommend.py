@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import kept
 from ..functions.stats import as_of, ratio, top  # noqa: F401
 
 
@@ -221,12 +222,13 @@ def next_items(sessions: DataFrame, item: str = "item_id", n: int = 5, longest:
 def als(interactions: DataFrame, n: int = 10, rank: int = 50, iterations: int = 10, spare: int = 200) -> DataFrame:
     """user_id, item_id, score: implicit-feedback factor model, the n best unseen items of each user.
 
-    Every user is first offered n + spare items; only those who have seen too
-    many of them are offered as many more as any user has seen.
+    Every user is first offered n + spare items; those who have seen more than
+    spare are taken in bands by powers of two of it and offered n more than
+    their band may have seen, so nobody's offers grow with another's history.
     """
     from pyspark.ml.recommendation import ALS
 
-    matrix = interactions.groupBy("user_id", "item_id").agg(F.sum("rating").cast("float").alias("rating"))
+    matrix = kept(interactions.groupBy("user_id", "item_id").agg(F.sum("rating").cast("float").alias("rating")), "ratings")
     model = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", implicitPrefs=True, rank=rank, maxIter=iterations, regParam=0.1, seed=42, coldStartStrategy="drop").fit(matrix)
     seen = matrix.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
     many = seen.filter(F.col("k") > spare).select("user_id")
@@ -236,7 +238,9 @@ def als(interactions: DataFrame, n: int = 10, rank: int = 50, iterations: int =
         return rows.join(matrix.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
     rows = unseen(model.recommendForAllUsers(n + spare)).join(many, "user_id", "left_anti")
-    most = seen.agg(F.max("k")).first()[0] or 0
-    if most > spare:
-        rows = rows.unionByName(unseen(model.recommendForUserSubset(many, n + most)))
+    most, upper = seen.agg(F.max("k")).first()[0] or 0, spare
+    while upper < most:
+        lower, upper = upper, max(1, 2 * upper)
+        band = seen.filter((F.col("k") > lower) & (F.col("k") <= upper)).select("user_id")
+        rows = rows.unionByName(unseen(model.recommendForUserSubset(band, n + upper)))
     return top(rows, ["user_id"], [F.desc("score"), F.col("item_id")], n)

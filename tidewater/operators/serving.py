@@ -250,7 +250,7 @@ def preference_summary(interactions: DataFrame, content: DataFrame, genres: int
     return best(g, "genre", genres, "genres").join(best(own, "content_type", types, "types"), "user_id").join(scalar, "user_id").join(spread, "user_id")
 
 
-def factor_export(interactions: DataFrame, rank: int = 16, iterations: int = 5) -> DataFrame:
+def factor_export(interactions: DataFrame, rank: int = 50, iterations: int = 10) -> DataFrame:
     """kind (user or item), id, factors of an implicit-feedback factor model."""
     from pyspark.ml.recommendation import ALS
 

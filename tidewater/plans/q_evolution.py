@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import evolution as V
@@ -132,3 +133,61 @@ def adaptation_history_stats(spark, sf_dir):
 SELECT user_id, round(s + 1e-9, 6) AS slope, round(r + 1e-9, 6) AS r, round(least(1.0, 10 * abs(s)) + 1e-9, 6)::DOUBLE AS severity, coalesce(abs(s) > 0.01 AND r * r * 18 / greatest(1 - r * r, 1e-12) > 4.414, false) AS drifted FROM a""")
 def confidence_drift(spark, sf_dir):
     return rounded(V.confidence_drift(interactions(spark, sf_dir).withColumn("score", F.col("rating") / 5), ["ts", "event_id"]), 1e-9)
+
+
+#: Values of each user's types in time order; 1 star takes a preference back.
+VALUES = "v AS (SELECT user_id, interaction_type AS feature, ts, event_id, rating / 5 AS value, CASE WHEN rating > 1 THEN rating / 5 END AS new_value FROM interactions)"
+
+
+def values(spark, sf_dir):
+    own = interactions(spark, sf_dir)
+    return own.select("user_id", F.col("interaction_type").alias("feature"), "ts", F.col("event_id").alias("id"), (F.col("rating") / 5).alias("value"), F.when(F.col("rating") > 1, F.col("rating") / 5).alias("new_value"))
+
+
+@query(f"""WITH {INTERACTIONS}, {VALUES}, c AS (SELECT *, lag(new_value) OVER (PARTITION BY user_id, feature ORDER BY ts, event_id) AS old_value FROM v),
+k AS (SELECT *, round(new_value - old_value, 9) AS m, CASE WHEN old_value IS NULL THEN 'new' WHEN new_value IS NULL THEN 'removed' WHEN round(new_value - old_value, 9) > 0.2 THEN 'up' WHEN round(new_value - old_value, 9) < -0.2 THEN 'down' END AS kind FROM c WHERE ts > TIMESTAMP '2024-01-01'),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY abs(m) DESC, ts, event_id) AS place FROM k)
+SELECT user_id, count(*) AS total_changes, count_if(kind = 'new') AS n_new, count_if(kind = 'removed') AS n_removed, coalesce(string_agg(feature, ',' ORDER BY place) FILTER (kind = 'up' AND place <= 5), '') AS trending_up, coalesce(string_agg(feature, ',' ORDER BY place) FILTER (kind = 'down' AND place <= 5), '') AS trending_down, round(count(*) / 30, 6) AS change_frequency FROM r GROUP BY 1""")
+def preference_change_trends(spark, sf_dir):
+    own = values(spark, sf_dir)
+    w = W.partitionBy("user_id", "feature").orderBy("ts", "id")
+    return rounded(V.preference_change_trends(own.withColumn("old_value", F.lag("new_value").over(w)), F.lit("2024-01-31").cast("timestamp")))
+
+
+_TRENDS = "t AS (SELECT user_id, feature, regr_slope(value, h) AS slope, regr_r2(value, h) AS confidence FROM (SELECT *, epoch_us(ts) / 3.6e9 AS h FROM v) GROUP BY 1, 2 HAVING count(*) >= 3), u AS (SELECT *, least(abs(slope) * 100, 1) AS strength, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM t WHERE slope IS NOT NULL)"
+
+
+def _names(name: str, test: str) -> str:
+    return f"(SELECT coalesce(string_agg(feature, ',' ORDER BY feature), '') FROM (SELECT feature FROM u WHERE u.user_id = s.user_id AND {test} ORDER BY feature LIMIT 5)) AS {name}"
+
+
+@query(f"""WITH {INTERACTIONS}, {VALUES}, {_TRENDS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id, feature ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id, feature) AS n FROM v),
+e AS (SELECT user_id, feature, any_value(n) AS n, 1 - least(stddev_pop(value), 1) AS s, max(CASE WHEN k = 1 THEN value END) AS last FROM l WHERE k <= 10 GROUP BY 1, 2),
+s AS (SELECT user_id, avg(CASE WHEN n > 10 THEN s END) AS stability, CASE WHEN count(*) > 1 THEN least(stddev_pop(last), 1) END AS exploration FROM e GROUP BY 1)
+SELECT s.user_id, round(stability, 6) AS stability, round(exploration, 6) AS exploration, round((SELECT avg(abs(slope)) FROM u WHERE u.user_id = s.user_id), 6) AS velocity, {_names("dominant", "confidence > 0.7 AND strength > 0.5")}, {_names("emerging", "trend = 'increasing' AND confidence > 0.6")}, {_names("declining", "trend = 'decreasing' AND confidence > 0.6")} FROM s""")
+def evolution_state(spark, sf_dir):
+    """Trends by plain regression over the hours, strong from a hundredth an hour on."""
+    own = values(spark, sf_dir)
+    hours = own.withColumn("h", F.unix_micros("ts") / 3.6e9)
+    t = hours.groupBy("user_id", "feature").agg(F.regr_slope("value", "h").alias("slope"), F.regr_r2("value", "h").alias("confidence"), F.count(F.lit(1)).alias("n")).filter("n >= 3 and slope is not null")
+    t = t.withColumn("strength", F.least(F.abs("slope") * 100, F.lit(1.0))).withColumn("trend", F.when(F.col("slope") > 0, "increasing").otherwise("decreasing"))
+    return rounded(V.evolution_state(own, t))
+
+
+@query(f"""WITH {INTERACTIONS}, a AS (SELECT user_id, interaction_type AS k, count(*) AS n, count_if(ts >= TIMESTAMP '2024-01-16') AS b FROM interactions GROUP BY 1, 2), s AS (SELECT user_id, k, n / sum(n) OVER u AS share, coalesce(b / nullif(sum(b) OVER u, 0), 0) - coalesce((n - b) / nullif(sum(n - b) OVER u, 0), 0) AS change FROM a WINDOW u AS (PARTITION BY user_id)),
+g AS (SELECT user_id, string_agg(k, ',' ORDER BY share DESC, k) FILTER (place <= 3) AS strongest, string_agg(k, ',' ORDER BY k) FILTER (abs(change) > 0.2) AS changed, max(abs(change)) AS most FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY share DESC, k) AS place FROM s) GROUP BY 1),
+i AS (SELECT user_id, avg(CAST(isodow(ts) >= 6 AS INTEGER)) AS weekend, count(DISTINCT item_id) / count(*) AS exploration, count(*) AS n FROM interactions GROUP BY 1),
+p AS (SELECT user_id, 0 AS place, 'feature_importance' AS type, 0.8 AS importance, 0.9 AS confidence, strongest AS evidence FROM g UNION ALL SELECT user_id, 1, 'preference_change', 0.9, 0.85, changed FROM g WHERE changed IS NOT NULL
+UNION ALL SELECT user_id, 2, 'temporal_pattern', 0.6, 0.7, 'weekend' FROM i WHERE weekend > 0.3 UNION ALL SELECT user_id, 3, 'drift_adaptation', 0.7, 0.8, 'drift' FROM g WHERE most > 0.25
+UNION ALL SELECT user_id, 4, 'collaborative_signal', 0.5, 0.6, 'similar users' FROM i WHERE n >= 60 UNION ALL SELECT user_id, 5, 'exploration_exploitation', exploration, 0.7, 'exploration' FROM i WHERE exploration > 0.3)
+SELECT user_id, type, round(importance, 6)::DOUBLE AS importance, confidence::DOUBLE AS confidence, evidence, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p.importance DESC, place) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""")
+def explanation_components(spark, sf_dir):
+    """Shares of types and their change between the month's halves, weekend events, drift and exploration as an adaptation's data."""
+    own = interactions(spark, sf_dir)
+    a = own.groupBy("user_id", F.col("interaction_type").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("b"))
+    u = W.partitionBy("user_id")
+    part = lambda x: F.coalesce(x / F.nullif(F.sum(x).over(u), F.lit(0)), F.lit(0.0))
+    s = a.select("user_id", "k", (F.col("n") / F.sum("n").over(u)).alias("share"), (part(F.col("b")) - part(F.col("n") - F.col("b"))).alias("change"))
+    maps = s.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "share"))).alias("importance"), F.map_from_entries(F.collect_list(F.struct("k", "change"))).alias("changes"), (F.max(F.abs("change")) > 0.25).alias("drift"))
+    i = own.groupBy("user_id").agg(F.when(F.avg((F.weekday("ts") >= 5).cast("int")) > 0.3, "weekend").alias("temporal"), (F.countDistinct("item_id") / F.count(F.lit(1))).alias("exploration"), (F.count(F.lit(1)) >= 60).alias("collaborative"))
+    return rounded(V.explanation_components(maps.join(i.hint("merge"), "user_id")))
