@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 #: Limit on the vocabulary file that is broadcast, in bytes.
 VOCAB_BYTES = 16 << 20
 #: Bytes of words, and tokens, in one query; pieces that a task keeps besides those of the texts at hand; characters of texts, and lists, that are taken together.
-BLOCK, TOKENS, KEPT, TEXTS, LISTS = 1 << 20, 1 << 18, 400_000, 2 << 20, 500
+BLOCK, TOKENS, KEPT, TEXTS, LISTS = 1 << 20, 1 << 18, 700_000, 2 << 20, 500
 #: Bytes from which a word contracts several places in a step; pieces of more characters are not kept.
 LONG = 64
 #: White space as Unicode has it, which is what the pattern means.
