@@ -352,6 +352,28 @@ def test_robust_trend(spark):
     assert got["down"].trend in ("decreasing", "volatile")
 
 
+def test_seasonal_forecast(spark):
+    draw = random.Random(14)
+    wave = lambda t: 0.4 * math.sin(2 * math.pi * t / 24 + 1)
+    rows = [("day", DAY + datetime.timedelta(hours=t), 1 + wave(t) + draw.gauss(0, 0.01)) for t in range(24 * 20)] + [("short", DAY + datetime.timedelta(hours=t), 2.0) for t in range(12)] + [("few", DAY, 1.0), ("day", None, 1.0)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, value double")
+    waves = {(r.key, r.period): r for r in models.seasonal_waves(df, ["key"]).collect()}
+    assert waves.keys() == {("day", 24)} and waves["day", 24].amplitude == pytest.approx(0.4, abs=0.01) and waves["day", 24].r2 > 0.99
+    out = {(r.key, r.step): r for r in models.seasonal_forecast(df, ["key"], F.lit("2024-01-25").cast("timestamp")).collect()}
+    trend = models.robust_trend(df, ["key"], F.lit("2024-01-25").cast("timestamp")).filter("key = 'day'").first()
+    w = waves["day", 24]
+    tail = [v for k, _, v in rows if k == "day"][-21:-1]
+    mean = sum(tail) / 20
+    band = 1.96 * math.sqrt(sum((v - mean) ** 2 for v in tail) / 20)
+    for step in range(1, 8):
+        ts = rows[24 * 20 - 1][1] + datetime.timedelta(hours=step)
+        seconds = (ts - datetime.datetime(1970, 1, 1)).total_seconds()
+        want = trend.forecast[step - 1] + w.amplitude * math.sin(2 * math.pi * seconds / 86400 + w.phase) * w.r2
+        assert out["day", step].value == pytest.approx(want, abs=1e-6) and out["day", step].band == pytest.approx(band)
+        assert out["short", step].value == pytest.approx(2.0) and out["short", step].band == 0
+    assert {k for k, _ in out} == {"day", "short"}
+
+
 def test_planted_feature(spark):
     draw = random.Random(13)
     rows = [(x := draw.random(), draw.random(), draw.random(), 1.0 if i % 50 else None, 3 * x + 0.1 * draw.random()) for i in range(600)]

@@ -132,3 +132,49 @@ def weight_grid(candidates: DataFrame, relevance: DataFrame, components: list[st
     means = means.select("combination", named.alias("weights"), F.round(F.col("total") / F.col("users"), 9).alias("ndcg"), "users")
     # a row a combination
     return means.withColumn("best", F.row_number().over(W.orderBy(F.desc("ndcg"), "combination")) == 1)
+
+
+#: Fixed periods in hours: day, week, 30 and 90 days.
+PERIODS = (24, 168, 720, 2160)
+
+
+def seasonal_waves(series: DataFrame, keys: list[str], periods: tuple[int, ...] = PERIODS, least: int = 50) -> DataFrame:
+    """keys, period (hours), amplitude, phase, r2 of the waves in series (keys, ts, value) of `least` rows or more.
+
+    Sine and cosine of each period that fits twice between a series' first and
+    last row are fitted by the normal equations; waves with an r2 above 0.1 and
+    an amplitude above 0.01 count. The phase is the angle whose sine and cosine
+    are in the proportion of the fitted sine and cosine.
+    """
+    own = series.filter("ts is not null and value is not null").withColumn("t", F.unix_micros("ts") / 1e6).withColumn("period", F.explode(F.array(*map(F.lit, periods))))
+    angle = 2 * F.pi() * F.col("t") / (F.col("period") * 3600)
+    own = own.withColumns({"s": F.sin(angle), "c": F.cos(angle), "y": F.col("value").cast("double")})
+    a = own.groupBy(*keys, "period").agg(F.covar_pop("s", "y").alias("sy"), F.covar_pop("c", "y").alias("cy"), F.covar_pop("s", "c").alias("sc"), F.var_pop("s").alias("ss"), F.var_pop("c").alias("cc"), F.var_pop("y").alias("yy"), F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    a = a.filter((F.col("n") >= least) & (F.col("span") >= 2 * 3600 * F.col("period")))
+    det = F.col("ss") * F.col("cc") - F.col("sc") * F.col("sc")
+    sine = ratio(F.col("sy") * F.col("cc") - F.col("cy") * F.col("sc"), det)
+    cosine = ratio(F.col("cy") * F.col("ss") - F.col("sy") * F.col("sc"), det)
+    a = a.withColumn("b", sine).withColumn("d", cosine)
+    waves = a.select(*keys, "period", F.sqrt(F.col("b") * F.col("b") + F.col("d") * F.col("d")).alias("amplitude"), F.atan2("b", "d").alias("phase"), ratio(F.col("b") * F.col("sy") + F.col("d") * F.col("cy"), F.col("yy"), 0.0).alias("r2"))
+    return waves.filter((F.col("r2") > 0.1) & (F.col("amplitude") > 0.01))
+
+
+def seasonal_forecast(series: DataFrame, keys: list[str], as_of: Column, *, horizon: int = 7, least: int = 10) -> DataFrame:
+    """keys, step (hours after the last row), ts, value, band of (keys, ts, value): the trend's forecast, or the last value where there is no trend, plus each wave times its r2.
+
+    The band is 1.96 deviations of the last 20 values, of 0.1 for a single
+    one. Series with fewer than `least` rows are left out.
+    """
+    own = series.filter("ts is not null and value is not null").select(*keys, "ts", F.col("value").cast("double").alias("value"))
+    own = kept(own.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter(F.col("_n") >= least).drop("_n"), "series")
+    last = top(own, keys, [F.desc("ts"), F.desc("value")], 20).groupBy(*keys).agg(F.max("ts").alias("_last"), F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("_value"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop("value")).otherwise(0.1).alias("_s"))
+    trends = robust_trend(own, keys, as_of, least=least, horizon=horizon).select(*keys, "forecast")
+    steps = last.join(trends.hint("merge"), keys, "left").select(*keys, "_last", "_value", "_s", "forecast", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    steps = kept(steps.withColumn("ts", F.timestamp_micros(F.unix_micros("_last") + F.col("step") * 3_600_000_000)), "steps")
+    waves = seasonal_waves(own, keys)
+    # four waves a series at most
+    wave = F.col("amplitude") * F.sin(2 * F.pi() * (F.unix_micros("ts") / 1e6) / (F.col("period") * 3600) + F.col("phase")) * F.col("r2")
+    added = steps.join(waves.hint("merge"), keys).groupBy(*keys, "step").agg(F.sum(wave).alias("_wave"))
+    out = steps.join(added.hint("merge"), [*keys, "step"], "left")
+    base = F.coalesce(F.element_at("forecast", F.col("step")), F.col("_value"))
+    return out.select(*keys, "step", "ts", (base + F.coalesce("_wave", F.lit(0.0))).alias("value"), (1.96 * F.col("_s")).alias("band"))

@@ -82,6 +82,14 @@ def robust_trend(spark, sf_dir):
     return out.select("user_id", "feature", "n", *[F.round(c, 9).alias(c) for c in ("slope", "intercept", "r2", "p")], "trend", F.round("strength", 9).alias("strength"), F.round("confidence", 9).alias("confidence"), "forecast")
 
 
+@query()
+def seasonal_forecast(spark, sf_dir):
+    """Seven hours ahead for each type of event, by the hourly means of the whole table."""
+    own = interactions(spark, sf_dir)
+    hourly = own.groupBy(F.col("interaction_type").alias("feature"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("rating") / 5).alias("value"))
+    return M.seasonal_forecast(hourly, ["feature"], F.lit("2024-01-31").cast("timestamp"))
+
+
 FEATURES = ["hour", "weekday", "value", "item_events", "user_events"]
 
 
