@@ -110,12 +110,17 @@ def cluster_profiles(clusters: DataFrame, states: DataFrame, group: list[str]) -
     return out.filter("size >= 2").select(*group, "cluster", "size", "centroid", hours("last", "start").alias("span_hours"), hours("as_of", "last").alias("recency_hours"), "stability")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once and not for each element that uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def unit(vector: Column) -> Column:
     """A vector divided by its length, its largest part first, so that no square leaves the range of doubles; null for zero vectors and those with parts that are no finite numbers."""
     v = vector.cast("array<double>")
-    big = F.array_max(F.transform(v, F.abs))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad & (big > 0), F.transform(F.transform(v, lambda x: x / big), lambda x: x / F.sqrt(F.aggregate(F.transform(v, lambda y: (y / big) * (y / big)), F.lit(0.0), lambda s, y: s + y))))
+    length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+    return _let(F.array_max(F.transform(v, F.abs)), lambda big: F.when(~bad & (big > 0), _let(F.transform(v, lambda x: x / big), lambda w: _let(length(w), lambda n: F.transform(w, lambda x: x / n)))))
 
 
 def similar_edges(vectors: DataFrame, key: str, value: str, least: float = 0.6, *, bits: int = 10, found: float = 0.95, seed: int = 42) -> DataFrame:
