@@ -211,3 +211,28 @@ def explanation_components(adaptations: DataFrame, least: float = 0.1, n: int =
     parts = [F.when(test, F.struct(F.lit(k).alias("place"), F.lit(name).alias("type"), importance.cast("double").alias("importance"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"))) for k, (name, importance, confidence, evidence, test) in enumerate(rules)]
     each = adaptations.select("user_id", F.inline(F.array_compact(F.array(*parts)))).filter(F.col("importance") >= least)
     return top(each, ["user_id"], [F.desc("importance"), F.col("place")], n).drop("place")
+
+
+def behavior_compare(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, engagement_similarity, consistency_similarity, pattern_overlap, activity_similarity, overall_similarity, shared, only_a, only_b for pairs (a, b) of users with profiles (user_id, engagement, consistency, level, patterns).
+
+    Scores are compared by 1 less their difference, patterns by their Jaccard
+    similarity (0 without any), levels by 1 if equal, else 0.5; null scores and
+    patterns count as 0 and none. Lists of patterns are sorted and comma-joined.
+    """
+    def side(x: str) -> DataFrame:
+        patterns = F.array_distinct(F.coalesce("patterns", F.array().cast("array<string>")))
+        return profiles.select(F.col("user_id").alias(x), F.coalesce("engagement", F.lit(0.0)).alias(f"e{x}"), F.coalesce("consistency", F.lit(0.0)).alias(f"c{x}"), F.col("level").alias(f"l{x}"), patterns.alias(f"p{x}"))
+
+    own = pairs.select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    names = lambda c: F.array_join(F.array_sort(c), ",")
+    out = own.select(
+        "a", "b",
+        (1 - F.abs(F.col("ea") - F.col("eb"))).alias("engagement_similarity"),
+        (1 - F.abs(F.col("ca") - F.col("cb"))).alias("consistency_similarity"),
+        ratio(F.size(F.array_intersect("pa", "pb")), F.size(F.array_union("pa", "pb")), 0.0).alias("pattern_overlap"),
+        F.when(F.col("la").eqNullSafe(F.col("lb")), 1.0).otherwise(0.5).alias("activity_similarity"),
+        names(F.array_intersect("pa", "pb")).alias("shared"), names(F.array_except("pa", "pb")).alias("only_a"), names(F.array_except("pb", "pa")).alias("only_b"),
+    )
+    parts = [F.col(c) for c in ("engagement_similarity", "consistency_similarity", "pattern_overlap", "activity_similarity")]
+    return out.withColumn("overall_similarity", sum(parts[1:], parts[0]) / 4)

@@ -9,7 +9,7 @@ from ..operators import evolution as V
 from ..operators import users as U
 from ..sources.views import CONTENT, INTERACTIONS, PURCHASES, content, interactions, purchases
 from .q_users import METRICS, rounded, sessions
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 DAY = 86_400_000_000
 
@@ -191,3 +191,15 @@ def explanation_components(spark, sf_dir):
     maps = s.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "share"))).alias("importance"), F.map_from_entries(F.collect_list(F.struct("k", "change"))).alias("changes"), (F.max(F.abs("change")) > 0.25).alias("drift"))
     i = own.groupBy("user_id").agg(F.when(F.avg((F.weekday("ts") >= 5).cast("int")) > 0.3, "weekend").alias("temporal"), (F.countDistinct("item_id") / F.count(F.lit(1))).alias("exploration"), (F.count(F.lit(1)) >= 60).alias("collaborative"))
     return rounded(V.explanation_components(maps.join(i.hint("merge"), "user_id")))
+
+
+@query(f"""WITH e AS ({SQL["engagement_score"]}), c AS ({SQL["consistency_score"]}), l AS ({SQL["session_frequency"]}), p AS (SELECT user_id, list(pattern) AS ps FROM ({SQL["behavior_patterns"]}) GROUP BY 1),
+f AS (SELECT l.user_id, level, coalesce(engagement, 0) AS e, coalesce(c.consistency, 0) AS c, coalesce(ps, []) AS ps FROM l LEFT JOIN e USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN p USING (user_id)),
+s AS (SELECT a.user_id AS a, b.user_id AS b, 1 - abs(a.e - b.e) AS es, 1 - abs(a.c - b.c) AS cs, coalesce(len(list_intersect(a.ps, b.ps)) / nullif(len(list_distinct(list_concat(a.ps, b.ps))), 0), 0) AS o, CASE WHEN a.level = b.level THEN 1.0 ELSE 0.5 END AS v, a.ps AS pa, b.ps AS pb FROM f a JOIN f b ON b.user_id = a.user_id + 1)
+SELECT a, b, round(es, 6) AS engagement_similarity, round(cs, 6) AS consistency_similarity, round(o, 6) AS pattern_overlap, v::DOUBLE AS activity_similarity, round((es + cs + o + v) / 4, 6) AS overall_similarity, array_to_string(list_sort(list_intersect(pa, pb)), ',') AS shared, array_to_string(list_sort(list_filter(pa, lambda x: NOT list_contains(pb, x))), ',') AS only_a, array_to_string(list_sort(list_filter(pb, lambda x: NOT list_contains(pa, x))), ',') AS only_b FROM s""")
+def behavior_summary_compare(spark, sf_dir):
+    """Each user and the one with the next id."""
+    engagement, consistency, activity, patterns = (QUERIES[k](spark, sf_dir) for k in ("engagement_score", "consistency_score", "session_frequency", "behavior_patterns"))
+    own = activity.select("user_id", "level").join(engagement.hint("merge"), "user_id", "left").join(consistency.select("user_id", "consistency").hint("merge"), "user_id", "left")
+    own = own.join(patterns.groupBy("user_id").agg(F.collect_set("pattern").alias("patterns")).hint("merge"), "user_id", "left")
+    return rounded(V.behavior_compare(own, own.select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b"))))
