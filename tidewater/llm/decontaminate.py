@@ -9,7 +9,7 @@ built in tasks, a block of chunks each; benchmarks larger than one block are
 handled block by block over all documents.
 
 Nulls and empty texts have no words and no hits; an item without words has no
-window; repeated items count once; repeated documents are rows of their own
+window; repeated items count once, items that share a window each; repeated documents are rows of their own
 with equal results, whatever the number of blocks; very long texts are streamed
 word by word; an empty table of documents gives an empty result, and one of
 items no hits. Columns besides those named are not touched.

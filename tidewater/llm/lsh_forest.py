@@ -24,7 +24,8 @@ pair of blocks of rows a task.
 Texts with fewer words than a shingle have one shingle, the whole sequence;
 null texts and texts without words have the empty set and are linked with
 nothing. Rows with a null id are kept apart: no component, kept. Repeated rows
-give one row an id. An empty table gives an empty result. Other columns are not
+give one row an id. A component is named by its smallest id, so ties of similarity
+do not matter. An empty table gives an empty result. Other columns are not
 touched.
 """
 

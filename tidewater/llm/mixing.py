@@ -18,7 +18,8 @@ orders all of them either.
 
 Null texts have size 0, are ranked as others and take 0 words; a null source
 is a source of its own, the last; repeated rows are ranked side by side and
-counted one by one; very long texts are only counted; an empty table gives an
+counted one by one; ties of rank go by id (null first), hash of the text and row
+number, ties for the last gap by rank and then the same; very long texts are only counted; an empty table gives an
 empty result. Columns that are carried along under the name of a result column
 give way to it.
 """

@@ -11,7 +11,8 @@ another, with the share 95 % or more. Chunks are short, so that the dictionary
 decides and not what the chunk has said before.
 
 Null and empty texts have difference 0 and get the curve's value there; very
-long texts are compressed whole, chunk by chunk; repeated rows score alike;
+long texts are compressed whole, chunk by chunk; repeated rows, and texts
+with equal measures, score alike;
 without labels of both kinds every score is 0.5; an empty table gives an empty
 result; other columns are not touched.
 """

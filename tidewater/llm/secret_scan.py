@@ -9,7 +9,8 @@ word, and must be denser in tokens; runs of letters of one case are not, as
 rare words look the same.
 
 Null and empty texts have no spans; positions are code points; the time grows
-with a text's length; repeated rows get equal results; an empty table gives an
+with a text's length; spans that start at one place stand in the order of KINDS;
+repeated rows get equal results; an empty table gives an
 empty result; other columns are not touched.
 """
 
