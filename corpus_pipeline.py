@@ -6,8 +6,10 @@ further columns that come with documents; the last adds copies, size, taken and
 target, which replace columns of those names.
 
 Documents with a null or empty text pass all stages; the mix draws them like
-others, though they add no words. Of rows that repeat a doc_id one stays. An empty
-table gives an empty result; very long texts are processed whole.
+others, though they add no words. Of rows that repeat a doc_id one stays; of
+near-duplicates the smallest doc_id stays, and the mix breaks ties of rank by
+doc_id. An empty table gives an empty result; very long texts are processed
+whole.
 """
 
 from __future__ import annotations
