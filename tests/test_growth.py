@@ -2,8 +2,11 @@
 
 import datetime
 import itertools
+import random
 
-from tidewater.operators import preferences
+from pyspark.sql import functions as F
+
+from tidewater.operators import models, preferences
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -17,3 +20,17 @@ def test_halves_do_not_depend_on_the_order_of_equal_lines(spark):
         assert abs(preferences.genre_drift(df, items).first().js - 0.6931471805599453) < 1e-12
         order = ["ts", "l_orderkey", "l_linenumber", "item_id", "rating"]
         assert preferences.rating_drift(df, order).first().ks == 1.0
+
+
+def test_short_and_long_series_have_the_same_lines(spark):
+    """Fitted whole in a task or pass by pass; no stage holds the joins of several passes."""
+    draw = random.Random(5)
+    rows = [(k, DAY + datetime.timedelta(hours=t), draw.gauss(0, 1) + k * t / 50 + 20 * (t % 9 == 0)) for k in range(40) for t in range(10 + k)] + [(99, DAY, 1.0)] * 12
+    df = spark.createDataFrame(rows, "key long, ts timestamp, value double")
+    until = F.lit("2024-01-20").cast("timestamp")
+    whole, passes = ({r.key: r for r in models.robust_trend(df, ["key"], until, passes=5, longest=n).collect()} for n in (100, 5))
+    assert len(whole) == 41 and whole.keys() == passes.keys()
+    for k, r in whole.items():
+        assert r.n == passes[k].n and abs(r.slope - passes[k].slope) < 1e-9 and abs(r.intercept - passes[k].intercept) < 1e-8
+    plan = models.robust_trend(df, ["key"], until)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 0 and plan.count("SortMergeJoin") <= 2

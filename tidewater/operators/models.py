@@ -13,40 +13,94 @@ from ..functions.tables import kept
 EPSILON, ALPHA = 1.35, 0.0001
 
 
-def robust_trend(series: DataFrame, keys: list[str], as_of: Column, *, days: int = 30, least: int = 10, passes: int = 30, horizon: int = 7, level: float = 0.05) -> DataFrame:
+def _fitter(passes: int, piece: int = 1 << 18):
+    """Fits lines in a task to rows (_g, t, y) in the order of _g, some `piece` rows at a time, whole series only."""
+    import numpy as np
+    import pyarrow as pa
+
+    def fit(g: np.ndarray, t: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        m = np.diff(np.r_[starts, len(g)]).astype(float)
+        total = lambda x: np.add.reduceat(x, starts)
+        each = lambda x: np.repeat(x, m.astype(int))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mt, my = total(t) / m, total(y) / m
+            dt, dy = t - each(mt), y - each(my)
+            vt = total(dt * dt)
+            b = np.where(vt > 0, total(dt * dy) / vt, 0.0)
+            a, s = my - b * mt, np.sqrt(total(dy * dy) / m)
+            for _ in range(passes):
+                r, limit = y - each(a) - each(b) * t, EPSILON * each(s)
+                inside = np.abs(r) <= limit
+                w = np.where(inside, 1.0, limit / np.abs(r))
+                sw, wt, wy = total(w), total(w * t), total(w * y)
+                under = total(w * t * t) - wt * wt / sw + ALPHA * s
+                b = np.where(under != 0, (total(w * t * y) - wt * wy / sw) / under, 0.0)
+                a = (wy - b * wt) / sw
+                left = m - total(~inside * 1.0) * EPSILON * EPSILON
+                s = np.where(left > 0, np.sqrt(total(np.where(inside, r * r, 0.0)) / left), s)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[starts], b, a, s)], ["_g", "b", "a", "s"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([np.asarray(batch.column(i)) for i in range(3)])
+            n += batch.num_rows
+            if n >= piece:
+                g, t, y = (np.concatenate(c) for c in zip(*held, strict=True))
+                cut = int(np.searchsorted(g, g[-1]))  # the last series may go on
+                if cut:
+                    yield fit(g[:cut], t[:cut], y[:cut])
+                held, n = [[g[cut:], t[cut:], y[cut:]]], len(g) - cut
+        if n:
+            yield fit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _fit_long(rows: DataFrame, passes: int) -> DataFrame:
+    """The same lines for few long series: each pass is one sum over the rows, added up before the shuffle, and its result is written."""
+    start = rows.groupBy("_g").agg(F.coalesce(F.regr_slope("y", "t"), F.lit(0.0)).alias("b"), F.coalesce(F.regr_intercept("y", "t"), F.avg("y")).alias("a"), F.stddev_pop("y").alias("s"))
+    fit = kept(start, "fit")
+    for _ in range(passes):
+        r = F.col("y") - F.col("a") - F.col("b") * F.col("t")
+        inside = F.abs(r) <= EPSILON * F.col("s")
+        # a row for every series of so many rows: fewer than rows / longest
+        each = rows.join(F.broadcast(fit), "_g").withColumn("r", r).withColumn("i", inside).withColumn("w", F.when(inside, 1.0).otherwise(EPSILON * F.col("s") / F.abs(r)))
+        w, t, y = F.col("w"), F.col("t"), F.col("y")
+        sums = each.groupBy("_g").agg(F.sum(w).alias("w"), F.sum(w * t).alias("wt"), F.sum(w * y).alias("wy"), F.sum(w * t * t).alias("wtt"), F.sum(w * t * y).alias("wty"), F.count(F.lit(1)).alias("m"), F.count_if(~F.col("i")).alias("out"), F.sum(F.when(F.col("i"), F.col("r") * F.col("r")).otherwise(0.0)).alias("rr"), F.first("s").alias("s"))
+        slope = ratio(F.col("wty") - F.col("wt") * F.col("wy") / F.col("w"), F.col("wtt") - F.col("wt") * F.col("wt") / F.col("w") + ALPHA * F.col("s"), 0.0)
+        left = F.col("m") - F.col("out") * EPSILON * EPSILON
+        scale = F.when(left > 0, F.sqrt(F.col("rr") / left)).otherwise(F.col("s"))
+        fit = kept(sums.withColumn("b", slope).withColumn("a", (F.col("wy") - F.col("b") * F.col("wt")) / F.col("w")).select("_g", "b", "a", scale.alias("s")), "fit")
+    return fit
+
+
+def robust_trend(series: DataFrame, keys: list[str], as_of: Column, *, days: int = 30, least: int = 10, passes: int = 30, horizon: int = 7, level: float = 0.05, longest: int = 100_000) -> DataFrame:
     """keys, n, slope (by the hour), intercept, r2, p, trend (increasing, decreasing, volatile, stable), strength, confidence, forecast (the next `horizon` hours) of (keys, ts, value).
 
     A line is fitted to the rows of the last days, in hours from the series'
     first of them, by a fixed number of re-weighted least-squares passes. Rows
     whose residual is beyond 1.35 scales weigh the less the farther they are;
-    the scale follows from the others. All series take a pass together: sums
-    for each key, joined back to its rows, which are shuffled once for ten
-    passes. Series with fewer than `least` rows are left out, null times and
+    the scale follows from the others. Series of at most `longest` rows are
+    dealt to tasks whole and fitted there, many at a time; longer ones take a
+    pass together, as sums that are written. Series with fewer than `least` rows are left out, null times and
     values do not count; a constant series has an r2 of 0 and is stable.
     """
     hours = F.unix_micros("ts") / 3.6e9
     own = series.filter(F.col("ts") > as_of - F.expr(f"interval {days} days")).filter("value is not null").select(*keys, hours.alias("_h"), F.col("value").cast("double").alias("y"))
-    about = own.groupBy(*keys).agg(F.min("_h").alias("_first"), F.max("_h").alias("_last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    rows = kept(own.join(about.select(*keys, "_first").hint("merge"), keys).select(*keys, (F.col("_h") - F.col("_first")).alias("t"), "y"), "series")
-    rows = rows.repartition(*keys)
+    about = own.groupBy(*keys).agg(F.min("_h").alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    about = kept(about.withColumn("_g", F.monotonically_increasing_id()), "about")
+    rows = kept(own.join(about.hint("merge"), keys).select("_g", "_n", (F.col("_h") - F.col("_first")).alias("t"), "y"), "series")
 
-    start = rows.groupBy(*keys).agg(F.coalesce(F.regr_slope("y", "t"), F.lit(0.0)).alias("b"), F.coalesce(F.regr_intercept("y", "t"), F.avg("y")).alias("a"), F.stddev_pop("y").alias("s"))
-    fit = kept(start, "fit")
-    for done in range(passes):
-        r = F.col("y") - F.col("a") - F.col("b") * F.col("t")
-        inside = F.abs(r) <= EPSILON * F.col("s")
-        each = rows.join(fit.hint("shuffle_hash"), keys).withColumn("r", r).withColumn("i", inside).withColumn("w", F.when(inside, 1.0).otherwise(EPSILON * F.col("s") / F.abs(r)))
-        w, t, y = F.col("w"), F.col("t"), F.col("y")
-        sums = each.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * t).alias("wt"), F.sum(w * y).alias("wy"), F.sum(w * t * t).alias("wtt"), F.sum(w * t * y).alias("wty"), F.count(F.lit(1)).alias("m"), F.count_if(~F.col("i")).alias("out"), F.sum(F.when(F.col("i"), F.col("r") * F.col("r")).otherwise(0.0)).alias("rr"), F.first("s").alias("s"), F.first("a").alias("a"), F.first("b").alias("b"))
-        slope = ratio(F.col("wty") - F.col("wt") * F.col("wy") / F.col("w"), F.col("wtt") - F.col("wt") * F.col("wt") / F.col("w") + ALPHA * F.col("s"), 0.0)
-        left = F.col("m") - F.col("out") * EPSILON * EPSILON
-        scale = F.when(left > 0, F.sqrt(F.col("rr") / left)).otherwise(F.col("s"))
-        fit = sums.withColumn("b", slope).withColumn("a", (F.col("wy") - F.col("b") * F.col("wt")) / F.col("w")).select(*keys, "b", "a", scale.alias("s"))
-        if done % 10 == 9 or done == passes - 1:
-            fit = kept(fit, "fit")
+    short = rows.filter(F.col("_n") <= longest).repartition("_g").sortWithinPartitions("_g").select("_g", "t", "y")
+    fit = kept(short.mapInArrow(_fitter(passes), "_g long, b double, a double, s double"), "fit")
+    if not about.filter(F.col("_n") > longest).isEmpty():
+        fit = fit.unionByName(_fit_long(rows.filter(F.col("_n") > longest), passes))
 
     e = F.col("y") - F.col("a") - F.col("b") * F.col("t")
-    out = rows.join(fit.hint("shuffle_hash"), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("intercept"), F.first("b").alias("slope"), F.sum(e * e).alias("sse"), F.var_pop("y").alias("vy"), F.var_pop("t").alias("vt"), F.max("t").alias("end"))
+    out = rows.join(fit.hint("merge"), "_g").groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("intercept"), F.first("b").alias("slope"), F.sum(e * e).alias("sse"), F.var_pop("y").alias("vy"), F.var_pop("t").alias("vt"), F.max("t").alias("end"))
+    out = out.join(about.select(*keys, "_g").hint("merge"), "_g")
     error = F.sqrt(ratio(F.col("sse") / (F.col("n") - 2), F.col("n") * F.col("vt")))
     stat = F.coalesce(ratio(F.col("slope"), error), F.lit(0.0))
     out = out.withColumn("r2", F.when(F.col("vy") > 0, 1 - F.col("sse") / (F.col("n") * F.col("vy"))).otherwise(0.0)).withColumn("p", F.when(F.col("n") > 2, normal_two_sided(student_as_normal(stat, F.col("n") - 2.0))).otherwise(1.0))
