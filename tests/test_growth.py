@@ -4,9 +4,14 @@ import datetime
 import itertools
 import random
 
+import compare
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
 from tidewater.operators import models, preferences
+from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -34,3 +39,12 @@ def test_short_and_long_series_have_the_same_lines(spark):
         assert r.n == passes[k].n and abs(r.slope - passes[k].slope) < 1e-9 and abs(r.intercept - passes[k].intercept) < 1e-8
     plan = models.robust_trend(df, ["key"], until)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 0 and plan.count("SortMergeJoin") <= 2
+
+
+def test_constant_values_have_no_trend_in_either_engine(spark, tmp_path):
+    """Sums of many equal fractions leave last bits, whose sign is no direction."""
+    draw = random.Random(3)
+    n, users = 300_000, 20_000  # enough rows for several threads
+    order = draw.sample(range(n), n)
+    pq.write_table(pa.table({"event_id": range(n), "ts": [DAY + datetime.timedelta(seconds=draw.randrange(2_500_000)) for _ in order], "user_id": [i % users for i in order], "event_type": ["view"] * n, "value": [25.0 * (i % users % 4) for i in order], "props": ['{"k": 1}'] * n}), f"{tmp_path}/events.parquet", row_group_size=20_000)
+    assert compare.difference(QUERIES["evolution_state"](spark, str(tmp_path)), compare.views(str(tmp_path)), SQL["evolution_state"]) is None
