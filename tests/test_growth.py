@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import models, preferences
+from tidewater.operators import models, preferences, recommend, strips, users
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -48,3 +48,24 @@ def test_constant_values_have_no_trend_in_either_engine(spark, tmp_path):
     order = draw.sample(range(n), n)
     pq.write_table(pa.table({"event_id": range(n), "ts": [DAY + datetime.timedelta(seconds=draw.randrange(2_500_000)) for _ in order], "user_id": [i % users for i in order], "event_type": ["view"] * n, "value": [25.0 * (i % users % 4) for i in order], "props": ['{"k": 1}'] * n}), f"{tmp_path}/events.parquet", row_group_size=20_000)
     assert compare.difference(QUERIES["evolution_state"](spark, str(tmp_path)), compare.views(str(tmp_path)), SQL["evolution_state"]) is None
+
+
+def test_blocks_give_what_joins_give(spark):
+    """Strips of a few entities; ties, users without a shared item and one rating of everything."""
+    draw = random.Random(9)
+    rows = [(u, i, float(draw.randrange(1, 6))) for u in range(60) for i in range(12) if draw.random() < 0.4 or u == 3] + [(100, 50, 2.0)]
+    matrix = spark.createDataFrame(rows + [(u + 200, i, r) for u, i, r in rows if u < 9], "user_id long, item_id long, rating double")
+    for common in (True, False):
+        joined = users.pairwise_similarity(matrix, common=common)
+        want = {(r.a, r.b): (r.shared, round(r.similarity, 9)) for r in joined.collect()}
+        got = strips.pairs(matrix, common=common, rows=25)
+        assert {(r.a, r.b): (r.shared, round(r.similarity, 9)) for r in got.collect()} == want and got.count() == len(want)
+        near = {}
+        for (a, b), (_, s) in want.items():
+            near.setdefault(a, []).append((-s, b))
+            near.setdefault(b, []).append((-s, a))
+        first = strips.nearest(matrix, 4, common=common, digits=9, rows=25).collect()
+        assert {(r.id, r["rank"]): (r.other, round(r.similarity, 9)) for r in first} == {(u, k + 1): (o, -s) for u, x in near.items() for k, (s, o) in enumerate(sorted(x)[:4])}
+    scores = {(r.user_id, r.item_id): r.score for r in recommend.user_based_scores(matrix, users.pairwise_similarity(matrix, common=False)).collect()}
+    direct = {(r.user_id, r.item_id): r.score for r in strips.unseen_scores(matrix, entries=40).collect()}
+    assert scores.keys() == direct.keys() and all(abs(direct[k] - s) < 1e-9 for k, s in scores.items())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import kept
 from ..operators import recommend as R
+from ..operators import strips as S
 from ..operators import users as U
 from ..sources.views import CONTENT, INTERACTIONS, content, interactions, table
 from .q_users import PAIRS, SESSIONS, rounded, sessions
@@ -39,18 +41,18 @@ def acclaimed_items(spark, sf_dir):
     return rounded(R.acclaimed_items(interactions(spark, sf_dir), 2.4))
 
 
-def user_pairs(spark, sf_dir):
-    matrix = U.user_item_matrix(interactions(spark, sf_dir))
-    return matrix, U.pairwise_similarity(matrix, common=False)
-
-
 COSINE = f"{PAIRS}, q AS (SELECT user_id, sum(r * r) AS q FROM m GROUP BY 1), s AS (SELECT a, b, dot / sqrt(x.q * y.q) AS sim FROM p JOIN q x ON a = x.user_id JOIN q y ON b = y.user_id), e AS (SELECT a AS user_id, b AS other, sim FROM s UNION ALL SELECT b, a, sim FROM s)"
 
 
 @query(f"""{COSINE}, t AS (SELECT e.user_id, m.item_id, sum(sim * r) AS s, sum(abs(sim)) AS w FROM e JOIN m ON e.other = m.user_id GROUP BY ALL)
 SELECT user_id, item_id, round(s / w, 6) AS score FROM t ANTI JOIN m USING (user_id, item_id)""")
 def user_based_predict(spark, sf_dir):
-    return rounded(R.user_based_scores(*user_pairs(spark, sf_dir)))
+    matrix = kept(U.user_item_matrix(interactions(spark, sf_dir)), "matrix")
+    least = matrix.agg(F.min("rating")).first()[0]
+    if least is None or least > 0:
+        return rounded(S.unseen_scores(matrix))
+    # similarities of both signs: pair by pair
+    return rounded(R.user_based_scores(matrix, S.pairs(matrix)))
 
 
 @query(f"""WITH {INTERACTIONS}, m AS (SELECT user_id, item_id, sum(rating) AS r FROM interactions GROUP BY ALL), p AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.r * y.r) AS dot FROM m x JOIN m y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY ALL),
