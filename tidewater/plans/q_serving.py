@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import serving as S
+from ..operators import strips
 from ..operators import users as U
 from ..sources.views import CONTENT, INTERACTIONS, content, interactions, table
 from .q_recommend import GENRE_TOP, GROUPS, STATS, genre_lists, members
@@ -76,7 +77,9 @@ SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id, item_id O
 def neighbour_explanation(spark, sf_dir):
     matrix = U.user_item_matrix(interactions(spark, sf_dir))
     lists = matrix.groupBy("user_id").agg(F.max("item_id").alias("item_id"))
-    return rounded(S.neighbour_explanation(lists, matrix, U.pairwise_similarity(matrix)))
+    near = strips.nearest_raters(lists, matrix)
+    ratings = matrix.select(F.col("user_id").alias("neighbour"), "item_id", "rating")
+    return rounded(near.join(ratings.hint("merge"), ["neighbour", "item_id"]).select("user_id", "item_id", "rank", "neighbour", "similarity", "rating"))
 
 
 @query(f"""{GENRE_TOP}, o AS (SELECT user_id, rank, score, genres FROM g JOIN content ON item_id = content_id), p AS (SELECT x.user_id, avg(1 - {JACCARD.format(a="x.genres", b="y.genres")}) AS diversity FROM o x JOIN o y ON x.user_id = y.user_id AND x.rank < y.rank GROUP BY 1), a AS (SELECT user_id, avg(score) AS accuracy FROM o GROUP BY 1)
