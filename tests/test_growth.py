@@ -69,3 +69,15 @@ def test_blocks_give_what_joins_give(spark):
     scores = {(r.user_id, r.item_id): r.score for r in recommend.user_based_scores(matrix, users.pairwise_similarity(matrix, common=False)).collect()}
     direct = {(r.user_id, r.item_id): r.score for r in strips.unseen_scores(matrix, entries=40).collect()}
     assert scores.keys() == direct.keys() and all(abs(direct[k] - s) < 1e-9 for k, s in scores.items())
+
+
+def test_overlap_of_lists(spark):
+    """Equal lists, a list of nulls, groups and several strips."""
+    draw = random.Random(2)
+    lists = {(u % 2, u): frozenset(draw.sample(range(12), 3)) for u in range(40)} | {(1, 50): frozenset([1, 2]), (1, 51): frozenset([1, 2]), (0, 60): frozenset()}
+    rows = [(g, u, i) for (g, u), x in lists.items() for i in (x or [None])]
+    got = {r.g: r for r in strips.overlap(spark.createDataFrame(rows, "g long, user_id long, item_id long"), "g", rows=7).collect()}
+    for g in (0, 1):
+        own = [x for (h, _), x in lists.items() if h == g]
+        want = sum(len(a & b) / max(1, len(a | b)) for a, b in itertools.combinations(own, 2))
+        assert got[g].users == len(own) and abs(got[g].alike - want) < 1e-9

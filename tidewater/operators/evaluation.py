@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_two_sided, places, ratio, student_as_normal, student_point
+from .strips import overlap
 
 
 def ndcg(lists: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
@@ -79,18 +80,10 @@ def serendipity(lists: DataFrame, interactions: DataFrame, content: DataFrame) -
 
 
 def personalization(lists: DataFrame) -> DataFrame:
-    """users, personalization: the mean of 1 less the Jaccard similarity over all pairs of users.
-
-    Only pairs that share an item meet in a join; all others add 1 each.
-    """
-    sizes = lists.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
-    items = lists.select("user_id", "item_id").distinct()
-    shared = items.select(F.col("user_id").alias("a"), "item_id").join(items.select(F.col("user_id").alias("b"), "item_id"), "item_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    both = shared.join(sizes.select(F.col("user_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("user_id").alias("b"), F.col("n").alias("nb")), "b")
-    alike = both.agg(F.coalesce(F.sum(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))), F.lit(0.0)).alias("alike"))
-    users = sizes.agg(F.count(F.lit(1)).alias("users"))
+    """users, personalization: the mean of 1 less the Jaccard similarity over all pairs of users; equal lists are compared once."""
+    all_ = overlap(lists.select("user_id", "item_id", F.lit(0).cast("long").alias("group")), "group").agg(F.coalesce(F.sum("users"), F.lit(0).cast("long")).alias("users"), F.coalesce(F.sum("alike"), F.lit(0.0)).alias("alike"))
     pairs = F.col("users") * (F.col("users") - 1) / 2
-    return users.crossJoin(F.broadcast(alike)).select("users", F.when(pairs > 0, 1 - F.col("alike") / pairs).otherwise(0.0).alias("personalization"))
+    return all_.select("users", F.when(pairs > 0, 1 - F.col("alike") / pairs).otherwise(0.0).alias("personalization"))
 
 
 def attribute_fairness(lists: DataFrame, attribute: str) -> DataFrame:
