@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import random
+import time
 
 import compare
 import pyarrow as pa
@@ -10,12 +11,47 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import models, preferences, recommend, strips, users
+from tidewater.operators import models, preferences, recommend, serving, strips, users
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
 
 
+def shuffled(spark, run):
+    """Bytes that a run writes to shuffles."""
+    def now():
+        time.sleep(1)  # the status store lags behind
+        of = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(of.apply(i).totalShuffleWrite() for i in range(of.size()))
+
+    before = now()
+    run()
+    return now() - before
+
+
+def test_content_recommend_meets_sets_of_genres(spark):
+    """Many items of few sets of genres: the same lists as by all items, and no row a user and item on the way."""
+    words = "abcdef"
+    draw = random.Random(4)
+    items = [(i, draw.sample(words, 1 + i % 2)) for i in range(4_000)]
+    seen = [(u, i) for u in range(60) for i in draw.sample(range(40 if u % 2 else 4_000), 20)] + [(99, i) for i in range(3_990)]
+    content = spark.createDataFrame(items, "content_id long, genres array<string>")
+    own = spark.createDataFrame(seen, "user_id long, item_id long")
+    got = {}
+
+    def run():
+        for r in serving.content_recommend(own, content, n=2, factor=0.0).collect():
+            got.setdefault(r.user_id, []).append((r["rank"], r.item_id))
+
+    assert shuffled(spark, run) < 1_500_000
+    for u in {u for u, _ in seen}:
+        mine = {i for v, i in seen if v == u}
+        w = {g: sum(g in items[i][1] for i in mine) for g in words}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        rest = sorted((-round(sum(w[g] for g in gs) / norm / len(gs) ** 0.5, 9), i) for i, gs in items if i not in mine and any(w[g] for g in gs))
+        assert sorted(got[u]) == [(k + 1, i) for k, (_, i) in enumerate(rest[:2])]
+
+
 def test_halves_do_not_depend_on_the_order_of_equal_lines(spark):
     """Two lines of one order, number and time lie on both sides of the middle."""
     lines = [(1, i, float(r), DAY, 7, 1) for i, r in ((1, 5), (2, 1))]

@@ -11,8 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import top
+from ..functions.tables import kept
 from .evaluation import jaccard
 
+#: Tasks that the users of one genre are dealt to.
+DEALT = 16
+
 
 def content_recommend(interactions: DataFrame, content: DataFrame, n: int = 10, factor: float = 0.1) -> DataFrame:
     """user_id, item_id, score, rank: unseen items by similarity to the user's genres, re-ranked for diversity.
@@ -21,47 +25,66 @@ def content_recommend(interactions: DataFrame, content: DataFrame, n: int = 10,
     the similarity the cosine with an item's genres. Of the 3n best, n are chosen
     one by one by similarity times 1 less the penalty, which is the mean genre
     overlap with those chosen before, times the factor.
+
+    Items with the same genres are equally similar to a user and go by their
+    id. So users meet sets of genres, and of the best sets each user gets the
+    first items that are not seen.
     """
-    genres = content.select(F.col("content_id").alias("item_id"), F.array_distinct("genres").alias("genres"))
-    seen = interactions.select("user_id", "item_id").distinct()
-    own = seen.join(genres, "item_id")
-    count = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("c"))
-    profile = own.select("user_id", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("w"))
+    most = 3 * n
+    items = content.select(F.col("content_id").alias("item_id"), F.array_sort(F.array_distinct("genres")).alias("genres")).filter(F.size("genres") > 0)
+    items = kept(items, "items")
+    own = kept(interactions.select("user_id", "item_id").distinct().join(items.hint("merge"), "item_id"), "seen")
+    profile = kept(own.select("user_id", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("w")), "profile")
     norm = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm"))
-    by_genre = genres.select("item_id", F.size("genres").alias("size"), F.explode("genres").alias("genre"))
-    # the profile side has a row a user and genre; item genres are dealt by genre
-    dots = profile.join(by_genre.hint("shuffle_hash"), "genre").groupBy("user_id", "item_id", "size").agg(F.sum("w").alias("dot"))
-    scored = dots.join(norm, "user_id").join(count.select("user_id"), "user_id", "left_semi").join(seen, ["user_id", "item_id"], "left_anti")
-    scored = scored.select("user_id", "item_id", F.round(F.col("dot") / F.col("norm") / F.sqrt(F.col("size").cast("double")), 9).alias("score"))
-    few = top(scored, ["user_id"], [F.desc("score"), F.col("item_id")], 3 * n).join(genres, "item_id")
-    return few.select("user_id", "item_id", "score", "genres").groupBy("user_id").applyInPandas(_chooser(lambda s, overlap, k: s * (1 - factor * overlap), n), "user_id bigint, item_id bigint, score double, rank int")
+    sets = kept(items.groupBy("genres").agg(F.count(F.lit(1)).alias("members")), "sets")
+    # a genre's users are dealt to several tasks
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+    by_genre = kept(sets.select("genres", "members", F.explode("genres").alias("genre")).withColumn("_d", dealt), "by_genre")
+    each = profile.withColumn("_d", F.pmod(F.xxhash64("user_id"), F.lit(DEALT)).cast("int"))
+    dots = each.join(by_genre.hint("merge"), ["genre", "_d"]).groupBy("user_id", "genres", "members").agg(F.sum("w").alias("dot"))
+    taken = kept(own.groupBy("user_id", "genres").agg(F.count(F.lit(1)).alias("taken")), "taken")
+    scored = dots.join(norm.hint("merge"), "user_id").join(taken.hint("merge"), ["user_id", "genres"], "left")
+    scored = scored.select("user_id", "genres", "members", F.coalesce("taken", F.lit(0)).alias("taken"), F.round(F.col("dot") / F.col("norm") / F.sqrt(F.size("genres").cast("double")), 9).alias("score"))
+    # sets in their order, until those before leave enough unseen items
+    free = F.col("members") - F.col("taken")
+    upto, equal = W.partitionBy("user_id").orderBy(F.desc("score")), W.partitionBy("user_id", "score")
+    chosen = scored.withColumn("_before", F.sum(free).over(upto) - F.sum(free).over(equal)).filter((F.col("_before") < most) & (free > 0))
+    slots = chosen.select("user_id", "genres", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("members", F.col("taken") + most))).alias("place"))
+    longest = taken.agg(F.max("taken")).first()[0] or 0
+    first = kept(top(items, ["genres"], [F.col("item_id")], most + longest, "place").withColumn("place", F.col("place").cast("long")), "first")
+    known = own.select("user_id", "item_id").join(first.select("item_id", "genres", "place").hint("merge"), "item_id").select("user_id", "genres", "place")
+    unseen = kept(slots.join(known.hint("merge"), ["user_id", "genres", "place"], "left_anti"), "unseen")
+    few = top(unseen.join(first.hint("merge"), ["genres", "place"]), ["user_id"], [F.desc("score"), F.col("item_id")], most)
+    return _chosen(few, lambda s, overlap: s * (1 - factor * overlap), n)
 
 
 def mmr_rerank(lists: DataFrame, content: DataFrame, factor: float = 0.3) -> DataFrame:
     """user_id, item_id, score, rank: the list in the order of relevance less factor times the mean genre overlap with the items before; score is that value, the first item's its relevance."""
     own = lists.select("user_id", "item_id", "score").join(content.select(F.col("content_id").alias("item_id"), F.array_distinct("genres").alias("genres")), "item_id")
-    return own.select("user_id", "item_id", "score", "genres").groupBy("user_id").applyInPandas(_chooser(lambda s, overlap, k: s - factor * overlap, None), "user_id bigint, item_id bigint, score double, rank int")
+    return _chosen(own, lambda s, overlap: s - factor * overlap, None)
 
 
-def _chooser(value, n: int | None):
-    """Greedy choice from one user's short list: the largest value of (score, mean overlap with the chosen, their number), ties to the larger score and the smaller item."""
+def _chosen(lists: DataFrame, value, n: int | None) -> DataFrame:
+    """Greedy choice from each user's short list: the largest value of (score, mean overlap with the chosen), ties to the larger score and the smaller item."""
     import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(((-s, i, set(g)) for s, i, g in zip(rows["score"], rows["item_id"], rows["genres"], strict=True)), key=lambda r: r[:2])
-        chosen, out = [], []
-        while left and (n is None or len(out) < n):
-            def worth(r, chosen=chosen):
-                overlap = sum(len(r[2] & g) / max(len(r[2] | g), 1) for g in chosen) / len(chosen) if chosen else 0.0
-                return value(-r[0], overlap, len(chosen))
-
-            best = max(left, key=lambda r: (round(worth(r), 9), r[0] * -1, -r[1]))
-            out.append((rows["user_id"].iloc[0], best[1], worth(best), len(out) + 1))
-            chosen.append(best[2])
-            left.remove(best)
-        return pd.DataFrame(out, columns=["user_id", "item_id", "score", "rank"])
-
-    return run
+    def choose(user, rows):
+        left = sorted(([r["score"], r["item_id"], set(r["genres"]), 0.0] for r in rows), key=lambda r: (-r[0], r[1]))
+        k = 0
+        while left and (n is None or k < n):
+            worth = [value(r[0], r[3] / k if k else 0.0) for r in left]
+            at = max(range(len(left)), key=lambda i: (round(worth[i], 9), left[i][0], -left[i][1]))
+            best, k = left.pop(at), k + 1
+            yield user, best[1], worth[at], k
+            for r in left:
+                r[3] += len(r[2] & best[2]) / max(len(r[2] | best[2]), 1)
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame([x for u, r in zip(part["user_id"], part["rows"], strict=True) for x in choose(u, r)], columns=["user_id", "item_id", "score", "rank"])
+
+    rows = lists.groupBy("user_id").agg(F.collect_list(F.struct("item_id", "score", "genres")).alias("rows"))
+    return rows.mapInPandas(run, "user_id bigint, item_id bigint, score double, rank int")
 
 
 #: Genres or types that suit a context, the score of those, and that of others.
