@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import models, preferences, recommend, serving, strips, users
+from tidewater.operators import catalogue, models, networks, preferences, recommend, serving, strips, users, vectors
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -117,3 +117,31 @@ def test_overlap_of_lists(spark):
         own = [x for (h, _), x in lists.items() if h == g]
         want = sum(len(a & b) / max(1, len(a | b)) for a, b in itertools.combinations(own, 2))
         assert got[g].users == len(own) and abs(got[g].alike - want) < 1e-9
+
+
+def test_neighbours_in_buckets_by_blocks(spark):
+    """The neighbours of the approximate join, with copies and strips of a few rows, and no row a pair on the way."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(1_500)]
+    rows += [(2_000 + i, rows[i % 3][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 10 = 0")
+    got = {}
+
+    def run():
+        for r in catalogue.approx_knn(df, queries, n=4, width=1.0).collect():
+            got[r.query_id, r["rank"]] = r.item_id, r.distance
+
+    assert shuffled(spark, run) < 2_000_000
+    own = lambda x: x.select("vec_id", array_to_vector("embedding").alias("f"))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=1.0, numHashTables=5, seed=42).fit(own(df))
+    met = {}
+    for q, i, d in model.approxSimilarityJoin(own(queries), own(df), float("inf"), "d").selectExpr("datasetA.vec_id", "datasetB.vec_id", "d").collect():
+        met.setdefault(q, []).append((d, i))
+    assert got == {(q, k + 1): (i, d) for q, x in met.items() for k, (d, i) in enumerate([y for y in sorted(x) if y[1] != q][:4])}
+    vectors_ = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.expr("array(floor(embedding[0]))").cast("array<double>").alias("h"))
+    small = {tuple(r) for r in vectors.nearest_in_buckets(vectors_, vectors_, 3, rows=97).collect()}
+    assert small == {tuple(r) for r in vectors.nearest_in_buckets(vectors_, vectors_, 3).collect()} and len(small) > 4_000
