@@ -145,3 +145,18 @@ def test_neighbours_in_buckets_by_blocks(spark):
     vectors_ = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.expr("array(floor(embedding[0]))").cast("array<double>").alias("h"))
     small = {tuple(r) for r in vectors.nearest_in_buckets(vectors_, vectors_, 3, rows=97).collect()}
     assert small == {tuple(r) for r in vectors.nearest_in_buckets(vectors_, vectors_, 3).collect()} and len(small) > 4_000
+
+
+def test_exact_neighbours_by_blocks(spark):
+    """Ties go to the smaller id over strips of a few rows; vectors without a direction take no part."""
+    draw = random.Random(8)
+    rows = [(i, [float(draw.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [(300, [0.0] * 4), (301, None), (302, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.item_id, round(r.similarity, 9)) for r in recommend.knn(df, df.filter("vec_id % 5 = 0"), n=6).collect()}
+    usable = {i: v for i, v in rows if v and any(v) and v[0] == v[0]}
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 9)
+    near = {q: sorted((-cosine(v, w), i) for i, w in usable.items() if i != q)[:6] for q, v in usable.items() if q % 5 == 0}
+    assert got == {(q, k + 1): (i, -s) for q, x in near.items() for k, (s, i) in enumerate(x)}
+    units = df.select(F.col("vec_id").alias("id"), networks.unit(F.col("embedding")).alias("v")).filter("v is not null")
+    small = {(r.id, r["rank"]): r.other for r in vectors.nearest(units.filter("id % 5 = 0"), units, 6, rows=17).collect()}
+    assert small == {k: i for k, (i, _) in got.items()}

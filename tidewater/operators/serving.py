@@ -69,15 +69,15 @@ def _chosen(lists: DataFrame, value, n: int | None) -> DataFrame:
     import pandas as pd
 
     def choose(user, rows):
-        left = sorted(([r["score"], r["item_id"], set(r["genres"]), 0.0] for r in rows), key=lambda r: (-r[0], r[1]))
+        left = sorted(([r["score"], r["item_id"], set(r["genres"]), []] for r in rows), key=lambda r: (-r[0], r[1]))
         k = 0
         while left and (n is None or k < n):
-            worth = [value(r[0], r[3] / k if k else 0.0) for r in left]
+            worth = [value(r[0], sum(r[3]) / k if k else 0.0) for r in left]
             at = max(range(len(left)), key=lambda i: (round(worth[i], 9), left[i][0], -left[i][1]))
             best, k = left.pop(at), k + 1
             yield user, best[1], worth[at], k
             for r in left:
-                r[3] += len(r[2] & best[2]) / max(len(r[2] | best[2]), 1)
+                r[3].append(len(r[2] & best[2]) / max(len(r[2] | best[2]), 1))
 
     def run(parts):
         for part in parts:
