@@ -160,3 +160,16 @@ def test_exact_neighbours_by_blocks(spark):
     units = df.select(F.col("vec_id").alias("id"), networks.unit(F.col("embedding")).alias("v")).filter("v is not null")
     small = {(r.id, r["rank"]): r.other for r in vectors.nearest(units.filter("id % 5 = 0"), units, 6, rows=17).collect()}
     assert small == {k: i for k, (i, _) in got.items()}
+
+
+def test_communities_of_copies(spark):
+    """Copies vote as often as they occur without a row a pair of them; the same as over all pairs."""
+    draw = random.Random(12)
+    base = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(30)]
+    base += [[x + draw.gauss(0, 0.4) for x in b] for b in base]
+    rows = [(7 * k % 641, base[k % 60]) for k in range(300)] + [(700 + k, base[0]) for k in range(500)] + [(2_000, None), (2_001, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    assert shuffled(spark, lambda: got.update({r.id: (r.community, r.degree) for r in networks.vector_communities(df, "id", "v", rounds=3).collect()})) < 1_000_000
+    want = networks.communities(df.select("id"), networks.similar_edges(df, "id", "v"), rounds=3)
+    assert got == {r.id: (r.community, r.degree) for r in want.collect()} and got[2_000] == (2_000, 0) and len({c for c, _ in got.values()}) > 5

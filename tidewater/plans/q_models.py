@@ -69,9 +69,7 @@ def preference_dbscan(spark, sf_dir):
 
 @query()
 def similarity_network(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    edges = kept(N.similar_edges(vectors, "vec_id", "embedding"), "edges")
-    return N.communities(vectors.select(F.col("vec_id").alias("id")), edges)
+    return N.vector_communities(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @query()
