@@ -173,3 +173,18 @@ def test_communities_of_copies(spark):
     assert shuffled(spark, lambda: got.update({r.id: (r.community, r.degree) for r in networks.vector_communities(df, "id", "v", rounds=3).collect()})) < 1_000_000
     want = networks.communities(df.select("id"), networks.similar_edges(df, "id", "v"), rounds=3)
     assert got == {r.id: (r.community, r.degree) for r in want.collect()} and got[2_000] == (2_000, 0) and len({c for c, _ in got.values()}) > 5
+
+
+def test_metadata_similarity_of_classes(spark):
+    """Members of the classes and their pairs give what all pairs of items give; copies add no pairs."""
+    draw = random.Random(1)
+    rows = [(i, draw.sample("abcd", 2), draw.choice("xy"), draw.choice("pq")) for i in range(200)] + [(900, ["z", "z"], "v", "w")]
+    content = spark.createDataFrame(rows, "content_id long, genres array<string>, content_type string, creator string")
+    out = catalogue.metadata_similarity(content, content.filter("content_id % 50 = 0").select("content_id")).collect()
+    of = {r.content_id: r.class_id for r in out if r.content_id is not None}
+    pairs = {(r.class_id, r.other): round(r.similarity, 9) for r in out if r.content_id is None}
+    keys = {i: {*g, "type:" + t, "by:" + c} for i, g, t, c in rows}
+    assert of.keys() == keys.keys() and all(of[i] == min(j for j in keys if keys[j] == k) for i, k in keys.items())
+    want = {(q, i): round(len(keys[q] & k) / (len(keys[q]) * len(k)) ** 0.5, 9) for q in keys if q % 50 == 0 for i, k in keys.items() if i != q and keys[q] & k}
+    assert {(q, i): pairs[of[q], of[i]] for q in keys if q % 50 == 0 for i in keys if i != q and (of[q], of[i]) in pairs} == want
+    assert len(out) < 201 + 5 * 26
