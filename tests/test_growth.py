@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import catalogue, models, networks, preferences, recommend, serving, strips, users, vectors
+from tidewater.operators import catalogue, donors, models, networks, preferences, recommend, serving, strips, users, vectors
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -188,3 +188,21 @@ def test_metadata_similarity_of_classes(spark):
     want = {(q, i): round(len(keys[q] & k) / (len(keys[q]) * len(k)) ** 0.5, 9) for q in keys if q % 50 == 0 for i, k in keys.items() if i != q and keys[q] & k}
     assert {(q, i): pairs[of[q], of[i]] for q in keys if q % 50 == 0 for i in keys if i != q and (of[q], of[i]) in pairs} == want
     assert len(out) < 201 + 5 * 26
+
+
+def test_gaps_ask_only_the_cells_that_a_bound_reaches(spark):
+    """Coordinates along a line with a few far off: as by all donors, and no row an empty cell or a pair."""
+    draw = random.Random(8)
+    data = [(i, None if i % 3 == 0 else draw.random(), *(t + draw.gauss(0, 1) for _ in range(3))) for i in range(4_000) for t in [draw.expovariate(0.05)]]
+    data = [(i, y, a, b, None if i % 4 == 1 else c) for i, y, a, b, c in data] + [(5_000 + i, None, -900.0, 900.0 + i, 0.0) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, y double, a double, b double, c double")
+    got = {}
+    assert shuffled(spark, lambda: got.update((r.id, r) for r in donors.impute_knn(df, "id", "y", ["a", "b", "c"], rows=2).collect())) < 8_500_000
+    known = [r for r in data if r[1] is not None]
+    for i, y, *x in data:
+        if y is None and i % 20 == 0:
+            near = []
+            for j, z, *w in known:
+                both = [(p - q) ** 2 for p, q in zip(x, w) if p is not None and q is not None]
+                near.append(((sum(both) * 3 / len(both)) ** 0.5, j, z))
+            assert abs(got[i].y - sum(z for _, _, z in sorted(near)[:5]) / 5) < 1e-9 and got[i].donors == 5
