@@ -206,3 +206,43 @@ def test_gaps_ask_only_the_cells_that_a_bound_reaches(spark):
                 both = [(p - q) ** 2 for p, q in zip(x, w) if p is not None and q is not None]
                 near.append(((sum(both) * 3 / len(both)) ** 0.5, j, z))
             assert abs(got[i].y - sum(z for _, _, z in sorted(near)[:5]) / 5) < 1e-9 and got[i].donors == 5
+
+
+def test_domain_similarity_of_kinds(spark):
+    """Many items of few names and years, some with vectors: the same lists as by all pairs, and no pair of items without a vector on the way."""
+    draw = random.Random(6)
+    words = ["red bolt", "hot ring", "red ring", "old plate", "the"]
+    items = [(i, w, w.split(), draw.choice([1970, 1990, 2001, 2031]), draw.choice([[1.0, 0.0], [0.6, 0.8], [1.0], [0.0, 0.0]]) if i % 10 == 3 else None) for i in range(600) for w in [draw.choice(words)]]
+    meta = {"warm": ["red", "hot"], "round": ["ring", "bolt"]}
+    df = spark.createDataFrame(items, "content_id long, title string, genres array<string>, year int, embedding array<double>")
+    got = {}
+
+    def run():
+        for r in catalogue.domain_similarity(df.filter("content_id % 2 = 0 or content_id % 20 = 3"), df.filter("content_id % 2 = 1"), meta).collect():
+            got.setdefault(r.a, []).append((r["rank"], r.b, r.similarity))
+
+    assert shuffled(spark, run) < 400_000
+
+    def overlap(x, y):
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    def parts(i):
+        _, title, genres, year, v = items[i]
+        n = sum(x * x for x in v) ** 0.5 if v else 0
+        return {m for m, w in meta.items() if {*w} & {*genres}}, {*title.split()} - {"the"}, year or None, [x / n for x in v] if n else None
+
+    for a in [i for i in range(600) if i % 2 == 0 or i % 20 == 3]:
+        ga, ta, ya, va = parts(a)
+        near = []
+        for b in range(1, 600, 2):
+            gb, tb, yb, vb = parts(b)
+            if not (ga & gb or ta & tb):
+                continue
+            s, w = 0.3 * overlap(ga, gb) + 0.2 * overlap(ta, tb), 0.5
+            if ya and yb:
+                s, w = s + 0.1 * max(0, 1 - abs(ya - yb) / 50), 0.6
+            if va and vb and len(va) == len(vb):
+                s, w = s + 0.4 * sum(x * y for x, y in zip(va, vb, strict=True)), w + 0.4
+            if round(s / w, 9) > 0.4:
+                near.append((-round(s / w, 9), b))
+        assert [(k, b) for k, b, _ in sorted(got.get(a, []))] == [(k + 1, b) for k, (_, b) in enumerate(sorted(near)[:3])], a
