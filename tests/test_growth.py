@@ -246,3 +246,24 @@ def test_domain_similarity_of_kinds(spark):
             if round(s / w, 9) > 0.4:
                 near.append((-round(s / w, 9), b))
         assert [(k, b) for k, b, _ in sorted(got.get(a, []))] == [(k + 1, b) for k, (_, b) in enumerate(sorted(near)[:3])], a
+
+
+def test_snapshots_are_dealt_by_user_to_tasks_of_bounded_rows(spark, monkeypatch):
+    """Well-packed rows are not merged into few tasks, and consecutive snapshots are met without a join."""
+    monkeypatch.setattr(preferences, "ROWS", 50, raising=False)
+    lines = [(u, i, float(1 + (u + i) % 5), DAY + datetime.timedelta(days=100 * i)) for u in range(40) for i in range(5) if (u + i) % 7]
+    items = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a", "c"]) for i in range(5)], "content_id long, genres array<string>")
+    snaps = preferences.snapshots(spark.createDataFrame(lines, "user_id long, item_id long, rating double, ts timestamp"), items)
+    for df in (snaps, preferences.stability(snaps), preferences.changes(snaps)):
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    own = {}
+    for u, i, r, ts in lines:
+        first = min(t for v, _, _, t in lines if v == u)
+        for g in ("a", "b" if i % 2 else "c"):
+            own.setdefault(u, {}).setdefault((ts - first).days // 90, {}).setdefault(g, []).append(r / 5)
+    got = {r.user_id: r.stability for r in preferences.stability(snaps).collect()}
+    for u, periods in own.items():
+        means = [{g: sum(v) / len(v) for g, v in x.items()} for _, x in sorted(periods.items())]
+        length = lambda x: sum(v * v for v in x.values()) ** 0.5
+        want = [sum(v * y.get(g, 0.0) for g, v in x.items()) / length(x) / length(y) for x, y in itertools.pairwise(means)]
+        assert abs(got[u] - sum(want) / len(want)) < 1e-9
