@@ -267,3 +267,15 @@ def test_snapshots_are_dealt_by_user_to_tasks_of_bounded_rows(spark, monkeypatch
         length = lambda x: sum(v * v for v in x.values()) ** 0.5
         want = [sum(v * y.get(g, 0.0) for g, v in x.items()) / length(x) / length(y) for x, y in itertools.pairwise(means)]
         assert abs(got[u] - sum(want) / len(want)) < 1e-9
+
+
+def test_density_clusters_make_no_rows_of_pairs(spark):
+    """Groups clustered whole in tasks and as links of cells give the same; equal points of small groups are not joined with each other."""
+    draw = random.Random(12)
+    rows = [(g, 1000 * g + k, [draw.randrange(5) / 5, draw.randrange(5) / 5]) for g in range(6) for k in range(12 + 20 * g)]
+    rows += [(None, 7001, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "user_id int, point bigint, features array<double>")
+    whole, cells, both = ({r.point: (r.core, r.cluster) for r in networks.density_clusters(df, ["user_id"], eps=0.21, least=4, longest=n).collect()} for n in (1_000, 1, 50))
+    assert whole == cells == both and len(set(whole.values())) > 2
+    equal = spark.range(3_000).selectExpr("cast(id % 5 as int) user_id", "id point", "array(0.2D, 0.4D) features")
+    assert shuffled(spark, lambda: networks.density_clusters(equal, ["user_id"]).count()) < 1_000_000
