@@ -2,16 +2,18 @@
 
 import datetime
 import itertools
+import math
 import random
 import time
 
 import compare
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import catalogue, donors, models, networks, preferences, recommend, serving, strips, users, vectors
+from tidewater.operators import catalogue, donors, factors, models, networks, preferences, recommend, serving, strips, users, vectors
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -279,3 +281,26 @@ def test_density_clusters_make_no_rows_of_pairs(spark):
     assert whole == cells == both and len(set(whole.values())) > 2
     equal = spark.range(3_000).selectExpr("cast(id % 5 as int) user_id", "id point", "array(0.2D, 0.4D) features")
     assert shuffled(spark, lambda: networks.density_clusters(equal, ["user_id"]).count()) < 1_000_000
+
+
+def test_profile_vectors_are_summed_where_their_block_is(spark):
+    """One block or many, repeated, short and partly null vectors; no row a dimension and event is shuffled."""
+    draw = random.Random(15)
+    vecs = [(i, [float(draw.randint(-4, 4)) for _ in range(8)]) for i in range(30)] + [(3, [1.0] * 8), (30, [2.0, None, 1.0]), (31, None), (32, [None, None])]
+    seen = [(u, draw.randrange(34)) for u in range(20) for _ in range(6)] + [(50, 32), (51, 30), (None, 1), (1, None)]
+    vectors = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    own = spark.createDataFrame(seen, "user_id long, item_id long")
+    want = {}
+    for u, i in sorted({x for x in seen if None not in x}):
+        for k, x in [(k, x) for v, e in vecs if v == i and e for k, x in enumerate(e)]:
+            want.setdefault(u, {}).setdefault(k, []).append(x)
+    mean = {u: {k: (sum(y) / len(y) if (y := [x for x in xs if x is not None]) else None) for k, xs in d.items()} for u, d in want.items()}
+    for block, share in ((4_096, 200_000), (4, 5)):
+        got = {(r.user_id, r.pos): r.value for r in recommend.profile_embedding(own, vectors, block, share).collect()}
+        assert got.keys() == {(u, k) for u, d in mean.items() for k in d}
+        for u, d in mean.items():
+            norm = sum(x * x for x in d.values() if x is not None) ** 0.5
+            assert all((got[u, k] or 0.0) == (0.0 if x is None or not norm else pytest.approx(x / norm)) for k, x in d.items())
+    many = spark.range(60_000).selectExpr("id % 3000 user_id", "cast(id / 3000 as long) item_id")
+    wide = spark.createDataFrame([(i, [draw.random() for _ in range(64)]) for i in range(100)], "vec_id long, embedding array<double>")
+    assert shuffled(spark, lambda: recommend.profile_embedding(many, wide).count()) < 4_000_000
