@@ -283,6 +283,26 @@ def test_density_clusters_make_no_rows_of_pairs(spark):
     assert shuffled(spark, lambda: networks.density_clusters(equal, ["user_id"]).count()) < 1_000_000
 
 
+def test_factor_steps_copy_no_factors_to_rows(spark, monkeypatch):
+    """Blocks of few profiles and slices of few rows give what one block gives; rows do not carry factors through shuffles."""
+    draw = random.Random(14)
+    triples = spark.createDataFrame([(draw.randrange(300), draw.randrange(20), draw.randrange(20, 40)) for _ in range(20_000)], "user_id long, item_id long, other long")
+    users = spark.range(300).select(F.col("id").alias("user_id"), factors.start_factors(F.col("id"), 50, "u").alias("factors")).cache()
+    items = spark.range(40).select(F.col("id").alias("item_id"), F.lit(0.1).alias("bias"), factors.start_factors(F.col("id"), 50, "i").alias("factors")).cache()
+    assert list(users.first().factors) == list(users.select(F.array(*[factors.start_factor(F.col("user_id"), k, "u") for k in range(3)])).first()[0]) + list(users.first().factors)[3:]
+    got = []
+
+    def run():
+        u, i = factors.bpr_step(users, items, triples, 50, 0.1, 0.01)
+        got.append({("u", r.user_id): list(r.factors) for r in u.collect()} | {("i", r.item_id): [r.bias, *r.factors] for r in i.collect()})
+
+    assert shuffled(spark, run) < 5_000_000
+    monkeypatch.setattr(factors, "BLOCK", 60)
+    monkeypatch.setattr(factors, "ROWS", 900)
+    run()
+    assert got[0].keys() == got[1].keys() and all(abs(x - y) < 1e-12 for k in got[0] for x, y in zip(got[0][k], got[1][k], strict=True))
+
+
 def test_profile_vectors_are_summed_where_their_block_is(spark):
     """One block or many, repeated, short and partly null vectors; no row a dimension and event is shuffled."""
     draw = random.Random(15)
