@@ -41,6 +41,15 @@ def test_cosine_matrix_holds_users_and_items_and_every_pair(spark, rated):
     assert all(got[k][0] == n and abs(got[k][1] - c) < 1e-6 for k, (n, c) in want.items())
 
 
+def test_similarity_features_of_users_and_of_items(spark, rated):
+    path, own = rated
+    got = {(r.side, r.id): r for r in QUERIES["pairwise_similarity_features"](spark, path).collect()}
+    near = {k: sorted((cosine(x, y, True) for o, y in own.items() if o[0] == k[0] and o != k and x.keys() & y.keys()), reverse=True)[:50] for k, x in own.items()}
+    near = {k: v for k, v in near.items() if v}
+    assert got.keys() == near.keys() and {s for s, _ in got} == {"user", "item"}
+    assert all(abs(got[k].highest - v[0]) < 1e-6 and abs(got[k]["mean"] - sum(v) / len(v)) < 1e-4 and got[k].n == len(v) for k, v in near.items())
+
+
 @pytest.mark.parametrize("common", [True, False])
 @pytest.mark.parametrize("values", [[1.0, 4.0], [0.0, -2.0, 3.5]])
 def test_few_entities_of_many_ratings_are_dealt_by_key(spark, monkeypatch, common, values):
