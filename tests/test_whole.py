@@ -8,7 +8,7 @@ import compare
 import pytest
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import strips
+from tidewater.operators import catalogue, strips
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -63,3 +63,29 @@ def test_few_entities_of_many_ratings_are_dealt_by_key(spark, monkeypatch, commo
     got.append({(r.a, r.b): (r.shared, round(r.similarity, 9)) for r in strips.pairs(matrix, "item_id", "user_id", common=common).collect()})
     near.append([tuple(r) for r in strips.nearest(matrix, 3, "item_id", "user_id", common=common, digits=6).orderBy("id", "rank").collect()])
     assert got[0] == got[1] and near[0] == near[1] and len(got[0]) == 36 and len(near[0]) == 27
+
+
+def test_metadata_pairs_scale_numbers_and_blend_vectors(spark):
+    """Every pair of items, with standardised numbers among the attributes and the cosine of the vectors where both have one."""
+    draw = random.Random(3)
+    rows = [(i, draw.sample("abc", 2) if i % 7 else None, draw.choice("xy"), draw.choice(["p", None]), draw.choice([None, 10, 20, 90]), draw.uniform(1, 9)) for i in range(40)]
+    content = spark.createDataFrame(rows, "content_id long, genres array<string>, content_type string, creator string, duration int, popularity_score double")
+    vectors = {i: [draw.gauss(0, 1) for _ in range(2 if i == 8 else 3)] for i in range(0, 40, 2)} | {6: [0.0, 0.0, 0.0]}
+    asked = content.filter("content_id % 10 = 0").select("content_id")
+    got = {(r.query_id, r.item_id): (r.similarity, r.blended) for r in catalogue.metadata_pairs(content, asked, spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect()}
+
+    def scaled(c):
+        own = [r[c] for r in rows if r[c] is not None]
+        mean = sum(own) / len(own)
+        return [0.0 if r[c] is None else (r[c] - mean) / (sum((x - mean) ** 2 for x in own) / len(own)) ** 0.5 for r in rows]
+
+    flat = [{**dict.fromkeys([("g", g) for g in r[1] or []] + [("t", r[2])] + [("c", r[3])] * (r[3] is not None), 1.0), "d": d, "s": s} for r, d, s in zip(rows, scaled(4), scaled(5), strict=True)]
+    assert got.keys() == {(q, i) for q in range(0, 40, 10) for i in range(40) if i != q}
+    for (q, i), (s, both) in got.items():
+        want = cosine(flat[q], flat[i], False)
+        assert abs(s - want) < 1e-9
+        x, y = (dict(enumerate(vectors.get(k, []))) for k in (q, i))
+        if len(x) == len(y) and any(x.values()) and any(y.values()):
+            assert abs(both - 0.7 * cosine(x, y, False) - 0.3 * want) < 1e-9
+        else:
+            assert both is None
