@@ -8,7 +8,7 @@ import compare
 import pytest
 
 import __spark_entry__  # noqa: F401
-from tidewater.operators import catalogue, strips
+from tidewater.operators import catalogue, preferences, strips
 from tidewater.plans.registry import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -89,3 +89,15 @@ def test_metadata_pairs_scale_numbers_and_blend_vectors(spark):
             assert abs(both - 0.7 * cosine(x, y, False) - 0.3 * want) < 1e-9
         else:
             assert both is None
+
+
+def test_evolution_series_names_the_features_drawn_and_their_change(spark):
+    """Places by the mean value, ties by name; a change only where there are two values, told where it is above a tenth."""
+    values = {"a": [0.9, 0.8], "b": [0.3, 0.7], "c": [0.5], "d": [0.6, 0.1, 0.4], "e": [0.5, 0.5], "f": [0.1, 0.2], "g": [0.05]}
+    rows = [(u, 2 * n, g, v + u / 1000) for u in (1, 2) for g, own in values.items() for n, v in enumerate(own)]
+    out = preferences.evolution_series(spark.createDataFrame(rows, "user_id long, period int, genre string, value double")).collect()
+    assert sorted((r.user_id, r.period, r.genre, r.value) for r in out) == sorted(rows)
+    got = {r.genre: (r.place, r.shown, r.change, r.direction) for r in out}
+    assert len({(r.genre, r.place, r.shown, r.change, r.direction) for r in out}) == 7
+    assert got["a"] == (1, True, -0.1, "stable") and got["b"] == (2, True, 0.4, "increased") and got["c"] == (3, True, None, None) and got["e"] == (4, True, 0.0, "stable")
+    assert got["d"] == (5, True, -0.2, "decreased") and got["f"] == (6, False, 0.1, "stable") and got["g"] == (7, False, None, None)
