@@ -324,3 +324,31 @@ def test_profile_vectors_are_summed_where_their_block_is(spark):
     many = spark.range(60_000).selectExpr("id % 3000 user_id", "cast(id / 3000 as long) item_id")
     wide = spark.createDataFrame([(i, [draw.random() for _ in range(64)]) for i in range(100)], "vec_id long, embedding array<double>")
     assert shuffled(spark, lambda: recommend.profile_embedding(many, wide).count()) < 4_000_000
+
+
+def test_items_with_vectors_make_no_rows_of_pairs(spark):
+    """All items have vectors: the lists of plain Python, some years and words missing, and a shuffle that no pair of items passes."""
+    draw = random.Random(12)
+    words = ["red bolt", "hot ring", "red ring", "old plate", "cold plate", "", "the"]
+    items = [(i, w, w.split(), draw.choice([1970, 1990, 2001, None]), [draw.gauss(0, 1) for _ in range(4 if i % 50 else 2)]) for i in range(1_600) for w in [draw.choice(words)]]
+    meta = {"warm": ["red", "hot"], "round": ["ring", "bolt"]}
+    df = spark.createDataFrame(items, "content_id long, title string, genres array<string>, year int, embedding array<double>")
+    got = {}
+
+    def run():
+        for r in catalogue.domain_similarity(df.filter("content_id % 2 = 0"), df.filter("content_id % 2 = 1"), meta).collect():
+            got.setdefault(r.a, []).append((r["rank"], r.b, round(r.similarity, 6)))
+
+    assert shuffled(spark, run) < 1_500_000
+    overlap = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    own = [({m for m, w in meta.items() if {*w} & {*g}}, {*t.split()} - {"the"}, y, [x / sum(x * x for x in v) ** 0.5 for x in v]) for _, t, g, y, v in items]
+    for a in range(0, 1_600, 40):
+        near = []
+        for b in range(1, 1_600, 2):
+            (ga, ta, ya, va), (gb, tb, yb, vb) = own[a], own[b]
+            if ga & gb or ta & tb:
+                s = 0.3 * overlap(ga, gb) + 0.2 * overlap(ta, tb) + (0.1 * max(0, 1 - abs(ya - yb) / 50) if ya and yb else 0.0)
+                s = s + 0.4 * sum(x * y for x, y in zip(va, vb, strict=True)) if len(va) == len(vb) else s / 0.6
+                if round(s, 9) > 0.4:
+                    near.append((-round(s, 9), b, round(s, 6)))
+        assert sorted(got.get(a, [])) == [(k + 1, b, s) for k, (_, b, s) in enumerate(sorted(near)[:3])], a
