@@ -352,3 +352,26 @@ def test_items_with_vectors_make_no_rows_of_pairs(spark):
                 if round(s, 9) > 0.4:
                     near.append((-round(s, 9), b, round(s, 6)))
         assert sorted(got.get(a, [])) == [(k + 1, b, s) for k, (_, b, s) in enumerate(sorted(near)[:3])], a
+
+
+def test_receivers_of_wide_cells_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    """No task gets many more receivers than a pack holds, and the answers are those of all donors."""
+    draw = random.Random(15)
+    data = [(i, None if i % 2 else draw.random(), draw.gauss(0, 1), draw.gauss(0, 1)) for i in range(6_000)]
+    monkeypatch.setattr(donors, "PACK", 500)
+    for name in ("_bounds", "_nearest"):
+        def bounded(features, k, of=getattr(donors, name)):
+            own = of(features, k)
+
+            def run(asked, stored):
+                assert asked.num_rows < 700
+                return own(asked, stored)
+
+            return run
+
+        monkeypatch.setattr(donors, name, bounded)
+    got = {r.id: r.y for r in donors.impute_knn(spark.createDataFrame(data, "id long, y double, a double, b double"), "id", "y", ["a", "b"]).collect()}
+    assert len(got) == 6_000
+    for i, _, a, b in data[1:400:2]:
+        near = sorted(((a - p) ** 2 + (b - q) ** 2, y) for _, y, p, q in data if y is not None)[:5]
+        assert abs(got[i] - sum(y for _, y in near) / 5) < 1e-9

@@ -10,7 +10,8 @@ A receiver first takes a bound: the k-th distance among donors of its own cell,
 or, where that holds fewer, of wider cells with a share of their donors. Then
 it meets the cells that the bound reaches, and no others. Cells are met in
 tasks, a tile of them at a time, and what leaves a task is an answer: a bound,
-or the k nearest of a receiver. No row stands for a pair.
+or the k nearest of a receiver. No row stands for a pair. The receivers of a
+tile are dealt to parts where they are many, so a task's rows stay bounded.
 """
 
 from __future__ import annotations
@@ -181,7 +182,14 @@ def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int
         return side.select(cell.alias("cell"), F.pmod(tile, packs).alias("pack"), *columns)
 
     def meet(asked: DataFrame, donors: DataFrame, function, schema: str) -> DataFrame:
-        return asked.groupBy("pack").cogroup(donors.groupBy("pack")).applyInArrow(function, schema)
+        """Packs of both sides in tasks. Where a pack has many receivers, as wide cells have, they are dealt to parts, and its donors go to each."""
+        # a row a pack of more than its share
+        full = kept(asked.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PACK).select("pack", F.ceil(F.col("n") / PACK).alias("parts")), "packs")
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        a, d = (side.join(F.broadcast(full), "pack", "left") for side in (asked, donors))
+        a = a.withColumn("part", F.pmod(F.xxhash64("ask"), parts)).drop("parts")
+        d = d.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        return a.groupBy("pack", "part").cogroup(d.groupBy("pack", "part")).applyInArrow(function, schema)
 
     at = [bucket(i, F.col(x)).cast("int").alias(f"b{i}") for i, x in enumerate(xs)]
     stored = kept(stored.select("*", *at), "cells")
