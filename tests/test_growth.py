@@ -375,3 +375,32 @@ def test_receivers_of_wide_cells_are_dealt_to_tasks_of_bounded_rows(spark, monke
     for i, _, a, b in data[1:400:2]:
         near = sorted(((a - p) ** 2 + (b - q) ** 2, y) for _, y, p, q in data if y is not None)[:5]
         assert abs(got[i] - sum(y for _, y in near) / 5) < 1e-9
+
+
+@pytest.mark.parametrize(("unit", "width"), [(1.0, 4), (0.1, 8), (2000.0, 8)])
+def test_sums_are_as_narrow_as_they_are_exact(spark, monkeypatch, unit, width):
+    """Whole numbers that single precision holds are summed in it, others in double; what is chosen is measured in double."""
+    draw = random.Random(21)
+    rows = [(u, i, unit * draw.choice([1, 2, 3, 5])) for u in range(80) for i in range(15) if draw.random() < 0.6]
+    own = strips._quotient
+
+    def checked(dot, xx, yy, shared, room):
+        assert dot.dtype.itemsize == width
+        return own(dot, xx, yy, shared, room)
+
+    monkeypatch.setattr(strips, "_quotient", checked)
+    of = {}
+    for u, i, r in rows:
+        of.setdefault(u, {})[i] = r
+    got = {}
+    for r in strips.nearest(spark.createDataFrame(rows, "user_id long, item_id long, rating double"), 7, common=True, digits=9, rows=30).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other, round(r.similarity, 9)))
+    for u, x in of.items():
+        near = []
+        for v, y in of.items():
+            both = x.keys() & y.keys()
+            if u != v and both:
+                near.append((-round(sum(x[k] * y[k] for k in both) / (sum(x[k] ** 2 for k in both) * sum(y[k] ** 2 for k in both)) ** 0.5, 9), v))
+        want = [(k + 1, v, -s) for k, (s, v) in enumerate(sorted(near)[:7])]
+        assert [s for _, _, s in sorted(got[u])] == pytest.approx([s for _, _, s in want], abs=2e-9)
+        assert unit != 1.0 or sorted(got[u]) == want
