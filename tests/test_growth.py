@@ -404,3 +404,33 @@ def test_sums_are_as_narrow_as_they_are_exact(spark, monkeypatch, unit, width):
         want = [(k + 1, v, -s) for k, (s, v) in enumerate(sorted(near)[:7])]
         assert [s for _, _, s in sorted(got[u])] == pytest.approx([s for _, _, s in want], abs=2e-9)
         assert unit != 1.0 or sorted(got[u]) == want
+
+
+def test_users_meet_only_the_raters_of_what_they_ask_for(spark, monkeypatch):
+    """Few rated an asked item, so few are compared; lists of several items, some asked by nobody's neighbour."""
+    draw = random.Random(22)
+    rows = [(u, i, float(draw.choice([1, 2, 3, 5]))) for u in range(300) for i in [*range(12)] if draw.random() < 0.5] + [(u, 50 + u % 3, 4.0) for u in range(0, 300, 10)] + [(7, 99, 1.0)]
+    asked = [(u, i) for u in range(300) for i in draw.sample([50, 51, 52, 99], 2)]
+    own = strips._sums
+
+    def checked(a, b, common, count=True):
+        assert len(b[0]) <= 31
+        return own(a, b, common, count)
+
+    monkeypatch.setattr(strips, "_sums", checked)
+    spark_rows = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    got = {}
+    for r in strips.nearest_raters(spark.createDataFrame(asked, "user_id long, item_id long"), spark_rows, 3).collect():
+        got.setdefault((r.user_id, r.item_id), []).append((r["rank"], r.neighbour, r.similarity))
+    of, raters = {}, {}
+    for u, i, r in rows:
+        of.setdefault(u, {})[i] = r
+        raters.setdefault(i, []).append(u)
+    for u, item in asked:
+        near = []
+        for v in raters[item]:
+            x, y = of.get(u, {}), of[v]
+            both = x.keys() & y.keys()
+            if u != v and both:
+                near.append((-round(sum(x[k] * y[k] for k in both) / (sum(x[k] ** 2 for k in both) * sum(y[k] ** 2 for k in both)) ** 0.5, 9), v))
+        assert sorted(got.get((u, item), [])) == [(k + 1, v, -s) for k, (s, v) in enumerate(sorted(near)[:3])]
